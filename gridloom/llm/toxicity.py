@@ -57,8 +57,19 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 150, decay: float = 2e-3) -> Ordinal:
-    """Maximum likelihood with an L2 penalty, by Adam over all rows; deterministic."""
+def one_of_copies(rows: list[np.ndarray]) -> list[int]:
+    """The first row of those that agree in three min-wise hashes: a group of near copies counts as evidence once."""
+    seen, out = set(), []
+    for i, x in enumerate(rows):
+        key = tuple(int(c.mix(x.astype(np.uint64) + np.uint64(k << 40)).min()) for k in (1, 2, 3)) if len(x) else ()
+        if key not in seen:
+            seen.add(key)
+            out.append(i)
+    return out
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 300, decay: float = 1e-3) -> Ordinal:
+    """Maximum likelihood with a Gaussian prior around naive Bayes, by Adam over all rows; deterministic."""
     size = 1 << FEATURE_BITS
     y = np.asarray(grades, np.int64)
     if not len(y) or (y == y[0]).all():  # one grade only: predict it
@@ -69,15 +80,20 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     # log odds of a feature between graded and clean documents; rare features count little
     bad = np.bincount(flat, (y > 0)[row], size)
     good = np.bincount(flat, (y == 0)[row], size)
-    p, q = (bad + 0.5) / (np.sum(y > 0) + 1), (good + 0.5) / (np.sum(y == 0) + 1)
-    scale = np.where(bad + good >= 3, np.log(p / q), 0.0)
-    used = np.flatnonzero(scale > 0.5)  # what clean documents share says nothing of a long one
+    p, q = (bad + 0.5) / (np.sum(y > 0) + 1), (good + 2) / (np.sum(y == 0) + 4)
+    scale = np.log(p / q)
+    # Features that surely speak for toxicity: a log-likelihood ratio that chance hardly reaches among so many.  What clean
+    # documents share says nothing of a long one.
+    both, base = bad + good, np.mean(y > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(bad > 0, bad * np.log(bad / (both * base)), 0) + np.where(good > 0, good * np.log(good / (both * (1 - base))), 0))
+    used = np.flatnonzero((scale > 0.5) & (ratio > 2 * np.log(max(2, np.sum(both >= 3))) - 4))
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
     keep = place[flat] >= 0
     flat, row = place[flat[keep]], row[keep]
     value = scale[used]
-    w = np.full(len(used), 0.1)
+    w = np.ones(len(used))  # naive Bayes, which the penalty pulls towards
     share = np.array([np.clip((y > k).mean(), 1e-3, 1 - 1e-3) for k in range(n_grades - 1)])
     t = np.log(1 / share - 1)
     raw = np.concatenate([[t[0]], np.log(np.maximum(np.diff(t), 1e-2))])  # thresholds as a first one and positive steps
@@ -96,10 +112,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         for k in range(len(t)):
             g_t[k] = np.sum(weight * (np.where(y == k + 1, -slope[:, k + 1], 0) + np.where(y == k, slope[:, k + 1], 0)) / p)
         g_raw = np.concatenate([[g_t.sum()], [g_t[k:].sum() * np.exp(raw[k]) for k in range(1, len(raw))]])
-        grad = np.concatenate([np.bincount(flat, d_score[row], len(w)) * value / len(y) - decay * w, g_raw / len(y)])
+        grad = np.concatenate([np.bincount(flat, d_score[row], len(w)) * value / len(y) + decay * (1 - w), g_raw / len(y)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, raw = w + move[: len(w)], raw + move[len(w) :]
+        w, raw = np.maximum(w + move[: len(w)], 0), raw + move[len(w) :]  # a sign of toxicity never speaks against it
     out = np.zeros(size, np.float32)
     out[used] = w * value
     return Ordinal(out, np.concatenate([[raw[0]], raw[0] + np.cumsum(np.exp(raw[1:]))]))
@@ -125,7 +141,9 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = found.select(F.col("__gl_id").cast("long"), F.col("grade").cast("int"), "__gl_text").mapInArrow(featured, "id long, grade int, x binary").collect()  # at most ``sample`` rows
     rows.sort(key=lambda r: r.id)
-    return fit([np.sort(np.frombuffer(r.x, np.int32).astype(np.int64)) for r in rows], np.array([r.grade for r in rows], np.int64), n_grades)
+    features = [np.sort(np.frombuffer(r.x, np.int32).astype(np.int64)) for r in rows]
+    chosen = one_of_copies(features)
+    return fit([features[i] for i in chosen], np.array([rows[i].grade for i in chosen], np.int64), n_grades)
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
