@@ -62,6 +62,18 @@ def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def hash_sample(df: DataFrame, key: Column, n: int, ties: list[Column]) -> DataFrame:
+    """About ``n`` rows and never more: those of the least hashes of ``key``; the same ones at every run.
+
+    A bound on the hash leaves about 2n rows before any are sent to one task, however large the table.
+    """
+    hashed = df.withColumn("__gl_h", F.xxhash64(key))
+    total = df.count()
+    if total > 2 * n:
+        hashed = hashed.filter(F.col("__gl_h") <= int(2 * n / total * 2.0**64) - (1 << 63))
+    return hashed.orderBy("__gl_h", *ties).limit(n).drop("__gl_h")
+
+
 def blocks_for(n_bytes: int, target: int = 4 << 20, least: int = 48) -> int:
     """How many blocks of about ``target`` bytes; small inputs still get enough to keep a cluster busy."""
     return max(least, math.ceil(n_bytes / target))

@@ -127,9 +127,9 @@ def grade_of(toxic: Column, quality: Column) -> Column:
 
 
 def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, sample: int = SAMPLE) -> Ordinal:
-    """``grades``: id_col and ``grade``; a document graded twice has the higher.  Takes the ``sample`` least hashes of id."""
+    """``grades``: id_col and ``grade``; a document graded twice has the higher.  Takes at most ``sample`` of the least hashes of id."""
     chosen = grades.filter(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.max("grade").alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("__gl_id"), "grade")
+    chosen = c.hash_sample(c.checkpointed(chosen), F.col(id_col), sample, [F.col(id_col)]).select(F.col(id_col).alias("__gl_id"), "grade")
     joined = docs.select(c.quoted(id_col).alias("__gl_key"), c.quoted(text_col).alias("__gl_text")).join(F.broadcast(chosen), F.col("__gl_key") == F.col("__gl_id"))  # sample rows at most
     found = joined.groupBy("__gl_id", "grade").agg(F.min("__gl_text").alias("__gl_text"))
 
