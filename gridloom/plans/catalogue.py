@@ -1,16 +1,564 @@
-"""Queries over the driver's tables read as arrays, each with the SQL that says the same."""
+"""Queries over the driver's tables read as arrays, each with the SQL that says the same.
+
+EMB(vec, dim) float, EVT(time) double as a record variable, ORD(o) and ACCT(c) double, QTY(supp, line) int.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import convert as cv
+from ..functions.types import TYPES, external
+from ..operators import compare, hyperslab, requests, update
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+_EMB = "(select vec_id as i0, unnest(range(0, 64)) as i1, unnest(embedding) as v from embeddings)"
+_QTY = "(select l_suppkey::bigint as i0, (l_linenumber - 1)::bigint as i1, sum(l_quantity)::integer as v from lineitem group by 1, 2)"
 
-def get_vars_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v"))
-    box = emb.filter("i0 >= 10 and i0 < 34 and (i0 - 10) % 3 = 0 and i1 >= 4 and i1 < 20 and (i1 - 4) % 2 = 0")
-    return box.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v"))
 
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
 
-QUERIES = {"get_vars_strided": get_vars_strided}
-ORACLES: dict[str, str] = {}
+    return add
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def emb(spark, d) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), "v")
+
+
+def evt(spark, d) -> DataFrame:
+    return _read(spark, d, "events").select(F.col("event_id").alias("i0"), F.col("value").alias("v"))
+
+
+def orders(spark, d) -> DataFrame:
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("i0"), F.col("o_totalprice").alias("v"))
+
+
+def acct(spark, d) -> DataFrame:
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("i0"), F.col("c_acctbal").alias("v"))
+
+
+def qty(spark, d) -> DataFrame:
+    lines = _read(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("v"))
+    return lines.select(F.col("l_suppkey").cast("long").alias("i0"), (F.col("l_linenumber") - 1).cast("long").alias("i1"), "v")
+
+
+def _d(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.col("v").cast("double"))
+
+
+# --- reading
+
+
+@_query("get_var_1d", "select o_orderkey as i0, o_totalprice as v from orders")
+def get_var_1d(spark, d):
+    return orders(spark, d)
+
+
+@_query("get_var1_point", f"select i0, i1, v::double as v from {_EMB} where i0 = 7 and i1 = 3")
+def get_var1_point(spark, d):
+    return _d(hyperslab.get_var1(emb(spark, d), [7, 3]))
+
+
+@_query("get_vara_box", f"select i0, i1, v::double as v from {_EMB} where i0 between 5 and 24 and i1 between 8 and 23")
+def get_vara_box(spark, d):
+    hyperslab.validate([500, 64], [5, 8], [20, 16])
+    return _d(hyperslab.get_vara(emb(spark, d), [5, 8], [20, 16]))
+
+
+@_query("get_vars_strided", f"select i0, i1, v::double as v from {_EMB} where i0 >= 10 and i0 < 68 and (i0 - 10) % 3 = 0 and i1 >= 4 and i1 < 19 and (i1 - 4) % 2 = 0")
+def get_vars_strided(spark, d):
+    hyperslab.validate([500, 64], [10, 4], [20, 8], [3, 2])
+    cells = hyperslab.get_vars(emb(spark, d), [10, 4], [20, 8], [3, 2])
+    return cells.withColumn("v", cv.convert(F.col("v"), "float", "double"))
+
+
+@_query("get_vars_records", "select event_id as i0, value as v from events where event_id >= 3 and event_id < 3 + 99 * 7 + 1 and (event_id - 3) % 7 = 0")
+def get_vars_records(spark, d):
+    return hyperslab.get_vars(evt(spark, d), [3], [100], [7])
+
+
+def _varm(imap):
+    def run(spark, d):
+        return _d(hyperslab.get_varm(emb(spark, d), [2, 4], [6, 5], [2, 3], imap))
+
+    return run
+
+
+_VARM = f"select i0, i1, v::double as v, ((i0 - 2) // 2 * {{0}} + (i1 - 4) // 3 * {{1}})::bigint as address from {_EMB} where i0 >= 2 and i0 < 13 and (i0 - 2) % 2 = 0 and i1 >= 4 and i1 < 17 and (i1 - 4) % 3 = 0"
+_query("get_varm_transpose", _VARM.format(1, 6))(_varm([1, 6]))
+_query("get_varm_padded", _VARM.format(9, 1))(_varm([9, 1]))
+_BOXES = [([0, 0], [2, 3]), ([1, 2], [3, 2]), ([10, 60], [1, 4]), ([1, 2], [3, 2]), ([40, 7], None)]
+_BOXES_SQL = "(values (0, 0, 0, 2, 3), (1, 1, 2, 3, 2), (2, 10, 60, 1, 4), (3, 1, 2, 3, 2), (4, 40, 7, 1, 1)) b(box, s0, s1, c0, c1)"
+
+
+@_query("get_varn_boxes", f"select box::bigint as box, i0, i1, v::double as v from {_EMB} e join {_BOXES_SQL} on i0 >= s0 and i0 < s0 + c0 and i1 >= s1 and i1 < s1 + c1")
+def get_varn_boxes(spark, d):
+    return _d(hyperslab.get_varn(emb(spark, d), _BOXES))
+
+
+@_query("mget_vara", f"select 'EMB' as var, i0, i1, v::double as v from {_EMB} where i0 < 4 and i1 < 4 union all select 'EVT', event_id, -1, value from events where event_id between 10 and 19")
+def mget_vara(spark, d):
+    both = hyperslab.mget({"EMB": hyperslab.get_vara(emb(spark, d), [0, 0], [4, 4]), "EVT": hyperslab.get_vara(evt(spark, d), [10], [10])})
+    return both.withColumn("i1", F.coalesce("i1", F.lit(-1)))
+
+
+# --- writing
+
+
+def _new_box(spark, rows: int, cols: int, s0: int, s1: int, t0: int = 1, t1: int = 1):
+    g = update.grid(spark, [rows, cols])
+    return g.select((F.col("i0") * t0 + s0).alias("i0"), (F.col("i1") * t1 + s1).alias("i1"), (F.col("i0") * 1000 + F.col("i1")).cast("int").alias("v"))
+
+
+def _new_sql(rows, cols, s0, s1, t0=1, t1=1):
+    return f"(select r * {t0} + {s0} as i0, c * {t1} + {s1} as i1, (r * 1000 + c)::integer as v from (select unnest(range({rows})) as r), (select unnest(range({cols})) as c))"
+
+
+_PUT = "select coalesce(n.i0, o.i0) as i0, coalesce(n.i1, o.i1) as i1, coalesce(n.v, o.v) as v from {old} o full join {new} n on o.i0 = n.i0 and o.i1 = n.i1"
+
+
+@_query("put_vara_overwrite", _PUT.format(old=_QTY, new=_new_sql(5, 4, 2, 1)))
+def put_vara_overwrite(spark, d):
+    return update.put(qty(spark, d), _new_box(spark, 5, 4, 2, 1))
+
+
+@_query("put_vars_strided", _PUT.format(old=_QTY, new=_new_sql(4, 3, 1, 0, 3, 2)))
+def put_vars_strided(spark, d):
+    return update.put(qty(spark, d), _new_box(spark, 4, 3, 1, 0, 3, 2))
+
+
+@_query("put_varm_transpose", _PUT.format(old=_QTY, new="(select c as i0, r as i1, (r * 1000 + c)::integer as v from (select unnest(range(3)) as r), (select unnest(range(5)) as c))"))
+def put_varm_transpose(spark, d):
+    turned = _new_box(spark, 3, 5, 0, 0).select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), "v")
+    return update.put(qty(spark, d), turned)
+
+
+_OVERLAP = "(values (0, 2, 1, 3, 4), (1, 3, 0, 2, 5), (2, 2, 3, 2, 2), (3, 3, 0, 1, 5)) b(box, s0, s1, c0, c1)"
+_BATCH = f"(select box, i0, i1, i0 * 7 + s1 as start_offset, (box * 100 + i0 * 10 + i1)::integer as v from {_OVERLAP}, (select unnest(range(7)) as i0), (select unnest(range(7)) as i1) where i0 >= s0 and i0 < s0 + c0 and i1 >= s1 and i1 < s1 + c1)"
+
+
+@_query("put_varn_overlap", _PUT.format(old=_QTY, new=f"(select i0, i1, v from {_BATCH} qualify row_number() over (partition by i0, i1 order by start_offset, box) = 1)"))
+def put_varn_overlap(spark, d):
+    boxes = hyperslab.boxes_frame(spark, [([2, 1], [3, 4]), ([3, 0], [2, 5]), ([2, 3], [2, 2]), ([3, 0], [1, 5])])
+    cells = boxes.select("box", "s1", F.explode(F.sequence("s0", F.col("s0") + F.col("c0") - 1)).alias("i0"), "c1")
+    cells = cells.select("box", "s1", "i0", F.explode(F.sequence("s1", F.col("s1") + F.col("c1") - 1)).alias("i1"))
+    cells = cells.select("box", (F.col("i0") * 7 + F.col("s1")).alias("start_offset"), "i0", "i1", (F.col("box") * 100 + F.col("i0") * 10 + F.col("i1")).cast("int").alias("v"))
+    return update.put_varn(qty(spark, d), cells)
+
+
+@_query("put_record_growth", "select max(event_id) + 1 as numrecs, max(event_id) + 1 + 25 as after from events")
+def put_record_growth(spark, d):
+    n = evt(spark, d).agg((F.max("i0") + 1).alias("numrecs"))
+    grown = evt(spark, d).unionByName(n.select(F.explode(F.sequence("numrecs", F.col("numrecs") + 24)).alias("i0"), F.lit(0.0).alias("v")))
+    return n.crossJoin(grown.agg((F.max("i0") + 1).alias("after")))
+
+
+_REQUESTS = [(0, 5, 3, 1), (2, 0, 4, 10), (4, 100, 0, 1), (6, 7, 2, 50)]
+_REQUESTS_SQL = "(values (0, 5, 3, 1), (2, 0, 4, 10), (4, 100, 0, 1), (6, 7, 2, 50)) q(req, start, count, stride)"
+
+
+def _requests(spark):
+    return spark.createDataFrame(_REQUESTS, "req long, start long, count long, stride long")
+
+
+@_query("wait_all_numrecs", f"select max(case when count > 0 then start + (count - 1) * stride + 1 else 0 end)::bigint as numrecs from {_REQUESTS_SQL}")
+def wait_all_numrecs(spark, d):
+    return _requests(spark).agg(F.max(F.when(F.col("count") > 0, F.col("start") + (F.col("count") - 1) * F.col("stride") + 1).otherwise(0)).alias("numrecs"))
+
+
+@_query("split_record_requests", f"select req::bigint as req, unnest(range(start, start + (count - 1) * stride + 1, stride))::bigint as record from {_REQUESTS_SQL} where count > 0")
+def split_record_requests(spark, d):
+    return update.split_records(_requests(spark))
+
+
+# --- conversion
+
+
+def _cast_sql(target: str, column: str, fill) -> str:
+    t = external(target)
+    kind = {"byte": "tinyint", "short": "smallint", "int": "integer", "ubyte": "smallint", "ushort": "integer", "uint": "bigint", "int64": "bigint"}[target]
+    low, high = (t.low, t.high) if target != "int64" else ("-9223372036854775808", "9223372036854774784")
+    return f"case when {column} >= {low} and {column} <= {high} then trunc({column})::{kind} else ({fill})::{kind} end"
+
+
+for _name in ("byte", "short", "int", "ubyte", "ushort", "uint", "int64"):
+
+    def _convert(spark, d, target=_name):
+        return acct(spark, d).select("i0", cv.convert(F.col("v") * 1000, "double", target).alias("v"))
+
+    _query(f"cvt_double_to_{_name}", f"select c_custkey as i0, {_cast_sql(_name, '(c_acctbal * 1000)', TYPES[_name].fill)} as v from customer")(_convert)
+
+
+@_query("cvt_double_to_uint64", "select c_custkey as i0, (case when c_acctbal * 1000 > -1 then trunc(c_acctbal * 1000)::bigint::varchar else '18446744073709551614' end) as v from customer")
+def cvt_double_to_uint64(spark, d):
+    return acct(spark, d).select("i0", cv.convert(F.col("v") * 1000, "double", "uint64").cast("string").alias("v"))
+
+
+@_query("cvt_double_to_float", "select c_custkey as i0, (c_acctbal::float)::double as v from customer")
+def cvt_double_to_float(spark, d):
+    return acct(spark, d).select("i0", cv.convert(F.col("v"), "double", "float").cast("double").alias("v"))
+
+
+@_query("cvt_double_to_byte_erange", "select c_custkey as i0, (case when c_acctbal >= -128 and c_acctbal <= 127 then trunc(c_acctbal) else -5 end)::tinyint as v from customer")
+def cvt_double_to_byte_erange(spark, d):
+    return acct(spark, d).select("i0", cv.convert(F.col("v"), "double", "byte", F.lit(-5)).alias("v"))
+
+
+@_query("cvt_int_narrowing", f"select i0, i1, (case when v between -128 and 127 then v else -127 end)::tinyint as v from {_QTY}")
+def cvt_int_narrowing(spark, d):
+    return qty(spark, d).withColumn("v", cv.convert(F.col("v"), "int", "byte"))
+
+
+@_query("cvt_uchar_byte_wrap", f"select i0, i1, (case when v % 256 > 127 then v % 256 - 256 else v % 256 end)::tinyint as v from {_QTY}")
+def cvt_uchar_byte_wrap(spark, d):
+    return qty(spark, d).withColumn("v", cv.wrap_uchar(F.col("v") % 256))
+
+
+@_query("cvt_erange_count", " union all ".join(f"select '{t}' as xtype, coalesce(sum(case when c_acctbal >= {TYPES[t].low} and c_acctbal <= {TYPES[t].high} then 0 else 1 end), 0)::bigint as n_errors from customer" for t in ("byte", "short", "ubyte", "ushort", "int")))
+def cvt_erange_count(spark, d):
+    return cv.count_range_errors(acct(spark, d), "v", "double", ["byte", "short", "ubyte", "ushort", "int"])
+
+
+# --- fill
+
+
+@_query("fill_grid", f"select g.i0, g.i1, coalesce(q.v, -2147483647) as v from (select i0, i1 from (select unnest(range((select max(s_suppkey) + 3 from supplier))) as i0), (select unnest(range(8)) as i1)) g left join {_QTY} q on q.i0 = g.i0 and q.i1 = g.i1")
+def fill_grid(spark, d):
+    n = _read(spark, d, "supplier").agg(F.max("s_suppkey") + 3).first()[0]
+    return update.densify(qty(spark, d), [int(n), 8], "int")
+
+
+@_query("fill_record", "select 12::bigint as i0, i1, 9.969209968386869e36::double as v from (select unnest(range(6)) as i1)")
+def fill_record(spark, d):
+    return update.fill_record(spark, 12, [6], "double")
+
+
+@_query("fill_to_null", f"select i0, i1, nullif(v, 100) as v from {_QTY}")
+def fill_to_null(spark, d):
+    return cv.with_nulls(qty(spark, d), "v", "int", 100)
+
+
+@_query("count_missing", f"select (count(*) - count(q.v))::bigint as missing, count(*)::bigint as cells from (select i0, i1 from (select unnest(range((select max(s_suppkey) + 3 from supplier))) as i0), (select unnest(range(8)) as i1)) g left join {_QTY} q on q.i0 = g.i0 and q.i1 = g.i1")
+def count_missing(spark, d):
+    return fill_grid(spark, d).agg(F.sum(cv.is_fill(F.col("v"), "int").cast("long")).alias("missing"), F.count(F.lit(1)).alias("cells"))
+
+
+@_query("coord_variable_join", f"select s_name as label, i1, v from {_QTY} join supplier on s_suppkey = i0")
+def coord_variable_join(spark, d):
+    label = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("i0"), F.col("s_name").alias("label"))
+    return qty(spark, d).join(label, "i0").select("label", "i1", "v")
+
+
+# --- catalogue and layout
+
+
+def _catalog(spark, d):
+    from .catalog import Catalog
+
+    c = Catalog(1)
+    n = {t: _read(spark, d, t).count() for t in ("embeddings", "orders", "customer", "events")}
+    for name, size in (("time", 0), ("vec", n["embeddings"]), ("dim", 64), ("o", n["orders"]), ("c", n["customer"])):
+        c.def_dim(name, size)
+    for name, kind, dims in (("EMB", "float", ["vec", "dim"]), ("ORD", "double", ["o"]), ("ACCT", "double", ["c"]), ("EVT", "double", ["time"]), ("KIND", "short", ["time"]), ("FLAG", "byte", ["c"])):
+        c.def_var(name, kind, dims)
+    c.numrecs = n["events"]
+    return c.lay_out()
+
+
+_DIMS_SQL = "select 'time' as name, count(*)::bigint as size, true as unlimited from events union all select 'vec', count(*), false from embeddings union all select 'dim', 64, false union all select 'o', count(*), false from orders union all select 'c', count(*), false from customer"
+_VARS_SQL = "select 0 as k, 'EMB' as name, 'float' as xtype, 2 as ndims, false as is_rec, 4 * 64 * (select count(*) from embeddings) as bytes union all select 1, 'ORD', 'double', 1, false, 8 * (select count(*) from orders) union all select 2, 'ACCT', 'double', 1, false, 8 * (select count(*) from customer) union all select 3, 'EVT', 'double', 1, true, 8 union all select 4, 'KIND', 'short', 1, true, 2 union all select 5, 'FLAG', 'byte', 1, false, (select count(*) from customer)"
+
+
+def _dataset(spark, d):
+    from .dataset import Dataset
+
+    return Dataset(spark, _catalog(spark, d), None, False, False)
+
+
+@_query("inq_dims", _DIMS_SQL)
+def inq_dims(spark, d):
+    x = _dataset(spark, d)
+    return x.dims().select("name", F.when(F.col("unlimited"), F.lit(x.catalog.numrecs)).otherwise(F.col("size")).cast("long").alias("size"), "unlimited")
+
+
+@_query("inq_vars", f"select name, xtype, ndims, is_rec from ({_VARS_SQL})")
+def inq_vars(spark, d):
+    return _dataset(spark, d).vars().select("name", "xtype", "ndims", "is_rec")
+
+
+@_query("inq_counts", "select 5 as ndims, 6 as nvars, 2 as num_rec_vars, 4 as num_fix_vars, 12 as recsize, (select count(*) from events)::bigint as numrecs")
+def inq_counts(spark, d):
+    q = _dataset(spark, d).inq()
+    return spark.createDataFrame([tuple(q[k] for k in ("ndims", "nvars", "num_rec_vars", "num_fix_vars", "recsize", "numrecs"))], "ndims int, nvars int, num_rec_vars int, num_fix_vars int, recsize int, numrecs long")
+
+
+@_query("var_shape_len", f"select name, ((bytes + 3) // 4 * 4)::bigint as len from ({_VARS_SQL})")
+def var_shape_len(spark, d):
+    return _dataset(spark, d).vars().select("name", "len")
+
+
+@_query("layout_begins", f"with v as (select *, (bytes + 3) // 4 * 4 as len from ({_VARS_SQL})), f as (select name, 512 + coalesce(sum(len) over (order by k rows between unbounded preceding and 1 preceding), 0) as begin from v where not is_rec) select name, begin::bigint as begin from f union all select name, (512 + (select sum(len) from v where not is_rec) + coalesce(sum(len) over (order by k rows between unbounded preceding and 1 preceding), 0))::bigint from v where is_rec")
+def layout_begins(spark, d):
+    return _dataset(spark, d).vars().select("name", "begin")
+
+
+@_query("recsize_one_var_special", "select 2 as single, 4 + 8 as pair")
+def recsize_one_var_special(spark, d):
+    from .catalog import Catalog
+
+    c = Catalog(1)
+    c.def_dim("t", 0)
+    c.def_var("s", "short", ["t"])
+    single = c.recsize()
+    c.def_var("r", "double", ["t"])
+    return spark.createDataFrame([(single, c.recsize())], "single int, pair int")
+
+
+# --- planning
+
+
+@_query("element_offset", f"select i0, i1, (512 + (i0 * 64 + i1) * 4)::bigint as off from {_EMB} where i0 % 50 = 0")
+def element_offset(spark, d):
+    return emb(spark, d).filter("i0 % 50 = 0").select("i0", "i1", requests.element_offset(512, [500, 64], 4).alias("off"))
+
+
+_ROWS_SQL = f"(select i0, min((i0 * 64 + i1) * 4)::bigint as off, (count(*) * 4)::bigint as len from {_EMB} where i0 >= 3 and i0 < 23 and i1 >= 10 and i1 < 30 group by i0)"
+
+
+def _rows(spark, d):
+    return requests.flatten(hyperslab.get_vara(emb(spark, d), [3, 10], [20, 20]), 2, requests.element_offset(0, [500, 64], 4), 4)
+
+
+@_query("flatten_rows", f"select * from {_ROWS_SQL}")
+def flatten_rows(spark, d):
+    return _rows(spark, d)
+
+
+_EVEN, _ODD = "(select off, len from {0} where i0 % 2 = 0)".format(_ROWS_SQL), "(select off + 40 as off, len from {0} where i0 % 2 = 0)".format(_ROWS_SQL)
+
+
+def _lists(spark, d):
+    even = _rows(spark, d).filter("i0 % 2 = 0").select("off", "len")
+    return [even, even.select((F.col("off") + 40).alias("off"), "len")]
+
+
+@_query("merge_sorted_offsets", f"select off, len, row_number() over (order by off, len) as rank from (select * from {_EVEN} union all select * from {_ODD})")
+def merge_sorted_offsets(spark, d):
+    return requests.merge_sorted(_lists(spark, d))
+
+
+@_query("coalesce_ranges", f"with r as (select * from {_EVEN} union all select * from {_ODD}), m as (select *, case when off > max(off + len) over (order by off, len rows between unbounded preceding and 1 preceding) then 1 else 0 end as f from r), g as (select *, sum(f) over (order by off, len rows between unbounded preceding and current row) as i from m) select min(off) as off, (max(off + len) - min(off))::bigint as len from g group by i")
+def coalesce_ranges(spark, d):
+    a, b = _lists(spark, d)
+    return requests.coalesce_ranges(a.unionByName(b))
+
+
+for _name, _pattern, _owners, _sql in (
+    ("decomp_block_block", "block-block", [4, 2], "(i0 // 125) * 2 + i1 // 32"), ("decomp_star_cyclic", "*-cyclic", [6], "i1 % 6"),
+    ("decomp_block_star", "block-*", [4], "i0 // 125"), ("decomp_star_block", "*-block", [5], "i1 // 13"),
+):
+
+    def _owned(spark, d, pattern=_pattern, owners=_owners):
+        cells = hyperslab.get_vara(emb(spark, d), [0, 0], [500, 64])
+        return cells.groupBy(hyperslab.decompose(pattern, [500, 64], owners).alias("owner")).agg(F.count(F.lit(1)).alias("cells"))
+
+    _query(_name, f"select ({_sql})::bigint as owner, count(*) as cells from {_EMB} where i0 < 500 group by 1")(_owned)
+
+
+@_query("aggregator_groups", f"select (off // 1500)::bigint as aggregator, sum(len)::bigint as bytes, count(*) as n_ranges from {_ROWS_SQL} group by 1")
+def aggregator_groups(spark, d):
+    return requests.aggregate(_rows(spark, d), 4, 6000)
+
+
+@_query("subfile_partition", f"select (i0 * 3 // 500)::bigint as file_id, count(*) as cells from {_EMB} where i0 < 500 group by 1")
+def subfile_partition(spark, d):
+    cells = hyperslab.get_vara(emb(spark, d), [0, 0], [500, 64])
+    return cells.groupBy(hyperslab.subfile([500, 64], 3).alias("file_id")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+_BEGINS = "(values ('a', 512, 100), ('b', 612, 40), ('c', 700, 8), ('d', 708, 4)) t(name, begin, len)"
+
+
+@_query("offsets_with_gaps", f'select name, begin::bigint as begin, (begin + len)::bigint as "end", coalesce(begin - lag(begin + len) over (order by begin), 0)::bigint as gap from {_BEGINS}')
+def offsets_with_gaps(spark, d):
+    return requests.gaps(spark.createDataFrame([("a", 512, 100), ("b", 612, 40), ("c", 700, 8), ("d", 708, 4)], "name string, begin long, len long"))
+
+
+# --- comparing
+
+
+def _changed(spark, d):
+    v = F.col("v")
+    return acct(spark, d).withColumn("v", F.when(F.col("i0") % 10 == 3, v + 0.5).when(F.col("i0") % 10 == 4, v * 1.25).when(F.col("i0") % 50 == 5, F.lit(float("nan"))).otherwise(v))
+
+
+_CHANGED = "(select c_custkey as i0, case when c_custkey % 10 = 3 then c_acctbal + 0.5::double when c_custkey % 10 = 4 then c_acctbal * 1.25::double when c_custkey % 50 = 5 then 'nan'::double else c_acctbal end as v from customer)"
+_PAIR = f"(select a.c_custkey as i0, a.c_acctbal as a, b.v as b from customer a join {_CHANGED} b on b.i0 = a.c_custkey)"
+_NAN = "case when isnan({0}) then -1e300 else {0} end"
+
+
+def _no_nan(df: DataFrame) -> DataFrame:
+    return df.select("i0", "a", F.when(F.isnan("b"), F.lit(-1e300)).otherwise(F.col("b")).alias("b"))
+
+
+@_query("diff_exact", f"select i0, a, {_NAN.format('b')} as b from {_PAIR} where isnan(a) or isnan(b) or a <> b")
+def diff_exact(spark, d):
+    return _no_nan(compare.diff(acct(spark, d), _changed(spark, d)))
+
+
+_TOLERANCE = "isnan(a) or isnan(b) or not (a = b or abs(a - b) <= 0.5 or abs(a - b) / greatest(abs(a), abs(b)) <= 0.1)"
+
+
+@_query("diff_tolerance", f"select i0, a, {_NAN.format('b')} as b from {_PAIR} where {_TOLERANCE}")
+def diff_tolerance(spark, d):
+    return _no_nan(compare.diff(acct(spark, d), _changed(spark, d), 0.5, 0.1))
+
+
+@_query("diff_count", f"select count(*) as n from {_PAIR} where isnan(a) or isnan(b) or a <> b")
+def diff_count(spark, d):
+    return compare.diff(acct(spark, d), _changed(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("diff_first", f"select i0, a, {_NAN.format('b')} as b from {_PAIR} where isnan(a) or isnan(b) or a <> b order by i0 limit 1")
+def diff_first(spark, d):
+    return _no_nan(compare.first_diff(acct(spark, d), _changed(spark, d)))
+
+
+@_query("diff_header_names", "select n_name as name, case when n_nationkey % 3 = 0 then 'only in first' when n_nationkey % 3 = 1 then 'same' else 'different' end as state from nation")
+def diff_header_names(spark, d):
+    a = _read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("k"))
+    b = a.filter("k % 3 <> 0").withColumn("k", F.when(F.col("k") % 3 == 2, F.col("k") + 100).otherwise(F.col("k")))
+    return compare.diff_names(a, b)
+
+
+# --- dump
+
+
+@_query("dump_rows", f"select i0, array_to_string(list(v::varchar order by i1), ', ') as line from {_QTY} group by i0")
+def dump_rows(spark, d):
+    from ..sources.cdl import rows
+
+    return rows(qty(spark, d), "int")
+
+
+@_query("dump_fill_marks", f"select i0, i1, case when v = 100 then '_' else v::varchar end as shown from {_QTY}")
+def dump_fill_marks(spark, d):
+    return qty(spark, d).select("i0", "i1", F.when(cv.is_fill(F.col("v"), "int", 100), "_").otherwise(F.col("v").cast("string")).alias("shown"))
+
+
+@_query("dump_annotations", f"select i0, i1, '[' || i0 || ',' || i1 || ']' as c_index, '(' || (i1 + 1) || ',' || (i0 + 1) || ')' as fortran_index from {_QTY}")
+def dump_annotations(spark, d):
+    one = lambda k: (F.col(k) + 1).cast("string")
+    return qty(spark, d).select("i0", "i1", F.concat(F.lit("["), F.col("i0").cast("string"), F.lit(","), F.col("i1").cast("string"), F.lit("]")).alias("c_index"), F.concat(F.lit("("), one("i1"), F.lit(","), one("i0"), F.lit(")")).alias("fortran_index"))
+
+
+@_query("char_rows", "select doc_id as i0, rtrim(substr(text, 1, 16), chr(0)) as line from documents where doc_id < 100")
+def char_rows(spark, d):
+    chars = _read(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("i0"), F.posexplode(F.sequence(F.lit(0), F.lit(15))).alias("i1", "k"), "text")
+    cells = chars.select("i0", "i1", F.rpad(F.substring("text", F.col("k") + 1, F.lit(1)), 1, "\0").alias("v"))
+    joined = cells.groupBy("i0").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i1", "v"))), lambda x: x["v"]), "").alias("line"))
+    return joined.select("i0", F.regexp_replace("line", "\\x00+$", "").alias("line"))
+
+
+# --- log, files, streams
+
+
+@_query("log_replay", "select user_id as i0, arg_max(value, event_id) as v from events group by user_id")
+def log_replay(spark, d):
+    log = _read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("i0"), F.col("value").alias("v"))
+    return update.replay(log)
+
+
+def _folder(spark) -> str:
+    """A folder that driver and executors share; the classic format is one file on a mounted path."""
+    import os
+    import tempfile
+    from urllib.parse import urlparse
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = urlparse(shared).path if shared and urlparse(shared).scheme in ("", "file") else None
+    return tempfile.mkdtemp(prefix="gridloom-", dir=base if base and os.path.isdir(base) else None)
+
+
+@_query("cdf_roundtrip", f"select i0, i1, v::double as v from {_EMB} where i0 < 100")
+def cdf_roundtrip(spark, d):
+    """Cells written to a CDF-2 file by Spark tasks and read back through the data source."""
+    from ..sources.cdf import CdfSource, create
+    from .catalog import Catalog
+
+    spark.dataSource.register(CdfSource)
+    c = Catalog(2)
+    c.def_dim("vec", 100)
+    c.def_dim("dim", 64)
+    c.def_var("EMB", "float", ["vec", "dim"])
+    path = f"{_folder(spark)}/emb.nc"
+    create(path, c)
+    hyperslab.get_vara(emb(spark, d), [0, 0], [100, 64]).write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
+    return _d(spark.read.format("cdf").option("path", path).option("var", "EMB").load())
+
+
+@_query("cdl_roundtrip", "select 0::bigint as i0, 1 as v union all select 1, 2 union all select 2, -2147483647")
+def cdl_roundtrip(spark, d):
+    from ..sources import cdl
+
+    c, data = cdl.parse("netcdf a { dimensions: x = 3 ; variables: int v(x) ; data: v = 1, 2, _ ; }")
+    text = cdl.dump(c, cdl.frames(spark, c, data), "a")
+    c, data = cdl.parse(text)
+    return cdl.frames(spark, c, data)["v"]
+
+
+def _small_file(spark, n: int) -> str:
+    from ..sources.cdf import create
+    from .catalog import Catalog
+
+    c = Catalog(1)
+    c.def_dim("time", 0)
+    c.def_dim("x", 3)
+    c.def_var("w", "int", ["time", "x"])
+    c.def_var("f", "short", ["x"])
+    c.numrecs = n
+    path = f"{_folder(spark)}/small.nc"
+    create(path, c)
+    return path
+
+
+@_query("validate_ok", "select 0::bigint as problems, 1::bigint as broken_found")
+def validate_ok(spark, d):
+    """A sound file has no problems; one whose first variable begins within the header has one."""
+    from ..functions.types import ArrayError
+    from ..sources.cdf import decode_header, encode_header, read_header, validate
+
+    path = _small_file(spark, 4)
+    c = read_header(path)
+    c.vars[0].begin = 4
+    try:
+        decode_header(encode_header(c))
+        broken = 0
+    except ArrayError:
+        broken = 1
+    return spark.createDataFrame([(len(validate(path)), broken)], "problems long, broken_found long")
+
+
+@_query("stream_append", "select unnest(range(4))::bigint as i0, 3::bigint as cells, -2147483647 * 3::bigint as total")
+def stream_append(spark, d):
+    """The records of a file as a stream, summed by record."""
+    from ..streaming.records import RecordStream
+
+    spark.dataSource.register(RecordStream)
+    path = _small_file(spark, 4)
+    name = "gridloom_stream_append"
+    stream = spark.readStream.format("cdf_records").option("path", path).option("var", "w").load()
+    run = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).groupBy("i0").agg(F.count(F.lit(1)).alias("cells"), F.sum("v").alias("total"))
