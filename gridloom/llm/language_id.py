@@ -147,9 +147,10 @@ def fit(counts: dict[str, Counter], batches: int = 700, rows: int = 512, rate: f
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, **how) -> Network:
-    """Fits on the ``sample`` rows of the least hash of id (then text) that have a text and a language."""
+    """Fits on at most ``sample`` rows that have a text and a language, those of the least hashes of id."""
     rows = labelled.filter(c.quoted(text_col).isNotNull() & c.quoted(lang_col).isNotNull())
-    chosen = rows.select(F.xxhash64(c.quoted(id_col)).alias("h"), c.quoted(lang_col).cast("string").alias("lang"), c.quoted(text_col).alias("text")).orderBy("h", "lang", "text").limit(sample)
+    rows = rows.select(c.quoted(id_col).alias("key"), c.quoted(lang_col).cast("string").alias("lang"), c.quoted(text_col).alias("text"))
+    chosen = c.hash_sample(rows, F.col("key"), sample, [F.col("lang"), F.col("text")])
     words = chosen.select("lang", F.explode(c.words_of(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     counts: dict[str, Counter] = {}
     for lang, word, n in words.collect():  # distinct words of at most ``sample`` documents
