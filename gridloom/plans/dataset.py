@@ -31,6 +31,12 @@ def inq_default_format() -> int:
     return _default_version
 
 
+def delete(path: str) -> None:
+    if not os.path.exists(path):
+        raise ArrayError(Code.NOENT, path)
+    os.remove(path)
+
+
 class Dataset:
     """``create`` starts in define mode, ``open`` in data mode."""
 
@@ -45,6 +51,7 @@ class Dataset:
         self._ids = {"put": 0, "get": 1}
         self._buffer: int | None = None
         self.put_bytes = self.get_bytes = 0
+        self._on_file: set[str] = set()  # variables whose cells are the file's: boxes are cut in the reader
 
     # files
 
@@ -69,10 +76,10 @@ class Dataset:
         if kind == "unknown":
             raise ArrayError(Code.NOTNC, path)
         spark.dataSource.register(CdfSource)
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         out = cls(spark, read_header(path), path, write, False)
         for v in out.catalog.vars:
-            out.cells[v.name] = spark.read.format("cdf").option("path", path).option("var", v.name).option("pushdown", "true").load()
+            out.cells[v.name] = spark.read.format("cdf").option("path", path).option("var", v.name).load()
+            out._on_file.add(v.name)
         return out
 
     def close(self) -> None:
@@ -175,6 +182,7 @@ class Dataset:
         self._rename(self.catalog.dims, self.catalog.dim(old), new)
 
     def rename_var(self, old: str, new: str) -> None:
+        self._on_file.discard(old)
         k = self.catalog.vars.index(self.catalog.var(old))
         self._rename(self.catalog.vars, k, new)
         self.cells[self.catalog.vars[k].name] = self.cells.pop(old)
@@ -320,12 +328,23 @@ class Dataset:
         v = self._checked(var, dtype, False, start, count, stride, collective)
         df = self.cells[v.name]
         if start is not None and v.dims:
+            if v.name in self._on_file:
+                span = [(c - 1) * (stride[k] if stride else 1) + 1 if c else 0 for k, c in enumerate(count)]
+                df = self.spark.read.format("cdf").option("path", self.path).option("var", v.name).option("start", ",".join(map(str, start))).option("count", ",".join(map(str, span))).load()
             df = hyperslab.get_varm(df, start, count, stride, imap) if imap is not None else hyperslab.get_vars(df, start, count, stride)
+        self.get_bytes += self._bytes(v, count)
         if dtype and dtype != v.xtype:
             source = cv.unwrap_uchar(F.col("v")) if dtype == "ubyte" and v.xtype == "byte" and self.catalog.version != 5 else cv.convert(F.col("v"), v.xtype, dtype)
             df = df.withColumn("v", source)
         return df
 
+    def _bytes(self, v: Var, count) -> int:
+        """Bytes of an access, as its box says."""
+        out = external(v.xtype).size
+        for n in count if count is not None else self.catalog.shape(v):
+            out *= n
+        return out
+
     def get_varn(self, var, boxes: list[tuple], dtype: str | None = None) -> DataFrame:
         v = self.catalog.var(var)
         for start, count in boxes:
@@ -347,9 +366,11 @@ class Dataset:
         """Writes cells (coordinates and v).  With a box, cells outside it are an error of the caller and left out."""
         v = self._checked(var, dtype, True, start, count, stride, collective)
         new = self._written(v, cells, dtype)
+        self.put_bytes += self._bytes(v, count)
         if start is not None and v.dims:
             new = new.filter(hyperslab.box(len(v.dims), start, count, stride))
         self.cells[v.name] = update.put(self.cells[v.name], new)
+        self._on_file.discard(v.name)
         if self.catalog.is_record(v):
             n = start[0] + (count[0] - 1) * (stride[0] if stride else 1) + 1 if start is not None and count[0] else (new.agg(F.max("i0")).first()[0] or -1) + 1
             self.catalog.numrecs = max(self.catalog.numrecs, n)

@@ -3,8 +3,9 @@
     spark.dataSource.register(CdfSource)
     spark.read.format("cdf").option("var", "temperature").load(path)
 
-A variable is read in slabs of its first dimension, one Spark partition each; ranges on coordinates pushed down by Spark, or
-given as options ``start`` and ``count``, cut the slabs that are read.  Values are decoded by numpy and leave as Arrow.
+A variable is read in slabs of its first dimension, one Spark partition each; the options ``start`` and ``count`` cut what is
+read.  (Filters are not pushed: Spark keeps a reader for all queries of a DataFrame, so one query's filter would cut the next.)
+Values are decoded by numpy and leave as Arrow.
 """
 
 from __future__ import annotations
@@ -231,27 +232,11 @@ class CdfReader(DataSourceReader):
                 if len(raw) < inner * t.size:  # never written
                     raw = raw + b"\0" * (inner * t.size - len(raw))
                 part = np.frombuffer(raw, t.dtype).reshape(shape[1:])[keep]
-                index = np.indices(part.shape, dtype=np.int64).reshape(len(part.shape), -1)
+                index = np.indices(part.shape, dtype=np.int64).reshape(len(part.shape), part.size)
                 coords = [np.full(part.size, i, np.int64), *[x + s.start for x, s in zip(index, keep, strict=True)]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, coords), arrow_values(np.ascontiguousarray(part).ravel(), v.xtype)], names=[*[f"i{k}" for k in range(len(shape))], "v"])
 
 
-class PushingCdfReader(CdfReader):
-    """With ``spark.sql.python.filterPushdown.enabled``."""
-
-    def pushFilters(self, filters):
-        """Ranges on coordinates cut the box; every filter also stays with Spark."""
-        for f in filters:
-            kind, column = type(f).__name__, getattr(f, "attribute", ())
-            if len(column) == 1 and column[0][:1] == "i" and column[0][1:].isdigit() and isinstance(getattr(f, "value", None), int):
-                k, x = int(column[0][1:]), f.value
-                if kind in ("EqualTo", "GreaterThanOrEqual", "GreaterThan"):
-                    self.low[k] = max(self.low[k], x + (kind == "GreaterThan"))
-                if kind in ("EqualTo", "LessThanOrEqual", "LessThan"):
-                    self.high[k] = min(self.high[k], x + (kind != "LessThan"))
-            yield f
-
-
 class _Written(WriterCommitMessage):
     def __init__(self, most: int):
         self.most = most
@@ -287,7 +272,8 @@ class CdfWriter(DataSourceWriter):
                 k = e
             pending.clear()
 
-        with open(self.path, "r+b") as f:
+        # Unbuffered: a buffer would write back bytes between its own that another task has changed meanwhile.
+        with open(self.path, "r+b", buffering=0) as f:
             for row in rows:
                 at = 0
                 for k in range(1 if record else 0, rank):
@@ -311,7 +297,7 @@ class CdfWriter(DataSourceWriter):
 
 
 class CdfSource(DataSource):
-    """Options: ``path``, ``var``; for reads ``start`` and ``count`` (comma lists), and ``pushdown`` (true where Spark may push filters)."""
+    """Options: ``path``, ``var``, and for reads ``start`` and ``count`` (comma lists)."""
 
     @classmethod
     def name(cls):
@@ -322,8 +308,7 @@ class CdfSource(DataSource):
         return schema_of(c, c.var(self.options["var"]))
 
     def reader(self, schema):
-        kind = PushingCdfReader if self.options.get("pushdown") == "true" else CdfReader
-        return kind(self.options["path"], self.options["var"], self.options)
+        return CdfReader(self.options["path"], self.options["var"], self.options)
 
     def writer(self, schema, overwrite):
         return CdfWriter(self.options["path"], self.options["var"])
