@@ -290,37 +290,40 @@ def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: in
     """Take documents out of regions beyond ``region_shingles`` by rounds of one pivot each, spread over the cluster.
 
     ``sets``: region, id, n, shingles.  Returns what is left, and links found.  After a round, a document within tau of the
-    pivot (class A) is linked to it; it goes on only if its window [d - tau, d + tau] reaches a document outside A.
+    pivot (class A) is linked to it; it goes on only if its window [d - tau, d + tau] reaches a document outside A.  Nothing
+    comes to the driver; a table with a row for each large region is broadcast only while it is small.  A region that is still
+    large after all rounds is joined as it is.
     """
-    spark, tau, links = sets.sparkSession, 1 - percent / 100, []
+    tau, links, done = 1 - percent / 100, [], []
+
+    @F.pandas_udf("double")
+    def far(shingles: pd.Series, pivot: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(shingles, pivot, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            k = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(1 - k / (len(x) + len(y) - k))
+        return pd.Series(out, dtype="float64")
+
     for _ in range(rounds):
         size = sets.groupBy("region").agg(F.sum("n").alias("all"), F.min("id").alias("pivot")).filter(F.col("all") > region_shingles)
-        chosen = size.select("region", "pivot").collect()  # at most all shingles / region_shingles rows
-        if not chosen:
+        large = c.checkpointed(size.select("region", "pivot"))
+        n_large = large.count()
+        if not n_large:
             break
+        hint = F.broadcast if n_large <= 1000 else lambda x: x
         sets = c.materialize(sets)
-        by_pivot = {r.pivot: bytes(x.shingles) for r in chosen for x in sets.filter(F.col("id") == r.pivot).select("shingles").collect()}
-        pivots = {r.region: np.frombuffer(by_pivot[r.pivot], np.uint64) for r in chosen}
-        held = spark.sparkContext.broadcast(pivots)
-
-        @F.pandas_udf("double")
-        def far(region: pd.Series, shingles: pd.Series) -> pd.Series:
-            out = []
-            for g, x in zip(region, shingles, strict=True):  # noqa: B023
-                p, y = held.value[g], np.frombuffer(x, np.uint64)  # noqa: B023
-                k = len(np.intersect1d(p, y, assume_unique=True))
-                out.append(1 - k / (len(p) + len(y) - k))
-            return pd.Series(out, dtype="float64")
-
-        inside = sets.filter(F.col("region").isin(list(pivots)))
-        measured = c.materialize(inside.withColumn("d", far("region", "shingles")))
-        pivot_of = F.create_map(*[F.lit(x) for r in chosen for x in (r.region, r.pivot)])
-        linked = measured.filter(F.col("d") <= tau + _EPS)
-        links.append(linked.select(F.col("id").alias("a"), pivot_of[F.col("region")].alias("b")).filter("a <> b"))
-        beyond = measured.filter(F.col("d") > tau + _EPS)
+        done.append(sets.join(hint(large), "region", "left_anti"))
+        inside = sets.join(hint(large), "region")
+        at = c.materialize(inside.filter("id = pivot").select("region", F.col("shingles").alias("at")))
+        measured = c.materialize(inside.join(hint(at), "region").withColumn("d", far("shingles", "at")).drop("at"))
+        linked, beyond = measured.filter(F.col("d") <= tau + _EPS), measured.filter(F.col("d") > tau + _EPS)
+        links.append(linked.select(F.col("id").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
         nearest = beyond.groupBy("region").agg(F.min("d").alias("reach"))
-        still = linked.join(nearest, "region").filter(F.col("d") >= F.col("reach") - tau - _EPS).filter(F.col("d") > 0).select("region", "id", "n", "shingles")
-        sets = sets.filter(~F.col("region").isin(list(pivots))).unionByName(beyond.select("region", "id", "n", "shingles")).unionByName(still)
+        still = linked.join(nearest, "region").filter((F.col("d") >= F.col("reach") - tau - _EPS) & (F.col("d") > 0))
+        sets = beyond.select("region", "id", "n", "shingles").unionByName(still.select("region", "id", "n", "shingles"))
+    for x in done:
+        sets = sets.unionByName(x)
     return sets, links
 
 

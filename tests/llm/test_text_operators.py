@@ -313,7 +313,7 @@ def chain(n=40, length=60):
     return [(5000 + k, " ".join(words[2 * k : 2 * k + length])) for k in range(n)]
 
 
-@pytest.mark.parametrize("region", [jaccard_join.REGION_SHINGLES, 500])
+@pytest.mark.parametrize("region", [jaccard_join.REGION_SHINGLES, 1500])
 def test_jaccard_join_brute_force(spark, region):
     rows = [*corpus(), *chain(), (3, "another text of the id three which is longer than that"), (None, "x y z"), (700, "A b C"), (701, "a B c"), (702, "a b")]
     r = random.Random(4)
