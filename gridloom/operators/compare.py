@@ -23,6 +23,8 @@ def diff(a: DataFrame, b: DataFrame, absolute: float | None = None, ratio: float
     """Cells both have whose values differ: coordinates, a and b."""
     on = coords(a)
     joined = a.select(*on, F.col("v").alias("a")).join(b.select(*on, F.col("v").alias("b")), on)
+    if dict(a.dtypes)["v"] == "binary":  # characters: no tolerance
+        return joined.filter("a <> b")
     return joined.filter(differs(F.col("a"), F.col("b"), absolute, ratio))
 
 

@@ -90,24 +90,32 @@ def boxes_frame(spark, boxes: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(["box long", *[f"s{k} long" for k in range(rank)], *[f"c{k} long" for k in range(rank)]]))
 
 
-#: A list of at most so many boxes is broadcast; a longer one is cut into the cells of its first dimension.
-BROADCAST_BOXES = 100_000
+#: Lists of at most so many boxes are compared with each cell; longer ones meet the cells by an equal join, broadcast up to
+#: the second bound.
+FEW_BOXES, BROADCAST_BOXES = 16, 100_000
 
 
 def get_varn(df: DataFrame, boxes: Sequence[tuple]) -> DataFrame:
     """The cells of each box, with its number; overlapping and repeated boxes each give theirs."""
+    if not boxes:
+        return df.filter("false").select(F.lit(0).cast("long").alias("box"), *df.columns)
     rank = len(boxes[0][0])
+    boxes = [(s, c or [1] * rank) for s, c in boxes]
     b = boxes_frame(df.sparkSession, boxes)
     inside = F.lit(True)
     for k in range(rank):
         inside = inside & (F.col(f"i{k}") >= F.col(f"s{k}")) & (F.col(f"i{k}") < F.col(f"s{k}") + F.col(f"c{k}"))
-    if len(boxes) > BROADCAST_BOXES:
-        rows = b.withColumn("r0", F.explode(F.sequence("s0", F.col("s0") + F.col("c0") - 1)))
-        joined = df.join(rows, (F.col("i0") == F.col("r0")) & inside)
+    low = [min(s[k] for s, _ in boxes) for k in range(rank)]
+    high = [max(s[k] + c[k] for s, c in boxes) for k in range(rank)]
+    df = df.filter(box(rank, low, [h - a for a, h in zip(low, high, strict=True)]))
+    if len(boxes) <= FEW_BOXES:
+        joined = df.join(F.broadcast(b), inside)
     else:
-        low = [min(s[k] for s, _ in boxes) for k in range(rank)]
-        high = [max(s[k] + (c[k] if c else 1) for s, c in boxes) for k in range(rank)]
-        joined = df.filter(box(rank, low, [h - a for a, h in zip(low, high, strict=True)])).join(F.broadcast(b), inside)
+        # Strips as wide as the boxes are on average along the first dimension: at most three rows a box in all.
+        width = max(1, -(-sum(c[0] for _, c in boxes) // len(boxes)))
+        strips = b.filter("c0 > 0").withColumn("strip", F.explode(F.sequence(F.floor(F.col("s0") / width), F.floor((F.col("s0") + F.col("c0") - 1) / width))))
+        strips = F.broadcast(strips) if len(boxes) <= BROADCAST_BOXES else strips
+        joined = df.join(strips, (F.floor(F.col("i0") / width) == F.col("strip")) & inside)
     return joined.select("box", *[f"i{k}" for k in range(rank)], "v")
 
 

@@ -23,6 +23,12 @@ def put(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(b, on, "full_outer").select(*on, F.when(F.col("is_new"), F.col("new_v")).otherwise(F.col("v")).alias("v"))
 
 
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``put`` for cells of records that ``old`` surely lacks: nothing is joined or shuffled."""
+    on = coords(old)
+    return old.select(*on, "v").unionByName(new.select(*on, "v"))
+
+
 def numrecs_after(numrecs: Column | int, start: int, count: int, stride: int = 1) -> Column:
     """Records after a write along the record dimension."""
     return F.greatest(F.lit(numrecs) if isinstance(numrecs, int) else numrecs, F.lit(start + (count - 1) * stride + 1 if count else 0))

@@ -107,6 +107,15 @@ def get_varn_boxes(spark, d):
     return _d(hyperslab.get_varn(emb(spark, d), _BOXES))
 
 
+_MANY = [([b * 11 % 480, b * 5 % 50], [1 + b % 9, 1 + b % 7]) for b in range(40)]
+_MANY_SQL = "(select b as box, b * 11 % 480 as s0, b * 5 % 50 as s1, 1 + b % 9 as c0, 1 + b % 7 as c1 from (select unnest(range(40)) as b))"
+
+
+@_query("get_varn_many", f"select box::bigint as box, i0, i1, v::double as v from {_EMB} e join {_MANY_SQL} on i0 >= s0 and i0 < s0 + c0 and i1 >= s1 and i1 < s1 + c1")
+def get_varn_many(spark, d):
+    return _d(hyperslab.get_varn(emb(spark, d), _MANY))
+
+
 @_query("mget_vara", f"select 'EMB' as var, i0, i1, v::double as v from {_EMB} where i0 < 4 and i1 < 4 union all select 'EVT', event_id, -1, value from events where event_id between 10 and 19")
 def mget_vara(spark, d):
     both = hyperslab.mget({"EMB": hyperslab.get_vara(emb(spark, d), [0, 0], [4, 4]), "EVT": hyperslab.get_vara(evt(spark, d), [10], [10])})
@@ -328,16 +337,25 @@ def recsize_one_var_special(spark, d):
 # --- planning
 
 
-@_query("element_offset", f"select i0, i1, (512 + (i0 * 64 + i1) * 4)::bigint as off from {_EMB} where i0 % 50 = 0")
+_N = "(select coalesce(max(vec_id) + 1, 0) from embeddings)"
+
+
+def _n(spark, d) -> int:
+    return _read(spark, d, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
+
+
+@_query("element_offset", f"select i0, i1, (512 + (i0 * 64 + i1) * 4)::bigint as off from {_EMB}")
 def element_offset(spark, d):
-    return emb(spark, d).filter("i0 % 50 = 0").select("i0", "i1", requests.element_offset(512, [500, 64], 4).alias("off"))
+    return emb(spark, d).select("i0", "i1", requests.element_offset(512, [_n(spark, d), 64], 4).alias("off"))
 
 
-_ROWS_SQL = f"(select i0, min((i0 * 64 + i1) * 4)::bigint as off, (count(*) * 4)::bigint as len from {_EMB} where i0 >= 3 and i0 < 23 and i1 >= 10 and i1 < 30 group by i0)"
+_ROWS_SQL = f"(select i0, min((i0 * 64 + i1) * 4)::bigint as off, (count(*) * 4)::bigint as len from {_EMB} where i1 >= 10 and i1 < 30 group by i0)"
 
 
 def _rows(spark, d):
-    return requests.flatten(hyperslab.get_vara(emb(spark, d), [3, 10], [20, 20]), 2, requests.element_offset(0, [500, 64], 4), 4)
+    """Byte ranges of a box of 20 columns over all rows."""
+    n = _n(spark, d)
+    return requests.flatten(hyperslab.get_vara(emb(spark, d), [0, 10], [n, 20]), 2, requests.element_offset(0, [n, 64], 4), 4)
 
 
 @_query("flatten_rows", f"select * from {_ROWS_SQL}")
@@ -345,46 +363,71 @@ def flatten_rows(spark, d):
     return _rows(spark, d)
 
 
-_EVEN, _ODD = "(select off, len from {0} where i0 % 2 = 0)".format(_ROWS_SQL), "(select off + 40 as off, len from {0} where i0 % 2 = 0)".format(_ROWS_SQL)
+# Two lists that overlap in each row, and a third that joins three rows in five.
+_LISTS_SQL = f"(select off, len from {_ROWS_SQL} union all select off + 40, len from {_ROWS_SQL} union all select off + 100, case when i0 % 5 < 3 then 176 else 8 end from {_ROWS_SQL})"
 
 
 def _lists(spark, d):
-    even = _rows(spark, d).filter("i0 % 2 = 0").select("off", "len")
-    return [even, even.select((F.col("off") + 40).alias("off"), "len")]
+    rows = _rows(spark, d)
+    bridge = F.when(F.col("i0") % 5 < 3, 176).otherwise(8).cast("long")
+    return [rows.select("off", "len"), rows.select((F.col("off") + 40).alias("off"), "len"), rows.select((F.col("off") + 100).alias("off"), bridge.alias("len"))]
 
 
-@_query("merge_sorted_offsets", f"select off, len, row_number() over (order by off, len) as rank from (select * from {_EVEN} union all select * from {_ODD})")
+@_query("merge_sorted_offsets", f"select off::bigint as off, len::bigint as len, row_number() over (order by off, len) as rank from {_LISTS_SQL}")
 def merge_sorted_offsets(spark, d):
     return requests.merge_sorted(_lists(spark, d))
 
 
-@_query("coalesce_ranges", f"with r as (select * from {_EVEN} union all select * from {_ODD}), m as (select *, case when off > max(off + len) over (order by off, len rows between unbounded preceding and 1 preceding) then 1 else 0 end as f from r), g as (select *, sum(f) over (order by off, len rows between unbounded preceding and current row) as i from m) select min(off) as off, (max(off + len) - min(off))::bigint as len from g group by i")
+_COALESCED = f"(with r as (select * from {_LISTS_SQL}), m as (select *, case when off > max(off + len) over (order by off, len rows between unbounded preceding and 1 preceding) then 1 else 0 end as f from r), g as (select *, sum(f) over (order by off, len rows between unbounded preceding and current row) as i from m) select min(off)::bigint as off, (max(off + len) - min(off))::bigint as len from g group by i)"
+
+
+@_query("coalesce_ranges", f"select * from {_COALESCED}")
 def coalesce_ranges(spark, d):
-    a, b = _lists(spark, d)
-    return requests.coalesce_ranges(a.unionByName(b))
+    a, b, c = _lists(spark, d)
+    return requests.coalesce_ranges(a.unionByName(b).unionByName(c))
+
+
+_ASKED = "(select vec_id as req, (vec_id * 64 + 16) * 4 as lo, (vec_id * 64 + 16) * 4 + 300 as hi from embeddings)"
+
+
+@_query("scatter_reads", f"select req, greatest(off, lo)::bigint as off, (least(off + len, hi) - greatest(off, lo))::bigint as len from {_ASKED} join {_COALESCED} on off < hi and lo < off + len")
+def scatter_reads(spark, d):
+    """Pieces of the coalesced ranges for requests of 300 bytes, one for each row."""
+    asked = _read(spark, d, "embeddings").select(F.col("vec_id").alias("req"), ((F.col("vec_id") * 64 + 16) * 4).alias("off"), F.lit(300).cast("long").alias("len"))
+    return requests.scatter(coalesce_ranges(spark, d), asked)
 
 
 for _name, _pattern, _owners, _sql in (
-    ("decomp_block_block", "block-block", [4, 2], "(i0 // 125) * 2 + i1 // 32"), ("decomp_star_cyclic", "*-cyclic", [6], "i1 % 6"),
-    ("decomp_block_star", "block-*", [4], "i0 // 125"), ("decomp_star_block", "*-block", [5], "i1 // 13"),
+    ("decomp_block_block", "block-block", [4, 2], f"(i0 // (({_N} + 3) // 4)) * 2 + i1 // 32"), ("decomp_star_cyclic", "*-cyclic", [6], "i1 % 6"),
+    ("decomp_block_star", "block-*", [4], f"i0 // (({_N} + 3) // 4)"), ("decomp_star_block", "*-block", [5], "i1 // 13"),
 ):
 
     def _owned(spark, d, pattern=_pattern, owners=_owners):
-        cells = hyperslab.get_vara(emb(spark, d), [0, 0], [500, 64])
-        return cells.groupBy(hyperslab.decompose(pattern, [500, 64], owners).alias("owner")).agg(F.count(F.lit(1)).alias("cells"))
+        owner = hyperslab.decompose(pattern, [_n(spark, d), 64], owners)
+        return emb(spark, d).groupBy(owner.alias("owner")).agg(F.count(F.lit(1)).alias("cells"))
 
-    _query(_name, f"select ({_sql})::bigint as owner, count(*) as cells from {_EMB} where i0 < 500 group by 1")(_owned)
+    _query(_name, f"select ({_sql})::bigint as owner, count(*) as cells from {_EMB} group by 1")(_owned)
 
 
-@_query("aggregator_groups", f"select (off // 1500)::bigint as aggregator, sum(len)::bigint as bytes, count(*) as n_ranges from {_ROWS_SQL} group by 1")
+@_query("aggregator_groups", f"select (off // ({_N} * 64))::bigint as aggregator, sum(len)::bigint as bytes, count(*) as n_ranges from {_ROWS_SQL} group by 1")
 def aggregator_groups(spark, d):
-    return requests.aggregate(_rows(spark, d), 4, 6000)
+    return requests.aggregate(_rows(spark, d), 4, _n(spark, d) * 64 * 4)
 
 
-@_query("subfile_partition", f"select (i0 * 3 // 500)::bigint as file_id, count(*) as cells from {_EMB} where i0 < 500 group by 1")
+@_query("subfile_partition", f"select (i0 * 3 // {_N})::bigint as file_id, count(*) as cells from {_EMB} group by 1")
 def subfile_partition(spark, d):
-    cells = hyperslab.get_vara(emb(spark, d), [0, 0], [500, 64])
-    return cells.groupBy(hyperslab.subfile([500, 64], 3).alias("file_id")).agg(F.count(F.lit(1)).alias("cells"))
+    return emb(spark, d).groupBy(hyperslab.subfile([_n(spark, d), 64], 3).alias("file_id")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+_CUT = f"(select vec_id as req, vec_id as lo, least(vec_id + 1 + vec_id % 297, n) as hi, k as file_id, (k * n + 2) // 3 as f_lo, ((k + 1) * n + 2) // 3 as f_hi from embeddings, (select unnest(range(3)) as k), (select {_N} as n))"
+
+
+@_query("subfile_exchange", f"select req, file_id::bigint as file_id, greatest(lo, f_lo)::bigint as start, (least(hi, f_hi) - greatest(lo, f_lo))::bigint as count from {_CUT} where lo < f_hi and f_lo < hi")
+def subfile_exchange(spark, d):
+    """Requests for runs of rows, cut at the bounds of three files."""
+    n, v = _n(spark, d), F.col("vec_id")
+    asked = _read(spark, d, "embeddings").select(v.alias("req"), v.alias("start"), (F.least(v + 1 + v % 297, F.lit(n)) - v).alias("count"))
+    return requests.subfile_requests(asked, n, 3)
 
 
 _BEGINS = "(values ('a', 512, 100), ('b', 612, 40), ('c', 700, 8), ('d', 708, 4)) t(name, begin, len)"
@@ -395,6 +438,12 @@ def offsets_with_gaps(spark, d):
     return requests.gaps(spark.createDataFrame([("a", 512, 100), ("b", 612, 40), ("c", 700, 8), ("d", 708, 4)], "name string, begin long, len long"))
 
 
+@_query("record_offsets", f"with l as ({ORACLES['layout_begins']}), v as (select name, is_rec, ((bytes + 3) // 4 * 4)::bigint as len from ({_VARS_SQL})) select name, -1::bigint as record, begin, begin + len as \"end\" from l join v using (name) where not is_rec union all select name, event_id, begin + event_id * 12, begin + event_id * 12 + len from l join v using (name), events where is_rec")
+def record_offsets(spark, d):
+    x = _dataset(spark, d)
+    return requests.record_offsets(x.vars().select("name", "begin", "len", "is_rec"), x.catalog.numrecs, x.catalog.recsize())
+
+
 # --- comparing
 
 
@@ -463,12 +512,11 @@ def dump_annotations(spark, d):
     return qty(spark, d).select("i0", "i1", F.concat(F.lit("["), F.col("i0").cast("string"), F.lit(","), F.col("i1").cast("string"), F.lit("]")).alias("c_index"), F.concat(F.lit("("), one("i1"), F.lit(","), one("i0"), F.lit(")")).alias("fortran_index"))
 
 
-@_query("char_rows", "select doc_id as i0, rtrim(substr(text, 1, 16), chr(0)) as line from documents where doc_id < 100")
+@_query("char_rows", "select doc_id as i0, rtrim(text, chr(0)) as line from documents where length(text) > 0")
 def char_rows(spark, d):
-    chars = _read(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("i0"), F.posexplode(F.sequence(F.lit(0), F.lit(15))).alias("i1", "k"), "text")
-    cells = chars.select("i0", "i1", F.rpad(F.substring("text", F.col("k") + 1, F.lit(1)), 1, "\0").alias("v"))
-    joined = cells.groupBy("i0").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i1", "v"))), lambda x: x["v"]), "").alias("line"))
-    return joined.select("i0", F.regexp_replace("line", "\\x00+$", "").alias("line"))
+    chars = _read(spark, d, "documents").select(F.col("doc_id").alias("i0"), F.posexplode(F.split("text", "")).alias("i1", "v"))
+    joined = chars.groupBy("i0").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i1", "v"))), lambda x: x["v"]), "").alias("line"))
+    return joined.filter("line <> ''").select("i0", F.regexp_replace("line", "\\x00+$", "").alias("line"))
 
 
 # --- log, files, streams
@@ -491,20 +539,22 @@ def _folder(spark) -> str:
     return tempfile.mkdtemp(prefix="gridloom-", dir=base if base and os.path.isdir(base) else None)
 
 
-@_query("cdf_roundtrip", f"select i0, i1, v::double as v from {_EMB} where i0 < 100")
+@_query("cdf_roundtrip", f"select i0, i1, v::double as v from {_EMB}")
 def cdf_roundtrip(spark, d):
-    """Cells written to a CDF-2 file by Spark tasks and read back through the data source."""
+    """The whole array written to a CDF-2 file by Spark tasks and read back through the data source."""
     from ..sources.cdf import CdfSource, create
     from .catalog import Catalog
 
     spark.dataSource.register(CdfSource)
+    n = _read(spark, d, "embeddings").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
     c = Catalog(2)
-    c.def_dim("vec", 100)
+    c.def_dim("vec", 0)
     c.def_dim("dim", 64)
     c.def_var("EMB", "float", ["vec", "dim"])
+    c.numrecs = n
     path = f"{_folder(spark)}/emb.nc"
     create(path, c)
-    hyperslab.get_vara(emb(spark, d), [0, 0], [100, 64]).write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
+    emb(spark, d).write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
     return _d(spark.read.format("cdf").option("path", path).option("var", "EMB").load())
 
 

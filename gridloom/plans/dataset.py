@@ -364,16 +364,27 @@ class Dataset:
 
     def put(self, var, cells: DataFrame, start=None, count=None, stride=None, dtype: str | None = None, collective: bool | None = None) -> None:
         """Writes cells (coordinates and v).  With a box, cells outside it are an error of the caller and left out."""
+        if start is not None and count is None and stride is None:
+            count = [1] * len(start)
         v = self._checked(var, dtype, True, start, count, stride, collective)
         new = self._written(v, cells, dtype)
         self.put_bytes += self._bytes(v, count)
         if start is not None and v.dims:
             new = new.filter(hyperslab.box(len(v.dims), start, count, stride))
-        self.cells[v.name] = update.put(self.cells[v.name], new)
+        record = self.catalog.is_record(v)
+        beyond = record and start is not None and start[0] >= self.catalog.numrecs  # no variable has a cell there yet
+        self.cells[v.name] = (update.append if beyond else update.put)(self.cells[v.name], new)
         self._on_file.discard(v.name)
-        if self.catalog.is_record(v):
-            n = start[0] + (count[0] - 1) * (stride[0] if stride else 1) + 1 if start is not None and count[0] else (new.agg(F.max("i0")).first()[0] or -1) + 1
-            self.catalog.numrecs = max(self.catalog.numrecs, n)
+        if record and start is None:
+            last = new.agg(F.max("i0")).first()[0]
+            self.catalog.numrecs = max(self.catalog.numrecs, 0 if last is None else last + 1)
+        elif record and all(count):  # an empty box adds no record
+            self.catalog.numrecs = max(self.catalog.numrecs, start[0] + (count[0] - 1) * (stride[0] if stride else 1) + 1)
+
+    def mput(self, requests: dict) -> None:
+        """One box for each of several variables: name to the arguments of ``put``, in order."""
+        for name, how in requests.items():
+            self.put(name, **how)
 
     def put_varn(self, var, cells: DataFrame, dtype: str | None = None) -> None:
         """Cells of a batch of boxes (box, start_offset, coordinates, v): where boxes overlap the lower segment start wins."""
@@ -409,28 +420,41 @@ class Dataset:
 
     # deferred requests
 
-    def _post(self, kind: str, **request) -> int:
+    def _post(self, kind: str, call: str, **request) -> int:
         out = self._ids[kind]
         self._ids[kind] += 2  # even: writes; odd: reads
-        self._requests[out] = request
+        self._requests[out] = {"call": call, **request}
         return out
 
     def iget(self, var, **how) -> int:
-        return self._post("get", var=var, how=how)
+        return self._post("get", "get", args=[var], how=how)
 
     def iput(self, var, cells: DataFrame, **how) -> int:
-        return self._post("put", var=var, cells=cells, how=how, bytes=0)
+        return self._post("put", "put", args=[var, cells], how=how, bytes=0)
 
     def bput(self, var, cells: DataFrame, **how) -> int:
         """The cells as they are now: their rows are copied, and count against the attached buffer."""
+        copied, n = self._buffered(var, cells)
+        return self._post("put", "put", args=[var, copied], how=how, bytes=n)
+
+    def iget_varn(self, var, boxes: list[tuple], **how) -> int:
+        return self._post("get", "get_varn", args=[var, boxes], how=how)
+
+    def iput_varn(self, var, cells: DataFrame, **how) -> int:
+        return self._post("put", "put_varn", args=[var, cells], how=how, bytes=0)
+
+    def bput_varn(self, var, cells: DataFrame, **how) -> int:
+        copied, n = self._buffered(var, cells)
+        return self._post("put", "put_varn", args=[var, copied], how=how, bytes=n)
+
+    def _buffered(self, var, cells: DataFrame) -> tuple[DataFrame, int]:
         if self._buffer is None:
             raise ArrayError(Code.NULLABUF)
-        v = self.catalog.var(var)
-        n = cells.count() * external(v.xtype).size
+        n = cells.count() * external(self.catalog.var(var).xtype).size
         if self._used() + n > self._buffer:
             raise ArrayError(Code.INSUFFBUF)
         rows = cells.collect()  # at most as large as the attached buffer
-        return self._post("put", var=var, cells=self.spark.createDataFrame(rows, cells.schema), how=how, bytes=n)
+        return self.spark.createDataFrame(rows, cells.schema), n
 
     def _used(self) -> int:
         return sum(r.get("bytes", 0) for r in self._requests.values())
@@ -461,9 +485,12 @@ class Dataset:
         """Commits requests: all writes, in order of their ids, before all reads.  Returns the reads' cells."""
         chosen = self._chosen(ids)
         for r in (r for r in sorted(chosen) if r % 2 == 0):
-            q = self._requests.pop(r)
-            self.put(q["var"], q["cells"], **q["how"])
-        return {r: self.get((q := self._requests.pop(r))["var"], **q["how"]) for r in sorted(chosen) if r % 2 == 1}
+            self._commit(r)
+        return {r: self._commit(r) for r in sorted(chosen) if r % 2 == 1}
+
+    def _commit(self, request: int):
+        q = self._requests.pop(request)
+        return getattr(self, q["call"])(*q["args"], **q["how"])
 
     wait_all = wait
 

@@ -400,3 +400,105 @@ def test_record_stream_and_log(spark, tmp_path):
     out = log.flush({"a": spark.createDataFrame([], "i0 long, v int")})["a"]
     assert sorted(map(tuple, out.collect())) == [(0, 0), (1, 9), (2, 2)]
     assert code_of(log.cancel, 0) == Code.FLUSHED and log.calls().count() == 2
+
+
+def merged(rows):
+    """Ranges merged one after the other."""
+    out = []
+    for off, n in sorted(rows):
+        if out and off <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], off + n - out[-1][0])
+        else:
+            out.append([off, n])
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("spread", [40, 4000])
+def test_ranges_over_many_parts(spark, monkeypatch, spread):
+    """Islands that reach over several parts, equal offsets, and files apart; pieces for requests; ranks."""
+    monkeypatch.setattr(requests, "PART_RANGES", 10)
+    r = random.Random(spread)
+    rows = [(r.randrange(3), r.randrange(spread) * 4, r.choice([4, 8, 8, 60, 400])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "file long, off long, len long")
+    got = [tuple(x) for x in requests.coalesce_ranges(df, "file").collect()]
+    assert sorted(got) == sorted((f, *x) for f in range(3) for x in merged([x[1:] for x in rows if x[0] == f]))
+    one = requests.coalesce_ranges(df.drop("file"))
+    assert sorted(map(tuple, one.collect())) == merged([x[1:] for x in rows])
+    ranked = requests.merge_sorted([df.filter("file = 0").drop("file"), df.filter("file > 0").drop("file")]).orderBy("rank").collect()
+    assert [x["rank"] for x in ranked] == list(range(1, 401)) and [(x.off, x.len) for x in ranked] == sorted(x[1:] for x in rows)
+    asked = [(k, r.randrange(spread * 4), r.randrange(0, 90)) for k in range(60)]
+    want = sorted((k, max(o, a), min(o + n, a + m) - max(o, a)) for k, a, m in asked for o, n in merged([x[1:] for x in rows]) if max(o, a) < min(o + n, a + m))
+    pieces = requests.scatter(one, spark.createDataFrame(asked, "req long, off long, len long"), cell=64)
+    assert sorted(map(tuple, pieces.collect())) == want
+
+
+def test_ranges_empty(spark):
+    none = spark.createDataFrame([], "off long, len long")
+    assert requests.coalesce_ranges(none).count() == 0 and requests.merge_sorted([none, none]).count() == 0
+
+
+def test_many_boxes(spark, monkeypatch):
+    df, r = cells(spark, (40, 30)), random.Random(5)
+    boxes = [([(s := r.randrange(40)), (t := r.randrange(30))], [r.randrange(0, 41 - s), r.randrange(0, 31 - t)]) for _ in range(50)]
+    want = sorted((b, i, j) for b, (s, c) in enumerate(boxes) for i in range(s[0], s[0] + c[0]) for j in range(s[1], s[1] + c[1]))
+    for most in (0, 1000):
+        monkeypatch.setattr(hyperslab, "BROADCAST_BOXES", most)
+        assert sorted((x.box, x.i0, x.i1) for x in hyperslab.get_varn(df, boxes).collect()) == want
+    assert hyperslab.get_varn(df, []).count() == 0
+
+
+def test_record_growth(spark):
+    d = dataset(spark)
+    row = lambda i, v: spark.createDataFrame([(i, x, v) for x in range(3)], "i0 long, i1 long, v int")
+    d.put("r_int", row(0, 1))  # the first record alone
+    assert d.catalog.numrecs == 1
+    d.put("r_int", row(1, 2), [1, 0], [1, 3])
+    d.put("r_int", row(1, 3), [1, 0], [1, 3])
+    d.put("r_int", row(9, 3), [9, 0], [1, 0])  # an empty box
+    assert d.catalog.numrecs == 2 and sorted((x.i0, x.v) for x in d.get("r_int").collect()) == [(0, 1)] * 3 + [(1, 3)] * 3
+    d.mput({"r_int": {"cells": row(2, 4), "start": [2, 0], "count": [1, 3]}, "f_int": {"cells": row(1, 5)}})
+    assert d.catalog.numrecs == 3 and d.get("f_int", [1, 2]).first().v == 5
+
+
+def test_deferred_box_lists(spark):
+    d = dataset(spark)
+    batch = spark.createDataFrame([(1, 3, 1, 0, 8), (0, 4, 1, 0, 9), (0, 0, 0, 0, 7)], "box long, start_offset long, i0 long, i1 long, v int")
+    get = d.iget_varn("f_int", [([0, 0], [2, 1]), ([1, 0], None)])
+    d.iput_varn("f_int", batch)
+    assert sorted((x.box, x.v) for x in d.wait()[get].collect()) == [(0, 7), (0, 8), (1, 8)]
+    assert code_of(d.bput_varn, "f_int", batch) == Code.NULLABUF
+    d.buffer_attach(12)
+    d.bput_varn("f_int", batch)
+    assert d.inq()["buffer_usage"] == 12
+    d.wait_all()
+
+
+def test_dataset_diff(spark):
+    from gridloom.plans.diffing import diff
+
+    a, b = dataset(spark), dataset(spark)
+    assert diff(a, b).same(spark)
+    one = spark.createDataFrame([(1, 1, 5)], "i0 long, i1 long, v int")
+    a.put("f_int", one)
+    b.put("f_int", one.withColumn("v", F.lit(6)))
+    c = spark.createDataFrame([(0, 0, bytearray(b"x"))], "i0 long, i1 long, v binary")
+    a.put("f_char", c)
+    found = diff(a, b)
+    assert not found.header and {x.name: x.n_differ for x in found.counts(spark).collect() if x.n_differ} == {"f_int": 1, "f_char": 1} and not found.same(spark)
+    assert "r_int" not in found.cells  # no records
+    assert diff(a, b, ["f_int"], absolute=1.0).same(spark)
+    b.redef()
+    b.put_att("title", "other")
+    b.def_var("more", "int", ["x"])
+    b.enddef()
+    found = diff(a, b)
+    assert found.lacking == ["more"] and [k[:2] for k, *_ in found.header] == [("nvars",), ("attribute", ""), ("variable", "more")]
+
+
+def test_subfile_requests(spark):
+    r = random.Random(9)
+    for size, n in ((10, 3), (7, 7), (100, 6)):
+        rows = [(k, (s := r.randrange(size)), r.randrange(0, size - s + 1)) for k in range(20)]
+        got = requests.subfile_requests(spark.createDataFrame(rows, "req long, start long, count long"), size, n).collect()
+        want = sorted((k, i * n // size, i) for k, s, c in rows for i in range(s, s + c))
+        assert sorted((x.req, x.file_id, i) for x in got for i in range(x.start, x.start + x["count"])) == want
