@@ -16,7 +16,8 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link w
    thousands of near copies around a pivot cost one pass, not a square.
    A region beyond ``REGION_SHINGLES`` first goes through rounds that are spread over the cluster: all distances to one pivot
    are measured in parallel; documents within tau of the pivot are one class; of those only the ones whose distance window
-   reaches a document outside go on.
+   reaches a document outside go on.  A region that is still large falls apart into the regions of its single pivots, which it
+   was merged from: each document goes to those of its boundary windows, and the rounds run again.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ KEY_BYTES = 4
 BUCKET_SHINGLES = 1_000_000
 #: Shingles of a region that one task joins; larger ones are split by pivot rounds first.
 REGION_SHINGLES = 8_000_000
+#: Pivot rounds before a region falls apart into those of its single pivots, and after.
+ROUNDS = (8, 64)
 #: Documents of a cell that are compared without further pivots.
 LEAF = 256
 
@@ -286,13 +289,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
-def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
     """Take documents out of regions beyond ``region_shingles`` by rounds of one pivot each, spread over the cluster.
 
     ``sets``: region, id, n, shingles.  Returns what is left, and links found.  After a round, a document within tau of the
     pivot (class A) is linked to it; it goes on only if its window [d - tau, d + tau] reaches a document outside A.  Nothing
-    comes to the driver; a table with a row for each large region is broadcast only while it is small.  A region that is still
-    large after all rounds is joined as it is.
+    comes to the driver; a table with a row for each large region is broadcast only while it is small.
     """
     tau, links, done = 1 - percent / 100, [], []
 
@@ -327,6 +329,24 @@ def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: in
     return sets, links
 
 
+def _by_pivot(sets: DataFrame, least: DataFrame, region_shingles: int) -> DataFrame | None:
+    """Regions beyond ``region_shingles`` by their single pivots: each document in the region of each of its boundary windows that
+    another document has.  None where no region is that large.  Two documents that link share one of these pivots.
+    """
+    size = sets.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > region_shingles)
+    large = c.checkpointed(size.select("region"))
+    n_large = large.count()
+    if not n_large:
+        return None
+    hint = F.broadcast if n_large <= 1000 else lambda x: x
+    sets = c.materialize(sets)
+    inside = sets.join(hint(large), "region", "left_semi")
+    keys = least.select(F.col("rep").alias("id"), F.explode("pivots").alias("key")).join(inside.select("id"), "id", "left_semi").distinct()
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    cut = inside.join(keys.join(shared, "key"), "id").select(F.col("key").alias("region"), "id", "n", "shingles")
+    return sets.join(hint(large), "region", "left_anti").unionByName(cut)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Components of documents by n-gram Jaccard links: one row for each row of ``docs``.
 
@@ -358,7 +378,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     region = region.union(region.select(F.col("component").alias("node"), "component").distinct().filter("node = component")).distinct()
     sets = features.filter("shingles is not null").select("id", "n", "shingles", "f1", "f2")
     sets = sets.join(region, sets.id == region.node).select(F.col("component").alias("region"), "id", "n", "shingles")
-    sets, links = _ball_rounds(sets, percent, region_shingles)
+    sets, links = _ball_rounds(sets, percent, region_shingles, ROUNDS[0])
+    apart = _by_pivot(sets, least, region_shingles)
+    if apart is not None:
+        sets, more = _ball_rounds(apart, percent, region_shingles, ROUNDS[1])
+        links += more
     found = sets.select("region", "id", "shingles").groupBy("region").applyInArrow(_joined(percent), "a long, b long").filter("a <> b")
     for x in links:
         found = found.union(x)

@@ -313,8 +313,11 @@ def chain(n=40, length=60):
     return [(5000 + k, " ".join(words[2 * k : 2 * k + length])) for k in range(n)]
 
 
-@pytest.mark.parametrize("region", [jaccard_join.REGION_SHINGLES, 1500])
-def test_jaccard_join_brute_force(spark, region):
+@pytest.mark.parametrize("region,rounds", [(jaccard_join.REGION_SHINGLES, (8, 64)), (1500, (8, 64)), (1500, (1, 2))])
+def test_jaccard_join_brute_force(spark, monkeypatch, region, rounds):
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    by_pivot, apart = jaccard_join._by_pivot, []
+    monkeypatch.setattr(jaccard_join, "_by_pivot", lambda *a: apart.append(by_pivot(*a)) or apart[-1])
     rows = [*corpus(), *chain(), (3, "another text of the id three which is longer than that"), (None, "x y z"), (700, "A b C"), (701, "a B c"), (702, "a b")]
     r = random.Random(4)
     base = [f"n{k}" for k in range(90)]
@@ -325,6 +328,7 @@ def test_jaccard_join_brute_force(spark, region):
         rows.append((8000 + k, " ".join(w)))
     got = jaccard_join.jaccard_join(frame(spark, rows), region_shingles=region)
     assert sorted(map(tuple, got.collect()), key=str) == components(rows)
+    assert (apart[0] is not None) or rounds[0] > 1  # one round leaves the chain large
 
 
 def test_region_recursion_is_exact():
