@@ -26,8 +26,8 @@ _UPPER, _LOWER, _PUNCTUATION = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqr
 
 
 def _words(text: Column) -> Column:
-    """Words without case (A-Z) and punctuation."""
-    return c.words_of(F.translate(text, _UPPER + _PUNCTUATION, _LOWER))
+    """Words without case and punctuation; ß is ss, as its upper case is, and the final sigma a sigma."""
+    return c.words_of(F.replace(F.translate(F.lower(text), "ς" + _PUNCTUATION, "σ"), F.lit("ß"), F.lit("ss")))
 
 
 def _seed(words: Column, at: Column, mask: str) -> Column:
@@ -51,7 +51,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Around a hit, the region is the whole item, or ``region`` words of a longer item centred on the hit; the pair counts
     if at least ``min_percent`` of 100 of its words stand at the same places in the document.  Words are compared without
-    punctuation and A-Z case.  Returns ``id_col``, ``item_col``, ``n_match`` and ``n_region`` (ints; of the best region: the
+    punctuation and case, in any script.  Returns ``id_col``, ``item_col``, ``n_match`` and ``n_region`` (ints; of the best region: the
     most matches, then the shortest region), one row a pair.
 
     Null or empty texts overlap with nothing, items of fewer than ``min_words`` words are too short to tell and are left

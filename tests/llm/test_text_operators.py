@@ -386,6 +386,13 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.filter("false")).count() == 0 == decontaminate.contaminated(docs.filter("false"), bench).count()
 
 
+def test_decontaminate_any_case(spark):
+    item = "l'été où école était fermée à Évreux, déjà prêts là-bas: ñandú über Öl groß straße maß"
+    docs = frame(spark, [(1, f"avant {item.upper()} après"), (2, item.title()), (3, item.lower()), (4, item.replace("é", "e").replace("ß", "s").replace("à", "a"))])
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_match, x.n_region) for x in got) == [(k, 16, 16) for k in (1, 2, 3)]
+
+
 # 8. language
 
 
