@@ -8,8 +8,8 @@ belongs to the class found once in every page is fixed, the rest fills slots.  A
 main element, without fixed text and without slots whose element says that it is a menu, an advert, a comment and so on.
 
 Vectors are never built: a vector's fingerprint is a sum of hashes of (page, count), so tokens are counted by partial
-aggregation and one host may have a third of all pages.  A host with few pages has few fixed tokens, and its pages are read
-by their own elements.
+aggregation and one host may have a third of all pages.  Copies of a page count once.  A host with few pages has few fixed
+tokens, and its pages are read by their own elements.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ DROPPED_NAMES = frozenset(
     "newsletter notice notices notification popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Text found once in every page of a host is fixed if the host has so many pages.
+#: Text found once in every page of a host is fixed if the host has so many different pages.
 LEAST_PAGES = 8
 _PAGE = 0
 
@@ -200,7 +200,8 @@ def host_of(url):
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The template of each host: host, pages, main (path of the main element, or null), fixed (tokens of text) and template (paths)."""
-    source = pages.select(host_of(c.quoted(url_col)).alias("__gl_host"), c.quoted(html_col).alias("__gl_html"), F.xxhash64(c.quoted(url_col), c.quoted(html_col)).alias("__gl_key"))
+    # a host's copies are one page, or an article it repeats would look like its template
+    source = pages.select(host_of(c.quoted(url_col)).alias("__gl_host"), c.quoted(html_col).alias("__gl_html")).distinct().withColumn("__gl_key", F.xxhash64("__gl_html"))
     counted = source.mapInArrow(_count, "host string, token long, vector long, pages long, path string")
     tokens = counted.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("path").alias("path"))
     sizes = source.groupBy(F.col("__gl_host").alias("h")).agg(F.count(F.lit(1)).alias("host_pages"))
@@ -215,14 +216,17 @@ def slots(source: str, main: str | None = None, fixed: frozenset = frozenset())
     chosen = [b for b in page.blocks if b[2] or main and (b[0] == main or b[0].startswith(main + "/"))]
     if not chosen and not page.has_main:
         chosen = page.blocks
-    return [text for path, dropped, _, text in chosen if not dropped and not (fixed and _token(path, text) in fixed)]
+    kept = [(path, text) for path, dropped, _, text in chosen if not dropped]
+    varying = [text for path, text in kept if not fixed or _token(path, text) not in fixed]
+    return varying or [text for _, text in kept]  # a page of fixed text only is not emptied
 
 
 def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep_columns: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The main text of each page: keep_columns, url_col, ``text`` (blocks joined by a line end) and ``n_blocks``.
 
     Null, empty and very long pages each give a row, with text "" if there is none; pages without a host share the host "".
-    Repeated rows count as pages of their own.  An empty table gives an empty result.
+    Pages of a host with equal html count as one in its template; each row is returned.  A page whose main text is all fixed
+    keeps it.  An empty table gives an empty result.
     """
     known = c.materialize(templates(pages, url_col, html_col).select("host", "main", "fixed"))
     n_hosts = known.count()

@@ -119,6 +119,15 @@ def test_html_extract_template(spark):
     assert html_extract.html_extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_extract_copies(spark):
+    page = "<body><article><h1>Same</h1><p>One article.</p>{}</article></body>"
+    rows = [(k, f"http://copies.example/{k}", page.format("")) for k in range(9)]  # one article under several URLs
+    rows += [(20 + k, f"http://near.example/{k}", page.format(f"<aside>{k}</aside>")) for k in range(9)]  # differ beside the text only
+    rows += [(40 + k % 7, "http://few.example/", page.format(f"<p>{k % 7}</p>")) for k in range(14)]  # seven pages, each twice
+    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((i, "Same\nOne article." + (f"\n{i - 40}" if i >= 40 else "")) for i, _, _ in rows)
+
+
 # 3. packing
 
 
