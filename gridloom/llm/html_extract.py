@@ -2,10 +2,11 @@
 
 The tokens of a page are its elements, each named by its path from the root with classes and ids, and its blocks of text,
 each by path and content.  Over the pages of a host a token has an occurrence vector: how often it occurs in each page.  Tokens
-that share a vector form an equivalence class; a class is valid if it has support in at least half of the host's pages and
-its elements nest in elements of a class with no less support.  The valid classes, nested, are the host's template: text that
-belongs to the class found once in every page is fixed, the rest fills slots.  A page yields the slots below the template's
-main element, without fixed text and without slots whose element says that it is a menu, an advert, a comment and so on.
+that share a vector form an equivalence class; a class is valid if it has support in at least half of the host's pages (as a
+path names all elements around it, valid classes nest).  They are the host's template: their text is fixed, the rest fills
+slots.  The template's main element is the deepest that has MAIN_SHARE of the text in slots below it.  A page yields its slots
+below that element, without those whose element says that it is a menu, an advert, a comment and so on.  Within it, a page's
+own article or main element is taken where it has one.
 
 Vectors are never built: a vector's fingerprint is a sum of hashes of (page, count), so tokens are counted by partial
 aggregation and one host may have a third of all pages.  Copies of a page count once.  A host with few pages has few fixed
@@ -37,9 +38,12 @@ DROPPED_NAMES = frozenset(
     "newsletter notice notices notification popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Text found once in every page of a host is fixed if the host has so many different pages.
+#: A host's template has fixed text and a main element if the host has so many different pages.
 LEAST_PAGES = 8
-_PAGE = 0
+#: The main element holds at least this share of the text in slots.
+MAIN_SHARE = 0.75
+_LISTS = frozenset("ul ol dl li dt dd menu dir".split())
+_HEADING = re.compile(r"h[1-6](\..*)?")
 
 _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>"
@@ -148,50 +152,72 @@ def _token(path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") >> 1 or 1
 
 
+def _above(path: str) -> list[str]:
+    """The paths of the elements around an element, from the root."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(1, len(parts))]
+
+
 def _count(batches):
-    """Tokens of the pages of a batch, summed by host."""
+    """Tokens of the pages of a batch, summed by host; with the text that elements hold, themselves and below, unless it is dropped."""
     for batch in batches:
-        sums: dict = defaultdict(lambda: [0, 0, None])
+        sums: dict = defaultdict(lambda: [0, 0, None, 0, 0, 0])
         for host, source, key in zip(*(batch.column(k).to_pylist() for k in ("__gl_host", "__gl_html", "__gl_key")), strict=True):
-            page = Page(source or "")
-            counts = Counter({_PAGE: 1})
-            paths = {}
-            for path in page.elements:
-                t = _token(path)
-                paths[t] = path
+            page = Page(source)
+            of = {path: _token(path) for path in {"", *page.elements}}
+            counts = Counter(map(of.__getitem__, ["", *page.elements]))
+            for path, t in of.items():
+                sums[host, t][2] = path
+            for path, dropped, _, text in page.blocks:
+                t = _token(path, text)
                 counts[t] += 1
-            for path, _, _, text in page.blocks:
-                counts[_token(path, text)] += 1
+                s = sums[host, t]
+                s[3] = of[path]
+                if not dropped:
+                    s[4] += len(text)
+                    sums[host, of[path]][4] += len(text)
+                    for above in _above(path):
+                        sums[host, of[above]][5] += len(text)
             for t, n in counts.items():
                 s = sums[host, t]
                 s[0] += xxhash.xxh3_64_intdigest(f"{key} {n}") >> 28
                 s[1] += 1
-                s[2] = paths.get(t)
-        yield pa.RecordBatch.from_pydict(
-            {"host": [h for h, _ in sums], "token": [t for _, t in sums], "vector": [s[0] for s in sums.values()], "pages": [s[1] for s in sums.values()], "path": [s[2] for s in sums.values()]},
-            schema=c.arrow_schema(host=pa.string(), token=pa.int64(), vector=pa.int64(), pages=pa.int64(), path=pa.string()),
-        )
+        columns = [[h for h, _ in sums], [t for _, t in sums], *([s[k] for s in sums.values()] for k in range(6))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _COUNTED, strict=True)], schema=_COUNTED)
+
+
+_COUNTED = c.arrow_schema(host=pa.string(), token=pa.int64(), vector=pa.int64(), pages=pa.int64(), path=pa.string(), holder=pa.int64(), chars=pa.int64(), below=pa.int64())
+
+
+def _main(elements: pd.DataFrame, fixed: pd.DataFrame) -> str | None:
+    """The deepest element with most of the text in slots below it; not a list, and with the headings beside it."""
+    own, below = (dict(zip(elements["path"], map(int, elements[k]), strict=True)) for k in ("chars", "below"))
+    paths = dict(zip(elements["token"], elements["path"], strict=True))
+    for holder, chars in zip(fixed["holder"], fixed["chars"], strict=True):
+        path = paths[int(holder)]
+        own[path] -= int(chars)
+        for above in _above(path):
+            below[above] -= int(chars)
+    children = defaultdict(list)
+    for path in sorted(own):
+        if path:
+            children[path.rpartition("/")[0]].append(path)
+    name = lambda path: path.rpartition("/")[2]
+    at, total = "", own[""] + below[""]
+    while total and not any(_HEADING.fullmatch(name(x)) and own[x] + below[x] for x in children[at]):
+        inner = max((x for x in children[at] if name(x).partition(".")[0] not in _LISTS), key=below.__getitem__, default=None)
+        if inner is None or below[inner] < MAIN_SHARE * total:
+            break
+        at = inner
+    return at or None
 
 
 def _nest(rows: pd.DataFrame) -> pd.DataFrame:
     """The template of one host, from its tokens with support in at least half of its pages."""
     pages = int(rows["host_pages"].iloc[0])
-    root = rows[rows["token"] == _PAGE].iloc[0]
-    classes = [g for _, g in sorted(rows.groupby(["vector", "pages"]), key=lambda kv: (-kv[0][1], kv[0][0]))]
-    support: dict[str, int] = {}
-    for g in classes:  # from the widest support down
-        for path in sorted(p for p in g["path"] if isinstance(p, str)):
-            parent = path.rpartition("/")[0]
-            if not parent.strip("/") or support.get(parent, 0) >= int(g["pages"].iloc[0]):
-                support[path] = int(g["pages"].iloc[0])
-    fixed = []
-    if pages >= LEAST_PAGES:
-        of_all = rows[(rows["vector"] == root["vector"]) & (rows["pages"] == root["pages"])]
-        if len(of_all) > 1:
-            fixed = [int(t) for t, p in zip(of_all["token"], of_all["path"], strict=True) if not isinstance(p, str) and t != _PAGE]
-    mains = [p for p in support if re.search(r"(^|/)(article|main)[^/]*$", p)]
-    main = min(mains, key=lambda p: (-support[p], p.count("/"), p)) if mains else None
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [pages], "main": [main], "fixed": [sorted(fixed)], "template": [sorted(support)]})
+    elements, fixed = rows[rows["path"].notna()], rows[rows["path"].isna()]
+    main = _main(elements, fixed) if pages >= LEAST_PAGES else None
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [pages], "main": [main], "fixed": [sorted(map(int, fixed["token"]))], "template": [sorted(p for p in elements["path"] if p)]})
 
 
 def host_of(url):
@@ -201,19 +227,20 @@ def host_of(url):
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The template of each host: host, pages, main (path of the main element, or null), fixed (tokens of text) and template (paths)."""
     # a host's copies are one page, or an article it repeats would look like its template
-    source = pages.select(host_of(c.quoted(url_col)).alias("__gl_host"), c.quoted(html_col).alias("__gl_html")).distinct().withColumn("__gl_key", F.xxhash64("__gl_html"))
-    counted = source.mapInArrow(_count, "host string, token long, vector long, pages long, path string")
-    tokens = counted.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("path").alias("path"))
+    source = pages.select(host_of(c.quoted(url_col)).alias("__gl_host"), c.quoted(html_col).alias("__gl_html")).filter("trim(__gl_html) <> ''").distinct().withColumn("__gl_key", F.xxhash64("__gl_html"))
+    counted = source.mapInArrow(_count, "host string, token long, vector long, pages long, path string, holder long, chars long, below long")
+    tokens = counted.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("path").alias("path"), F.max("holder").alias("holder"), F.sum("chars").alias("chars"), F.sum("below").alias("below"))
     sizes = source.groupBy(F.col("__gl_host").alias("h")).agg(F.count(F.lit(1)).alias("host_pages"))
-    common = tokens.join(sizes, tokens.host == sizes.h).filter(f"pages * 2 >= host_pages and (path is not null or token = {_PAGE} or host_pages >= {LEAST_PAGES})").drop("h")
+    common = tokens.join(sizes, tokens.host == sizes.h).filter(f"pages * 2 >= host_pages and (path is not null or host_pages >= {LEAST_PAGES})").drop("h")
     return common.groupBy("host").applyInPandas(_nest, "host string, pages long, main string, fixed array<long>, template array<string>")
 
 
 def slots(source: str, main: str | None = None, fixed: frozenset = frozenset()) -> list[str]:
     """The blocks of main text of a page, in order."""
     page = Page(source)
-    # the template's main element and the page's own; a page without either is read whole
-    chosen = [b for b in page.blocks if b[2] or main and (b[0] == main or b[0].startswith(main + "/"))]
+    # below the template's main element, there the page's own; without the first the second, a page without either is read whole
+    inside = [b for b in page.blocks if main and (b[0] == main or b[0].startswith(main + "/"))]
+    chosen = [b for b in inside if b[2]] or [b for b in page.blocks if b[2]] or inside
     if not chosen and not page.has_main:
         chosen = page.blocks
     kept = [(path, text) for path, dropped, _, text in chosen if not dropped]
@@ -225,7 +252,7 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """The main text of each page: keep_columns, url_col, ``text`` (blocks joined by a line end) and ``n_blocks``.
 
     Null, empty and very long pages each give a row, with text "" if there is none; pages without a host share the host "".
-    Pages of a host with equal html count as one in its template; each row is returned.  A page whose main text is all fixed
+    Pages of a host with equal html count as one in its template, blank ones not at all; each row is returned.  A page whose main text is all fixed
     keeps it.  An empty table gives an empty result.
     """
     known = c.materialize(templates(pages, url_col, html_col).select("host", "main", "fixed"))

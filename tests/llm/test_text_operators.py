@@ -128,6 +128,14 @@ def test_html_extract_copies(spark):
     assert sorted((r.page_id, r.text) for r in got) == sorted((i, "Same\nOne article." + (f"\n{i - 40}" if i >= 40 else "")) for i, _, _ in rows)
 
 
+def test_html_extract_main_by_slots(spark):
+    page = "<html><body><div>Our site</div><div class='x'><h2>T{0}</h2><p>Always the same words.</p><div><p>story {0} is told at length</p></div></div><div><p>seen {0}</p></div></body></html>"
+    odd = ["<html><body><div>Our site</div><p>away</p></body></html>", "", None, " "]
+    rows = [(k, "http://div.example/", page.format(k)) for k in range(12)] + [(20 + k, "http://div.example/", x) for k, x in enumerate(odd)]
+    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(k, f"T{k}\nstory {k} is told at length") for k in range(12)] + [(20, "away"), (21, ""), (22, ""), (23, "")]
+
+
 # 3. packing
 
 
