@@ -149,22 +149,21 @@ def _parse(window: int, schema: pa.Schema, spans: bool):
             source = np.where(own[first_at] >= 0, own[first_at], np.where(local, block, -1))
             shift = np.where(own[first_at] >= 0, own_at[first_at], first_at) - b.at
         hit = np.flatnonzero(source >= 0)
-        cover = np.zeros(len(b.flat) + 1, np.int64)
-        np.add.at(cover, b.at[hit], 1)
-        np.add.at(cover, b.at[hit] + window, -1)
-        keep = np.cumsum(cover[:-1]) == 0
         edges = np.searchsorted(b.at[hit], b.starts)
         out = {"n_words": [], "n_removed": [], "kept": [], "spans": []}
         for d, words in enumerate(b.words):
             lo, hi = b.starts[d], b.starts[d + 1]
-            mask = keep[lo:hi]
+            h = hit[edges[d] : edges[d + 1]]
+            factors = [(s - int(lo), k, x, y) for s, k, x, y in _factors(b.at[h], source[h], shift[h], window)] if len(h) else []
+            mask = np.ones(hi - lo, bool)
+            for start, length, _, _ in factors:
+                mask[start : start + length] = False
             left = int(mask.sum())
             out["n_words"].append(len(words))
             out["n_removed"].append(len(words) - left)
             kept = words if left == len(words) else [words[i] for i in np.flatnonzero(mask)]
             out["kept"].append(b" ".join(kept).decode())
-            h = hit[edges[d] : edges[d + 1]]
-            out["spans"].append([(s - int(lo), k, x, y) for s, k, x, y in _factors(b.at[h], source[h], shift[h], window)] if spans and len(h) else [])
+            out["spans"].append(factors if spans else [])
         back = docs.take(pa.array(b.order))
         columns = {
             "__gl_id": back.column("__gl_id"), "__gl_text": back.column("__gl_text"), "__gl_rest": back.column("__gl_rest"),

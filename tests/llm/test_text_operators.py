@@ -86,6 +86,20 @@ def test_substring_dedup_spans_cover_what_is_removed(spark):
         assert len(covered) == r.n_removed
 
 
+def test_substring_dedup_removes_by_factors(monkeypatch):
+    import pyarrow as pa
+
+    factors, made = substring_dedup._factors, []
+    monkeypatch.setattr(substring_dedup, "_factors", lambda *a: made.extend(factors(*a)) or factors(*a))
+    rows = sorted((x for x in corpus() if x[0] is not None), key=lambda x: x[0])
+    docs = pa.table({"__gl_id": [i for i, _ in rows], "__gl_text": [t for _, t in rows], "__gl_rest": [None] * len(rows), "__gl_block": [0] * len(rows)})
+    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int32()), ("offset", pa.int64())]))
+    schema = substring_dedup.c.arrow_schema(n_words=pa.int64(), n_removed=pa.int64(), kept_text=pa.string(), spans=span)
+    got = substring_dedup._parse(13, schema, False)(docs, substring_dedup._ANSWER.empty_table())
+    assert made and 0 < sum(got.column("n_removed").to_pylist()) <= sum(k for _, k, _, _ in made)
+    assert not any(got.column("spans").to_pylist())
+
+
 def test_substring_dedup_empty_and_clashing(spark):
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
     df = frame(spark, [(1, "a b", 5, "x")], "doc_id long, text string, n_words int, block string")
