@@ -28,7 +28,6 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("dup_line_share", None, 0.5),
     ("repeat_word_share", None, 0.5),
 )
-_POSITION_BITS = 24
 
 
 def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,20 +38,19 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_stop_words.  Null and empty texts have zeros; ids may be null or repeat; other columns are not touched.
     """
     text, w, s, d = F.col("__gl_text"), F.col("__gl_words"), F.col("__gl_sorted"), F.col("__gl_dup")
-    n, low = F.size(w), F.lit((1 << _POSITION_BITS) - 1)
+    n = F.size(w)
     blank = lambda x: F.length(F.translate(x, c.SPACE_CHARS, ""))
     base = docs.select(c.quoted(id_col).alias("__gl_id"), F.coalesce(c.quoted(text_col), F.lit("")).alias("__gl_text"))
     base = base.select("*", c.words_of(text).alias("__gl_words"), F.filter(F.split(text, "\n"), lambda x: blank(x) > 0).alias("__gl_lines"))
-    # The hash of each window above its position, sorted: equal windows become neighbours, and are then compared.
-    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.shiftright(window(i), _POSITION_BITS), _POSITION_BITS).bitwiseOR(i.cast("long")))
-    base = base.withColumn("__gl_sorted", F.when(n >= 4, F.sort_array(key)).otherwise(F.array().cast("array<long>")))
-    head = lambda x: F.shiftright(x, _POSITION_BITS)
-    base = base.withColumn("__gl_dup", F.filter(s, lambda x, i: (head(x) == head(F.get(s, F.when(i > 0, i - 1)))) | (head(x) == head(F.get(s, i + 1)))))
-    at = lambda x: x.bitwiseAND(low).cast("int")
-    same = lambda x, y: (head(x) == head(y)) & (F.get(w, at(x)) == F.get(w, at(y))) & (F.get(w, at(x) + 1) == F.get(w, at(y) + 1)) & (F.get(w, at(x) + 2) == F.get(w, at(y) + 2))
-    surely = F.filter(d, lambda x, i: same(x, F.get(d, F.when(i > 0, i - 1))) | same(x, F.get(d, i + 1)))
-    base = base.withColumn("__gl_at", F.sort_array(F.transform(surely, at)))
+    # Windows by hash; those whose hash repeats, with their words, sorted again: equal windows are neighbours, whatever their hashes.
+    key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at")))
+    base = base.withColumn("__gl_sorted", F.when(n >= 4, F.sort_array(key)))
+    near = lambda x, i, of, eq: eq(x, F.get(of, F.when(i > 0, i - 1))) | eq(x, F.get(of, i + 1))
+    like = F.filter(s, lambda x, i: near(x, i, s, lambda x, y: x["h"] == y["h"]))
+    worded = F.transform(like, lambda x: F.struct(F.get(w, x["at"]).alias("a"), F.get(w, x["at"] + 1).alias("b"), F.get(w, x["at"] + 2).alias("c"), x["at"].alias("at")))
+    base = base.withColumn("__gl_dup", F.sort_array(worded))
+    again = F.filter(d, lambda x, i: near(x, i, d, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])))
+    base = base.withColumn("__gl_at", F.coalesce(F.sort_array(F.transform(again, lambda x: x["at"])), F.array().cast("array<int>")))
     p = F.col("__gl_at")
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     lines = F.col("__gl_lines")

@@ -502,6 +502,13 @@ def figures(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(hit)
 
 
+def test_quality_repeats_with_like_hashes(spark):
+    """Two windows that agree in the upper 40 bits of their hashes, by turns."""
+    one, two = "w1507636 p q", "w3302353 p q"
+    got = quality_rules.quality_figures(frame(spark, [(1, f"{one} x {two} y {one} z {two}")])).first()
+    assert (got.n_words, got.n_repeat_words) == (15, 12)
+
+
 def test_quality_figures(spark):
     rows = [*corpus(), (600, "a b c a b c a b"), (601, "x\ny\nx\n\n \nx"), (602, "a a a a"), (603, "#*$ <b> & %|"), (604, "a b c"), (605, "a b"), (None, "1 2 3 1 2 3")]
     got = quality_rules.quality_figures(frame(spark, rows)).collect()
