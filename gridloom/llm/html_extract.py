@@ -2,15 +2,16 @@
 
 The tokens of a page are its elements, each named by its path from the root with classes and ids, and its blocks of text,
 each by path and content.  Over the pages of a host a token has an occurrence vector: how often it occurs in each page.  Tokens
-that share a vector form an equivalence class; a class is valid if it has support in at least half of the host's pages (as a
-path names all elements around it, valid classes nest).  They are the host's template: their text is fixed, the rest fills
-slots.  The template's main element is the deepest that has MAIN_SHARE of the text in slots below it.  A page yields its slots
-below that element, without those whose element says that it is a menu, an advert, a comment and so on.  Within it, a page's
-own article or main element is taken where it has one.
+that share a vector form an equivalence class; a class is valid if at least half of the host's pages have it.  Valid classes
+nest as the paths of their elements do: they are the host's template.  A text is fixed if it is in the class of an element
+around it and that class has LEAST_SUPPORT pages or more (fewer pages may agree by chance); all else fills slots.  The
+template's main element is the deepest that has MAIN_SHARE of the text in slots below it, on one page or a million.  A page
+yields its slots below that element, without those whose element says that it is a menu, an advert, a comment and so on.
+Names decide only what the template leaves open: a page's own article or main element within its main element, or where the
+page lacks that.
 
 Vectors are never built: a vector's fingerprint is a sum of hashes of (page, count), so tokens are counted by partial
-aggregation and one host may have a third of all pages.  Copies of a page count once.  A host with few pages has few fixed
-tokens, and its pages are read by their own elements.
+aggregation and one host may have a third of all pages.  Copies of a page count once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import html
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -38,8 +40,12 @@ DROPPED_NAMES = frozenset(
     "newsletter notice notices notification popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: A host's template has fixed text and a main element if the host has so many different pages.
-LEAST_PAGES = 8
+#: Different pages that a class needs before its text counts as fixed.
+LEAST_SUPPORT = 8
+#: Templates of at most so many hosts, and 16 times as many texts, are broadcast.
+BROADCAST_HOSTS = 50_000
+#: Pages of a host that are joined with its template as one part, about, where templates are not broadcast.
+PAGES_A_PART = 5000
 #: The main element holds at least this share of the text in slots.
 MAIN_SHARE = 0.75
 _LISTS = frozenset("ul ol dl li dt dd menu dir".split())
@@ -215,8 +221,14 @@ def _main(elements: pd.DataFrame, fixed: pd.DataFrame) -> str | None:
 def _nest(rows: pd.DataFrame) -> pd.DataFrame:
     """The template of one host, from its tokens with support in at least half of its pages."""
     pages = int(rows["host_pages"].iloc[0])
-    elements, fixed = rows[rows["path"].notna()], rows[rows["path"].isna()]
-    main = _main(elements, fixed) if pages >= LEAST_PAGES else None
+    elements, texts = rows[rows["path"].notna()], rows[rows["path"].isna()]
+    vector = dict(zip(elements["path"], elements["vector"], strict=True))
+    path = dict(zip(elements["token"], elements["path"], strict=True))
+    # a text is of the template if an element around it has its vector: it stands wherever that element stands
+    around = [path[int(h)] for h in texts["holder"]]
+    in_class = [n >= LEAST_SUPPORT and any(vector[x] == v for x in (p, *_above(p))) for p, v, n in zip(around, texts["vector"], texts["pages"], strict=True)]
+    fixed = texts[np.array(in_class, bool)]
+    main = _main(elements, texts[texts["pages"] >= LEAST_SUPPORT])
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [pages], "main": [main], "fixed": [sorted(map(int, fixed["token"]))], "template": [sorted(p for p in elements["path"] if p)]})
 
 
@@ -225,13 +237,16 @@ def host_of(url):
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The template of each host: host, pages, main (path of the main element, or null), fixed (tokens of text) and template (paths)."""
+    """The template of each host: host, pages, main (path of the main element, or null), fixed (tokens of text) and template (paths).
+
+    A host's rows in one task are the tokens that half of its pages have: as many as a page has, however many pages.
+    """
     # a host's copies are one page, or an article it repeats would look like its template
     source = pages.select(host_of(c.quoted(url_col)).alias("__gl_host"), c.quoted(html_col).alias("__gl_html")).filter("trim(__gl_html) <> ''").distinct().withColumn("__gl_key", F.xxhash64("__gl_html"))
     counted = source.mapInArrow(_count, "host string, token long, vector long, pages long, path string, holder long, chars long, below long")
     tokens = counted.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("path").alias("path"), F.max("holder").alias("holder"), F.sum("chars").alias("chars"), F.sum("below").alias("below"))
     sizes = source.groupBy(F.col("__gl_host").alias("h")).agg(F.count(F.lit(1)).alias("host_pages"))
-    common = tokens.join(sizes, tokens.host == sizes.h).filter(f"pages * 2 >= host_pages and (path is not null or host_pages >= {LEAST_PAGES})").drop("h")
+    common = tokens.join(sizes, tokens.host == sizes.h).filter("pages * 2 >= host_pages and (path is not null or pages > 1)").drop("h")
     return common.groupBy("host").applyInPandas(_nest, "host string, pages long, main string, fixed array<long>, template array<string>")
 
 
@@ -253,17 +268,22 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 
     Null, empty and very long pages each give a row, with text "" if there is none; pages without a host share the host "".
     Pages of a host with equal html count as one in its template, blank ones not at all; each row is returned.  A page whose main text is all fixed
-    keeps it.  An empty table gives an empty result.
+    keeps it.  Kept columns may have any name but ``text`` and ``n_blocks``.  An empty table gives an empty result.
     """
-    known = c.materialize(templates(pages, url_col, html_col).select("host", "main", "fixed"))
-    n_hosts = known.count()
+    known = c.materialize(templates(pages, url_col, html_col).select(F.col("host").alias("__gl_h"), F.col("main").alias("__gl_main"), F.col("fixed").alias("__gl_fixed"), F.col("pages").alias("__gl_pages")))
+    n_hosts, n_fixed, most = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gl_fixed")), F.lit(0)), F.coalesce(F.max("__gl_pages"), F.lit(0))).first()
     source = pages.select(*[c.quoted(k).alias(k) for k in keep_columns], c.quoted(url_col).alias(url_col), c.quoted(html_col).alias("__gl_html"), host_of(c.quoted(url_col)).alias("__gl_host"))
-    if n_hosts <= 50_000:  # templates of at most so many hosts are broadcast
-        joined = source.join(F.broadcast(known), F.col("__gl_host") == F.col("host"), "left")
-    else:  # a host's pages are dealt out in 16 parts
-        part = F.pmod(F.xxhash64("__gl_html"), F.lit(16))
-        spread = known.withColumn("__gl_part", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long"))
-        joined = source.withColumn("__gl_p", part).join(spread, (F.col("__gl_host") == F.col("host")) & (F.col("__gl_p") == F.col("__gl_part")), "left")
+    on = F.col("__gl_host") == F.col("__gl_h")
+    if n_hosts + n_fixed // 16 <= BROADCAST_HOSTS:
+        joined = source.join(F.broadcast(known), on, "left")
+    else:  # the pages of a host are dealt out in as many parts as the largest host needs, hosts of one part once
+        parts = F.ceil(F.col("__gl_pages") / PAGES_A_PART).cast("long")
+        large = known.filter(parts > 1).select(F.col("__gl_h").alias("__gl_l"), parts.alias("__gl_n")) if most > PAGES_A_PART else known.limit(0).select(F.col("__gl_h").alias("__gl_l"), F.lit(1).cast("long").alias("__gl_n"))
+        # fewer than all pages / PAGES_A_PART hosts are large
+        source = source.join(F.broadcast(large) if n_hosts <= 10_000_000 else large, F.col("__gl_host") == F.col("__gl_l"), "left")
+        source = source.withColumn("__gl_p", F.coalesce(F.pmod(F.xxhash64("__gl_html"), F.col("__gl_n")), F.lit(0)))
+        spread = known.withColumn("__gl_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        joined = source.join(spread, on & (F.col("__gl_p") == F.col("__gl_part")), "left")
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -274,11 +294,11 @@ def html_extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 
     def extract(batches):
         for batch in batches:
-            found = [slots(s or "", m, frozenset(f or ())) for s, m, f in zip(*(batch.column(k).to_pylist() for k in ("__gl_html", "main", "fixed")), strict=True)]
+            found = [slots(s or "", m, frozenset(f or ())) for s, m, f in zip(*(batch.column(k).to_pylist() for k in ("__gl_html", "__gl_main", "__gl_fixed")), strict=True)]
             columns = [batch.column(k) for k in range(n_kept)] + [pa.array(["\n".join(x) for x in found], pa.string()), pa.array([len(x) for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return joined.select(*keep_columns, url_col, "__gl_html", "main", "fixed").mapInArrow(extract, schema)
+    return joined.select(*[c.quoted(k) for k in (*keep_columns, url_col)], "__gl_html", "__gl_main", "__gl_fixed").mapInArrow(extract, schema)
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -151,6 +151,58 @@ def test_html_extract_main_by_slots(spark):
     assert sorted((r.page_id, r.text) for r in got) == [(k, f"T{k}\nstory {k} is told at length") for k in range(12)] + [(20, "away"), (21, ""), (22, ""), (23, "")]
 
 
+def test_html_template_alone_finds_the_text(spark):
+    """The driver's pages with no telling name or tag left: the template finds the same text, the pages by themselves do not."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    blank = F.regexp_replace("html", "</(nav|article|footer)>", "</div>")
+    for tag, name in (("<nav>", "k"), ("<article>", "q"), ("<footer>", "r"), ('<div class="ad">', "z")):
+        blank = F.replace(blank, F.lit(tag), F.lit(f'<div class="{name}">'))
+    blank = pages.withColumn("html", blank)
+    want = {r.page_id: r.text for r in html_extract.html_extract(pages).collect()}
+    assert {r.page_id: r.text for r in html_extract.html_extract(blank).collect()} == want
+    alone = {r.page_id: "\n".join(html_extract.slots(r.html)) for r in blank.collect()}
+    assert all(alone[k] != want[k] for k in want)
+
+
+def test_html_classes_brute_force(spark):
+    """Fixed texts are those whose occurrence vector over the host's different pages is that of an element around them."""
+    r = random.Random(8)
+    rows = []
+    for k in range(60):
+        lines = "".join(f"<p>{r.choice(['one', 'two', 'three'])} {r.randrange(3)}</p>" for _ in range(r.randrange(1, 4)))
+        note = "<p>always</p>" if r.random() < 0.9 else ""
+        part = f"<div class='s'><p>label</p><ul>{'<li>item</li>' * r.randrange(1, 3)}</ul></div>" if r.random() < 0.8 else ""
+        rows.append((k, f"http://h{k % 3}.example/{k}", f"<body><div class='t'>site</div>{part}<div class='m'><h2>head</h2>{lines}{note}</div></body>"))
+    got = {t.host: set(t.fixed) for t in html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in ("h0.example", "h1.example", "h2.example"):
+        pages = [html_extract.Page(x) for x in sorted({h for _, u, h in rows if host in u})]
+        text, element = defaultdict(lambda: [0] * len(pages)), defaultdict(lambda: [0] * len(pages))
+        for n, page in enumerate(pages):
+            element[""][n] = 1
+            for path in page.elements:
+                element[path][n] += 1
+            for path, _, _, t in page.blocks:
+                text[path, t][n] += 1
+        want = set()
+        for (path, t), v in text.items():
+            support = sum(map(bool, v))
+            if support >= html_extract.LEAST_SUPPORT and 2 * support >= len(pages) and any(element[x] == v for x in (path, *html_extract._above(path))):
+                want.add(html_extract._token(path, t))
+        assert got[host] == want and want
+
+
+def test_html_clashing_names_and_many_hosts(spark, monkeypatch):
+    page = "<body><div class='t'>site</div><div class='m'><p>{0}</p><p>more {0}</p></div></body>"
+    rows = [(k, f"http://h{k % 2}.example/", page.format(k), "a", k, "b", "c") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, pages long, main string, fixed string")
+    keep = ("page_id", "host", "pages", "main", "fixed")
+    want = [(k, "a", k, "b", "c", f"{k}\nmore {k}") for k in range(40)]
+    assert sorted((*[r[x] for x in keep], r.text) for r in html_extract.html_extract(df, keep_columns=keep).collect()) == want
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(html_extract, "PAGES_A_PART", 7)
+    assert sorted((*[r[x] for x in keep], r.text) for r in html_extract.html_extract(df, keep_columns=keep).collect()) == want
+
+
 # 3. packing
 
 
