@@ -477,6 +477,29 @@ def test_decontaminate_any_case(spark):
     assert sorted((x.doc_id, x.n_match, x.n_region) for x in got) == [(k, 16, 16) for k in (1, 2, 3)]
 
 
+def test_decontaminate_short_items(spark):
+    """Items of five to seven words count where all their words stand, shorter ones only as a whole document."""
+    items = [(1, "one two three four five six"), (2, "Just two."), (3, "a")]
+    rows = [(1, "x One two, three four five six y"), (2, "one two three four five other six"), (3, "just TWO"), (4, "it is just two words"), (5, "a"), (6, "a b"), (7, " ")]
+    got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 6, 6), (3, 2, 2, 2), (5, 3, 1, 1)]
+
+
+def test_decontaminate_long_and_both_plans(spark, monkeypatch):
+    r = random.Random(9)
+    book = [f"b{r.randrange(50_000)}" for _ in range(100_000)]
+    rows = [(1, " ".join([f"d{k % 70_000}" for k in range(500_000)] + book[777:900] + [f"e{k % 70_000}" for k in range(500_000)])), (2, " ".join(book[:30])), (3, " ".join(book[5000:5100])), (4, "nothing of it " * 9)]
+    rows += [(5, " ".join(book[100:160])), (5, "another text of the same id"), *[(10 + k, t) for k, t in corpus(80)]]
+    items = [(7, " ".join(book)), (8, rows[12][1]), (9, "w1 w2 w3")]
+    docs = frame(spark, [(*x, "a", "b") for x in rows], "doc_id long, text string, n_match string, __gl_item string")
+    bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_region int")
+    got = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert {x[:2] for x in got if x[1] == 7} == {(1, 7), (3, 7), (5, 7)}
+    for name in ("BROADCAST_SEEDS", "BROADCAST_BYTES"):
+        monkeypatch.setattr(decontaminate, name, 0)
+        assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == got
+
+
 # 8. language
 
 
