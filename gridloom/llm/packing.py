@@ -26,20 +26,30 @@ from pyspark.sql import types as T
 from . import _common as c
 
 
+#: Pieces of one length that are ranked together, about, and parts of a length at least.
+RANKED, LEAST_SALTS = 100_000, 8
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str | None = None):
-    """Text to ids.  ``path``: a ranks file (.tiktoken; needs ``pattern``) or a tokenizer file of the library tokenizers (.json)."""
-    if path.endswith(".tiktoken"):
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+def encoder(path: str, ranks: tuple[str, str] | None = None):
+    """Text to the ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``, added tokens in the text included.
+
+    ``ranks``: a .tiktoken file of the same vocabulary and its pattern; it gives the same ids for less, and is taken for the
+    texts without an added token.
+    """
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda text: t.encode(text, add_special_tokens=False).ids
+    exact = Tokenizer.from_file(path)
+    plain = lambda text: exact.encode(text, add_special_tokens=False).ids
+    if not ranks:
+        return plain
+    import tiktoken
+
+    with open(ranks[0], "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    fast = tiktoken.Encoding("ranks", pat_str=ranks[1], mergeable_ranks=table, special_tokens={}).encode_ordinary
+    added = [t.content for t in exact.get_added_tokens_decoder().values()]
+    return lambda text: plain(text) if any(x in text for x in added) else fast(text)
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -48,7 +58,7 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return ([first] if first else []) + [capacity] * (n // capacity)
 
 
-def pieces(docs: DataFrame, tokenizer: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, ranks: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The token pieces of each row: id_col, piece, start, length, ids_crc32 and, on demand, ids.
 
     Null text is empty; every document ends with ``end_id``, so it has a piece.  Ids may be null or repeat.
@@ -63,7 +73,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str | None = None, id_col:
     arrow = to_arrow_schema(schema)
 
     def tokenize(batches):
-        encode = encoder(tokenizer, pattern)
+        encode = encoder(tokenizer, ranks)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounded output
                 part = batch.slice(at, 500)
@@ -225,30 +235,38 @@ class Plan:
 def pack(parts: DataFrame, capacity: int = 2048, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds ``sequence_id`` (dense from 0) and ``offset`` to each row, so that the rows of a sequence lie there gapless from 0.
 
-    ``parts`` has lengths from 1 to ``capacity``; rows of a null or other length are an error.  All other columns stay.
-    ``parts`` is read twice, so pass it materialised if it is dear.  Rows that are equal in ``order`` share no place.  An
-    empty table gives an empty result.
+    ``parts`` has lengths from 1 to ``capacity``; rows of a null or other length are an error.  All other columns stay; columns
+    of the two names are replaced.  ``parts`` is read three times, so pass it materialised if it is dear.  Rows that are equal in
+    ``order`` share no place.  An empty table gives an empty result.
     """
     spark = parts.sparkSession
-    n_rows = parts.count()
-    salts = int(min(512, max(8, n_rows // 1_000_000)))
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
-    salted = parts.withColumn("__gl_salt", salt)
-    counted = salted.groupBy(length_col, "__gl_salt").count().collect()  # at most capacity * salts rows
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for length, s, n in counted:
+    lengths = parts.groupBy(c.quoted(length_col).alias("x")).count().collect()  # at most capacity rows
+    total = {}
+    for length, n in lengths:
         if length is None or not 1 <= length <= capacity:
             raise ValueError(f"a piece has length {length}; the capacity is {capacity}")
-        counts[length, s] = n
-    before = np.cumsum(counts, axis=1) - counts
-    places = Plan({int(s): int(x) for s, x in enumerate(counts.sum(axis=1)) if x}, capacity).places()
-    held = spark.sparkContext.broadcast((before, places))  # bounded by the capacity
+        total[int(length)] = n
+    # A length is ranked in as many parts as it has pieces for, so a length that most pieces have is no hot spot.
+    salts = np.zeros(capacity + 1, np.int64)
+    for length, n in total.items():
+        salts[length] = max(LEAST_SALTS, -(-n // RANKED))
+    first = np.cumsum(salts) - salts  # of a length's parts in one list
+    table = spark.createDataFrame([(x, int(salts[x])) for x in total], "__gl_length long, __gl_salts long")
+    salted = parts.join(F.broadcast(table), c.quoted(length_col).cast("long") == F.col("__gl_length"))
+    salted = salted.withColumn("__gl_salt", F.pmod(F.xxhash64(*map(c.quoted, order)), F.col("__gl_salts")).cast("int"))
+    counts = np.zeros(int(salts.sum()), np.int64)
+    for length, s, n in salted.groupBy("__gl_length", "__gl_salt").count().collect():  # a row for RANKED pieces, and few for each length
+        counts[first[length] + s] = n
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[np.minimum(first, max(0, len(before) - 1))], salts) if len(before) else 0  # within the length
+    places = Plan(total, capacity).places()
+    held = spark.sparkContext.broadcast((first, before, places))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, salt: pd.Series, number: pd.Series) -> pd.DataFrame:
-        before, places = held.value
+        first, before, places = held.value
         length, salt = length.to_numpy(), salt.to_numpy()
-        rank = before[length, salt] + number.to_numpy() - 1
+        rank = before[first[length] + salt] + number.to_numpy() - 1
         sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
         for s in np.unique(length):
             own, table = length == s, places[int(s)]
@@ -259,22 +277,22 @@ def pack(parts: DataFrame, capacity: int = 2048, length_col: str = "length", ord
 
     from pyspark.sql import Window
 
-    number = F.row_number().over(Window.partitionBy(length_col, "__gl_salt").orderBy(*order))
-    placed = salted.withColumn("__gl_number", number).withColumn("__gl_place", place(length_col, "__gl_salt", "__gl_number"))
-    return placed.select(*[c.quoted(x) for x in parts.columns], "__gl_place.sequence_id", "__gl_place.offset")
+    number = F.row_number().over(Window.partitionBy("__gl_length", "__gl_salt").orderBy(*map(c.quoted, order)))
+    placed = salted.withColumn("__gl_number", number).withColumn("__gl_place", place("__gl_length", "__gl_salt", "__gl_number"))
+    return placed.select(*[c.quoted(x) for x in parts.columns if x not in ("sequence_id", "offset")], "__gl_place.sequence_id", "__gl_place.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, ranks: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """``pieces`` and ``pack``: each document is tokenized once and its pieces are written to the shared folder."""
-    cut = c.materialize(pieces(docs, tokenizer, pattern, id_col, text_col, capacity, with_ids=with_ids))
-    return pack(cut, capacity, order=(id_col, "piece"))
+    cut = c.materialize(pieces(docs, tokenizer, ranks, id_col, text_col, capacity, with_ids=with_ids))
+    return pack(cut, capacity, order=(id_col, "piece", "ids_crc32"))
 
 
-def public_byte_bpe() -> tuple[str, str]:
-    """The public byte-level vocabulary as ranks, and its pattern; ids equal those of byte_bpe_50k.json."""
+def public_byte_bpe() -> tuple[str, tuple[str, str]]:
+    """The public byte-level tokenizer, and the ranks and pattern of the same vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -266,14 +266,41 @@ def test_reduction_keeps_a_best_packing():
         assert fixed + (best(rest, 20) if rest else 0) == best(sizes, 20)  # what is fixed loses nothing
 
 
-def test_pack_documents(spark):
-    path, pattern = packing.public_byte_bpe()
+def test_encoder_gives_the_ids_of_the_tokenizer_file():
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(*packing.public_byte_bpe())
+    texts = ["<|endoftext|> x", "a<|endoftext|><|endoftext|>b ", "<|endoftext", "", " ", "12345 \n\n  x\u00a0y 漢字 \u200d🙂 it's IT'S", "a" * 3000, "\r\n\t \x00\x85\u2028"]
+    texts += [t or "" for _, t in corpus(60)]
+    points = [k for k in range(0x30000) if not 0xD800 <= k < 0xE000]  # letters, digits, spaces and others are told apart alike
+    texts += ["".join(f"a{chr(k)}b 1{chr(k)}2 !{chr(k)}? {chr(k)} x {chr(k)}" for k in points[at : at + 512]) for at in range(0, len(points), 512)]
+    assert [list(encode(t)) for t in texts] == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(encode("<|endoftext|> x"))[0] == exact.token_to_id("<|endoftext|>")
+
+
+def test_pack_ranks_hot_lengths_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 50)
+    rows = [(k, 0, 16 if k % 3 else 1 + k % 16, "old", 5) for k in range(3000)] + [(None, 0, 16, "old", 5), (1, 0, 16, "old", 5), (1, 0, 16, "old", 5)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string, offset int")
+    got = packing.pack(parts, 16).collect()
+    assert packing.pack(parts, 16).columns == ["doc_id", "piece", "length", "sequence_id", "offset"] and len(got) == len(rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert sorted(held) == list(range(len(held))) and len(held) == -(-sum(r[2] for r in rows) // 16)
+    for items in held.values():
+        assert [x for x, _ in sorted(items)] == list(np.cumsum([0, *[n for _, n in sorted(items)]])[:-1]) and sum(n for _, n in items) <= 16
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 0, 17)], "doc_id long, piece int, length long"), 16)
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 0, None)], "doc_id long, piece int, length long"), 16)
 
-    json_encode, ranks = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(path, pattern)
+
+def test_pack_documents(spark):
+    path, pattern = packing.public_byte_bpe()
+    ranks = packing.encoder(path, pattern)
     rows = [*corpus(60), (None, "no id"), (3, "again"), (900, "a" * 3000), (901, "<|endoftext|> 12345 \n\n  x\u00a0y 漢字")]
-    for _, t in rows:
-        assert list(json_encode(t or "")) == list(ranks(t or ""))
     got = packing.pack_documents(frame(spark, rows), path, pattern, capacity=256, with_ids=True).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
