@@ -62,15 +62,16 @@ def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def hash_sample(df: DataFrame, key: Column, n: int, ties: list[Column]) -> DataFrame:
-    """About ``n`` rows and never more: those of the least hashes of ``key``; the same ones at every run.
+def hash_sample(df: DataFrame, key: Column, n: int, ties: list) -> DataFrame:
+    """About ``n`` rows and never more: those of the least hashes of ``key``, ties by ``ties``; the same ones at every run.
 
-    A bound on the hash leaves about 2n rows before any are sent to one task, however large the table.
+    A bound on the hash leaves about 2n rows before any are sent to one task, however large the table.  ``key`` should tell
+    rows apart: rows of one key come together, cut at ``n``; the least key always comes.
     """
     hashed = df.withColumn("__gl_h", F.xxhash64(key))
-    total = df.count()
+    total, least = hashed.agg(F.count(F.lit(1)), F.min("__gl_h")).first()
     if total > 2 * n:
-        hashed = hashed.filter(F.col("__gl_h") <= int(2 * n / total * 2.0**64) - (1 << 63))
+        hashed = hashed.filter(F.col("__gl_h") <= max(least, int(2 * n / total * 2.0**64) - (1 << 63)))
     return hashed.orderBy("__gl_h", *ties).limit(n).drop("__gl_h")
 
 

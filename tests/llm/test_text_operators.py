@@ -548,15 +548,76 @@ def test_language_id(spark):
 
 
 def test_network_gradient():
-    """Backpropagation through time against finite differences, through the loss that training lowers."""
-    from collections import Counter as C
-
-    counts = {"a": C({b"abc": 3, b"aab": 1}), "b": C({b"xyz": 2, b"zzx": 2})}
-    net = language_id.fit(counts, batches=60, rows=64)
-    p = net.words([b"abc", b"xyz"])
-    assert p[0, 0] / 3 > 0.9 and p[1, 1] / 3 > 0.9
-    long = b"abc" * 30  # longer than a piece: every position counts
-    assert abs(net.words([long]).sum() - len(long)) < 1e-3
+    """Backpropagation through time against central differences, in double precision; and training lowers the loss."""
+    net = language_id.start(["a", "b", "c"], dtype=np.float64)
+    rows, y = [b"abc d", b"xyzzy pl ugh", b"a", "é ß".encode()], np.array([0, 1, 2, 1])
+    _, grads = language_id.gradients(net, rows, y)
+    r = np.random.default_rng(4)
+    seen = sorted(set(b"".join(rows)))
+    for p, g in zip((net.x, net.u, net.o, net.b), grads, strict=True):
+        for _ in range(25):
+            at = tuple(int(r.integers(0, n)) for n in p.shape)
+            if p is net.x:
+                at = (at[0], int(r.choice(seen)), at[2])
+            kept, e = p[at], 1e-5
+            p[at] = kept + e
+            up = language_id.gradients(net, rows, y)[0]
+            p[at] = kept - e
+            down = language_id.gradients(net, rows, y)[0]
+            p[at] = kept
+            assert abs((up - down) / (2 * e) - g[at]) < 1e-7 + 1e-4 * abs(g[at])
+    pieces = {"a": [b"abc aab", b"aab abc abc"], "b": [b"xyz zzx", b"zzx xyz xyz"]}
+    net = language_id.fit(pieces, batches=60, rows=64)
+    p = net.pooled([b"abc aab", b"xyz"])
+    assert p[0, 0] > 0.9 and p[1, 1] > 0.9
+
+
+def test_network_reads_whole_texts(monkeypatch):
+    """Every position is labelled once, with the bytes around it, however long a text without a blank is."""
+    net = language_id.start(["a", "b"])
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 123, n).tolist()) for n in (1, 40, 300, 0, 2000)] + ["漢字ü".encode() * 70]
+
+    def labels(text):
+        data, active, _ = language_id._padded([text])
+        return net.label(np.concatenate([net.run(0, data, active), net.run(1, data, active)], axis=2))[:, 0]
+
+    whole = [labels(t).mean(axis=0) if t else np.zeros(2) for t in texts]
+    got = net.pooled(texts)
+    assert np.allclose(got[:3], whole[:3], atol=1e-5) and np.allclose(got.sum(axis=1), [1, 1, 1, 0, 1, 1])
+    monkeypatch.setattr(language_id, "WINDOW", 50)
+    monkeypatch.setattr(language_id, "ROWS", 7)
+    for t, p in zip(texts, net.pooled(texts), strict=True):
+        parts = [labels(t[max(0, k - 32) : k + 82])[k - max(0, k - 32) :][:50] for k in range(0, len(t), 50)]
+        assert np.allclose(p, np.concatenate(parts).mean(axis=0) if t else 0, atol=1e-5)
+
+
+def test_language_pieces():
+    assert language_id.pieces_of("") == [] == language_id.pieces_of("12 ... " * 90) and language_id.pieces_of("a1") == [b"a1"]
+    text = "".join(chr(0x4E00 + k) for k in range(5000))  # no blank at all
+    pieces = language_id.pieces_of(text)
+    at = [text.index(p.decode(errors="ignore")[:15]) for p in pieces]
+    assert len(pieces) == language_id.PIECES and at[0] == 0 and at[-1] > 4900 and np.diff(at).max() < 600
+    assert all(len(p) <= language_id.PIECE for p in pieces)
+
+
+def test_language_sample_with_repeated_ids(spark):
+    """Rows that share an id, or have none, are sampled row by row."""
+    rows = [(i, (f"schwert zug {k}" if k % 2 else f"kala mora {k}"), "bb" if k % 2 else "aa") for i in (None, 5) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for part in (docs.filter("doc_id is null"), docs.filter("doc_id = 5")):
+        net = language_id.train(part, sample=100, batches=80)
+        assert net.languages == ["aa", "bb"] and {(x.lang, x.lang_pred) for x in language_id.identify(part, net).collect()} == {("aa", "aa"), ("bb", "bb")}
+    for i in range(1, 7):
+        same = spark.createDataFrame([(i, k) for k in range(100)], "doc_id long, k int")
+        assert 0 < c.hash_sample(same, F.xxhash64("doc_id", "k"), 10, ["k"]).count() <= 10 == c.hash_sample(same, F.col("doc_id"), 10, ["k"]).count()
+
+
+def test_language_long_text_and_empty_table(spark):
+    net = language_id.fit({"a": [b"abc aab"], "b": [b"xyz zzx"]}, batches=60, rows=64)
+    docs = spark.createDataFrame([(1, "abcaab" * 50_000), (1, "xyzzzx" * 50_000), (2, ""), (3, None)], "doc_id long, text string")
+    assert [x.lang_pred for x in language_id.identify(docs, net).collect()] == ["a", "b", "und", "und"]
+    assert language_id.identify(docs.filter("false"), net).count() == 0
 
 
 # 9. resharding
