@@ -1,14 +1,21 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Grades 0 to K - 1 are ordered; P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all thresholds t_1 < t_2 < ...
-The features are the words of a text and their first letters, hashed, each counted once, and scaled by the log odds they have
-in the labelled sample.  Fitting uses at most ``sample`` labelled documents (a documented bound); scoring covers every row.
+The query's grades: 0 acceptable, 1 of poor quality, 2 toxic.  The features are hashed, each is there or not: the words of a text
+and their first letters; first letters that a share of its words begin with; and its shape (shares of symbols, capitals, repeated
+words and table cells, each beyond fixed bounds).  Lexical features are chosen, and scaled, by the log odds they have for the
+top grade in the labelled sample, shapes by none; all weights are signed.
+
+Fitting uses at most ``sample`` labelled documents (a documented bound); scoring covers every row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -22,8 +29,24 @@ from . import _common as c
 FEATURE_BITS = 20
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 6000
-PREFIXES = (4, 5)
+#: Lengths of the first letters of a word that are features, and the share of words from which they are a dense one.
+PREFIXES, DENSE = (4, 5), 1 / 300
+#: Bounds of the shares that are features of shape.
+SHAPE_BOUNDS = (0.02, 0.1, 0.3)
+#: Grades weigh by their number of rows to minus this power.
+BALANCE = 0.5
 _EDGES = " .,;:!?\"'()[]{}<>*#$%&|-_/\\"
+_SYMBOLS = "#*$%&|<>!"
+_CAPITALS = re.compile(r"[^\W\d_a-zà-öø-ÿ]{2,}")
+
+
+def _number(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name) >> (64 - FEATURE_BITS)
+
+
+#: Features of shape, by kind and bound.
+SHAPES = np.array([[_number(f"\1{kind}\1{k}") for k in range(len(SHAPE_BOUNDS))] for kind in ("symbols", "capitals", "repeats", "cells")])
+_DENSE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Features(dict):
@@ -34,15 +57,23 @@ class Features(dict):
             self.clear()
         own = word.strip(_EDGES)
         names = [own, *(f"{own[:k]}\0{k}" for k in PREFIXES if len(own) >= k)] if own else []
-        out = self[word] = tuple(xxhash.xxh3_64_intdigest(x) >> (64 - FEATURE_BITS) for x in names)
+        out = self[word] = tuple(map(_number, names))
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        words = set((text or "").lower().split())
-        found = set()
-        for w in words:
-            found.update(self[w])
-        return np.fromiter(found, np.int64, len(found))
+        """The distinct features of a text, in ascending order.  Null and empty texts have none."""
+        words = (text or "").lower().split()
+        if not words:
+            return np.empty(0, np.int64)
+        own = np.fromiter(chain.from_iterable(map(self.__getitem__, set(words))), np.int64)
+        found, times = np.unique(own, return_counts=True)
+        dense = found[(times > 1) & (times >= DENSE * len(words))].astype(np.uint64)
+        shares = np.array([
+            sum(map(text.count, _SYMBOLS)) / len(text), len(_CAPITALS.findall(text)) / len(words),
+            sum(map(eq, words, words[1:])) / len(words), text.count(" | ") / len(words),
+        ])
+        shape = SHAPES[shares[:, None] > np.array(SHAPE_BOUNDS)]
+        return np.unique(np.concatenate([found, (c.mix(dense ^ _DENSE) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), shape]))
 
 
 @dataclass
@@ -68,8 +99,39 @@ def one_of_copies(rows: list[np.ndarray]) -> list[int]:
     return out
 
 
+def likelihood(score: np.ndarray, raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean weighted log likelihood of grades ``y``, and its gradients by score and by ``raw``: the first threshold and the logarithms of the steps."""
+    t = np.concatenate([[raw[0]], raw[0] + np.cumsum(np.exp(raw[1:]))])
+    cum = np.concatenate([np.ones((len(y), 1)), 1 / (1 + np.exp(-np.clip(score[:, None] - t, -50, 50))), np.zeros((len(y), 1))], axis=1)
+    at = np.arange(len(y))
+    p = np.maximum(cum[at, y] - cum[at, y + 1], 1e-9)
+    slope = cum * (1 - cum)
+    g_score = weight * (slope[at, y] - slope[at, y + 1]) / p / len(y)
+    g_t = np.array([np.sum(weight * (np.where(y == k, slope[:, k + 1], 0) - np.where(y == k + 1, slope[:, k + 1], 0)) / p) for k in range(len(t))]) / len(y)
+    g_raw = np.concatenate([[g_t.sum()], [g_t[k:].sum() * np.exp(raw[k]) for k in range(1, len(raw))]])
+    return float(np.mean(weight * np.log(p))), g_score, g_raw
+
+
+def chosen_features(flat: np.ndarray, row: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lexical features that surely speak for the top grade, with their log odds; then those of shape, with 1.
+
+    Sure: a log-likelihood ratio that chance hardly reaches among so many.  Words that lower grades share say nothing of a long text.
+    """
+    size = 1 << FEATURE_BITS
+    bad, good = np.bincount(flat, top[row], size), np.bincount(flat, ~top[row], size)
+    scale = np.log((bad + 0.5) / (top.sum() + 1) / ((good + 2) / ((~top).sum() + 4)))
+    both, base = bad + good, top.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(bad > 0, bad * np.log(bad / (both * base)), 0) + np.where(good > 0, good * np.log(good / (both * (1 - base))), 0))
+    sure = (scale > 0.5) & (ratio > 2 * np.log(max(2, np.sum(both >= 3))) - 4)
+    shape = np.unique(SHAPES)
+    sure[shape] = False
+    lexical = np.flatnonzero(sure)
+    return np.concatenate([lexical, shape]), np.concatenate([scale[lexical], np.ones(len(shape))])
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 300, decay: float = 1e-3) -> Ordinal:
-    """Maximum likelihood with a Gaussian prior around naive Bayes, by Adam over all rows; deterministic."""
+    """Maximum likelihood with a Gaussian prior (lexical weights around naive Bayes, shapes around 0), by Adam over all rows; deterministic."""
     size = 1 << FEATURE_BITS
     y = np.asarray(grades, np.int64)
     if not len(y) or (y == y[0]).all():  # one grade only: predict it
@@ -77,53 +139,34 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         return Ordinal(np.zeros(size, np.float32), np.linspace(at, at + 1, n_grades - 1))
     n = np.array([len(x) for x in rows])
     flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
-    # log odds of a feature between graded and clean documents; rare features count little
-    bad = np.bincount(flat, (y > 0)[row], size)
-    good = np.bincount(flat, (y == 0)[row], size)
-    p, q = (bad + 0.5) / (np.sum(y > 0) + 1), (good + 2) / (np.sum(y == 0) + 4)
-    scale = np.log(p / q)
-    # Features that surely speak for toxicity: a log-likelihood ratio that chance hardly reaches among so many.  What clean
-    # documents share says nothing of a long one.
-    both, base = bad + good, np.mean(y > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(bad > 0, bad * np.log(bad / (both * base)), 0) + np.where(good > 0, good * np.log(good / (both * (1 - base))), 0))
-    used = np.flatnonzero((scale > 0.5) & (ratio > 2 * np.log(max(2, np.sum(both >= 3))) - 4))
+    used, value = chosen_features(flat, row, y == y.max())
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
     keep = place[flat] >= 0
     flat, row = place[flat[keep]], row[keep]
-    value = scale[used]
-    w = np.ones(len(used))  # naive Bayes, which the penalty pulls towards
+    is_lexical = ~np.isin(used, SHAPES)
+    prior = is_lexical.astype(float)
+    w = prior.copy()
     share = np.array([np.clip((y > k).mean(), 1e-3, 1 - 1e-3) for k in range(n_grades - 1)])
     t = np.log(1 / share - 1)
     raw = np.concatenate([[t[0]], np.log(np.maximum(np.diff(t), 1e-2))])  # thresholds as a first one and positive steps
-    weight = np.where(y > 0, 0.5 / np.mean(y > 0), 0.5 / np.mean(y == 0))
+    weight = (1 / np.bincount(y, minlength=n_grades).clip(1) ** BALANCE)[y]
     weight /= weight.mean()
     m, v = np.zeros(len(w) + len(raw)), np.zeros(len(w) + len(raw))
     for step in range(1, steps + 1):
-        t = np.concatenate([[raw[0]], raw[0] + np.cumsum(np.exp(raw[1:]))])
-        score = np.bincount(row, (w * value)[flat], len(y))
-        cum = np.concatenate([np.ones((len(y), 1)), 1 / (1 + np.exp(-np.clip(score[:, None] - t, -50, 50))), np.zeros((len(y), 1))], axis=1)
-        at = np.arange(len(y))
-        p = np.maximum(cum[at, y] - cum[at, y + 1], 1e-9)
-        slope = cum * (1 - cum)
-        d_score = weight * (slope[at, y] - slope[at, y + 1]) / p  # of the log likelihood
-        g_t = np.zeros(len(t))
-        for k in range(len(t)):
-            g_t[k] = np.sum(weight * (np.where(y == k + 1, -slope[:, k + 1], 0) + np.where(y == k, slope[:, k + 1], 0)) / p)
-        g_raw = np.concatenate([[g_t.sum()], [g_t[k:].sum() * np.exp(raw[k]) for k in range(1, len(raw))]])
-        grad = np.concatenate([np.bincount(flat, d_score[row], len(w)) * value / len(y) + decay * (1 - w), g_raw / len(y)])
+        _, g_score, g_raw = likelihood(np.bincount(row, (w * value)[flat], len(y)), raw, y, weight)
+        grad = np.concatenate([np.bincount(flat, g_score[row], len(w)) * value + decay * (prior - w), g_raw])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, raw = np.maximum(w + move[: len(w)], 0), raw + move[len(w) :]  # a sign of toxicity never speaks against it
+        w, raw = w + move[: len(w)], raw + move[len(w) :]
     out = np.zeros(size, np.float32)
     out[used] = w * value
     return Ordinal(out, np.concatenate([[raw[0]], raw[0] + np.cumsum(np.exp(raw[1:]))]))
 
 
 def grade_of(toxic: Column, quality: Column) -> Column:
-    """0: not toxic; 1: toxic; 2: toxic and of poor quality."""
-    return F.when(toxic == 1, F.when(quality == 0, 2).otherwise(1)).otherwise(0)
+    """2: toxic; 1: of poor quality; 0: neither; null if toxicity is not known."""
+    return F.when(toxic == 1, 2).when(toxic == 0, F.when(quality == 0, 1).otherwise(0))
 
 
 def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, sample: int = SAMPLE) -> Ordinal:
@@ -147,7 +190,10 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """Adds ``severity`` (the expected grade) and ``p_toxic`` (P(grade > 0)); other columns stay.  Null text scores as empty."""
+    """Adds ``severity`` (the expected grade) and ``p_toxic`` (of the top grade); columns of those names are replaced, others stay.
+
+    Null text scores as empty.  Texts of any length are read whole.  An empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -155,7 +201,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
         for texts in batches:
             sums = np.array([model.weights[f.of(t)].sum(dtype=np.float64) for t in texts])
             p = model.beyond(sums)
-            yield pd.DataFrame({"severity": p.sum(axis=1), "p_toxic": p[:, 0]})
+            yield pd.DataFrame({"severity": p.sum(axis=1), "p_toxic": p[:, -1]})
 
     # postponed annotations are strings here, so the kind is told
     rate.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -165,7 +211,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     return rated.select(*[c.quoted(x) for x in clash], "__gl_rated.severity", "__gl_rated.p_toxic")
 
 
-#: A document is rejected if P(grade > 0) is at least this.
+#: A document is rejected if its probability of the top grade is at least this.
 REJECT = 0.5
 
 
