@@ -75,9 +75,24 @@ def hash_sample(df: DataFrame, key: Column, n: int, ties: list) -> DataFrame:
     return hashed.orderBy("__gl_h", *ties).limit(n).drop("__gl_h")
 
 
+#: Up to so many bytes of text, blocks and buckets have their least size.
+GROWS_FROM = 16 << 30
+
+
+def growth(n_bytes: int) -> float:
+    """By what factor blocks and buckets are larger than the least: a root of the input, so that a block's entry in a bucket
+    shrinks with the root only; 16 at most, which a task of 2 GB holds."""
+    return min(16.0, max(1.0, math.sqrt(n_bytes / GROWS_FROM)))
+
+
 def blocks_for(n_bytes: int, target: int = 4 << 20, least: int = 48) -> int:
-    """How many blocks of about ``target`` bytes; small inputs still get enough to keep a cluster busy."""
-    return max(least, math.ceil(n_bytes / target))
+    """How many blocks of about ``target`` bytes times ``growth``; small inputs still get enough to keep a cluster busy."""
+    return max(least, math.ceil(n_bytes / (target * growth(n_bytes))))
+
+
+def buckets_for(n_bytes: int, items: int = 1_000_000, least: int = 64) -> int:
+    """How many buckets of about ``items`` words times ``growth``."""
+    return max(least, int(n_bytes / 6 / (items * growth(n_bytes))))
 
 
 # --- words and their hashes, in numpy -----------------------------------------------------------

@@ -9,7 +9,8 @@ looked up as well, and what they add joins the span.  Words within spans are rem
 
 What moves: each block sends a distinct phrase once (``KEY_BYTES`` of its hash and about a byte of offset), so a
 passage found in a third of all rows counts once a block; answers name only repeated phrases.  The key together with
-the bucket, an independent hash, has 56 + log2(buckets) bits, and buckets grow with the input.
+the bucket, an independent hash, has 64 + log2(buckets) bits: among the phrases of 100 TB less than one pair is expected to
+meet by chance.  Blocks and buckets both grow with a root of the input.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 #: Bytes of a phrase's hash that are sent; the bucket has the other bits.
-KEY_BYTES = 7
-#: Phrases a bucket holds on average.
+KEY_BYTES = 8
+#: Phrases a bucket holds on average, at least.
 BUCKET_PHRASES = 1_000_000
 
 
@@ -215,7 +216,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     n_rows, n_bytes = c.text_bytes(base, "__gl_text")
     n_blocks = c.blocks_for(n_bytes)
-    n_buckets = max(64, n_bytes // 6 // BUCKET_PHRASES)
+    n_buckets = c.buckets_for(n_bytes, BUCKET_PHRASES)
     step = max(1, n_bytes // max(1, n_rows))
     blocked = _blocked(base, n_blocks if n_rows else 1, step)
     phrases = blocked.groupBy("__gl_block").applyInArrow(_index(window, n_buckets), "bucket int, block int, keys binary, offsets binary")
