@@ -14,10 +14,11 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link w
    cell whose hyperplane bound d(x, p') - d(x, p) <= 2 tau reaches it; |d(x, p) - d(y, p)| > tau rules a pair out and
    d(x, p) + d(y, p) <= tau links it untested.  Links between documents that are already connected need no test, so
    thousands of near copies around a pivot cost one pass, not a square.
-   A region beyond ``REGION_SHINGLES`` first goes through rounds that are spread over the cluster: all distances to one pivot
-   are measured in parallel; documents within tau of the pivot are one class; of those only the ones whose distance window
-   reaches a document outside go on.  A region that is still large falls apart into the regions of its single pivots, which it
-   was merged from: each document goes to those of its boundary windows, and the rounds run again.
+   A region beyond ``REGION_SHINGLES`` first goes through rounds that are spread over the cluster: all distances to a few
+   pivots are measured in parallel; documents within tau of a pivot are linked to it; of those only the ones whose distance
+   window reaches a document outside that ball go on.  A region that is still large falls apart into the regions of its single
+   pivots, which it was merged from: each document goes to those of its boundary windows.  The rounds then go on until every
+   region is within the bound; each takes at least its pivots out of a region.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ KEY_BYTES = 4
 BUCKET_SHINGLES = 1_000_000
 #: Shingles of a region that one task joins; larger ones are split by pivot rounds first.
 REGION_SHINGLES = 8_000_000
-#: Pivot rounds before a region falls apart into those of its single pivots, and after.
-ROUNDS = (8, 64)
+#: Pivot rounds before a region falls apart into those of its single pivots; then there are as many as it takes.
+ROUNDS = 4
+#: Pivots of a region in a round.
+PIVOTS = 8
 #: Documents of a cell that are compared without further pivots.
 LEAF = 256
 
@@ -289,27 +292,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
-def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Take documents out of regions beyond ``region_shingles`` by rounds of one pivot each, spread over the cluster.
+def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Take documents out of regions beyond ``region_shingles`` by rounds of PIVOTS pivots each, spread over the cluster.
 
-    ``sets``: region, id, n, shingles.  Returns what is left, and links found.  After a round, a document within tau of the
-    pivot (class A) is linked to it; it goes on only if its window [d - tau, d + tau] reaches a document outside A.  Nothing
+    ``sets``: region, id, n, shingles.  Returns what is left, and links found; without ``rounds`` no region is left that is
+    larger.  A document within tau of a pivot is linked to it.  It is done if that is its own set, or if its window
+    [d - tau, d + tau] reaches no document beyond tau of the pivot: all its partners are linked to the pivot then.  Nothing
     comes to the driver; a table with a row for each large region is broadcast only while it is small.
     """
     tau, links, done = 1 - percent / 100, [], []
 
-    @F.pandas_udf("double")
-    def far(shingles: pd.Series, pivot: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def far(shingles: pd.Series, pivots: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(shingles, pivot, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            k = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(1 - k / (len(x) + len(y) - k))
-        return pd.Series(out, dtype="float64")
-
-    for _ in range(rounds):
-        size = sets.groupBy("region").agg(F.sum("n").alias("all"), F.min("id").alias("pivot")).filter(F.col("all") > region_shingles)
-        large = c.checkpointed(size.select("region", "pivot"))
+        for x, ps in zip(shingles, pivots, strict=True):
+            x, row = np.frombuffer(x, np.uint64), []
+            for y in ps:
+                y = np.frombuffer(y, np.uint64)
+                k = len(np.intersect1d(x, y, assume_unique=True))
+                row.append(1 - k / (len(x) + len(y) - k))
+            out.append(row)
+        return pd.Series(out)
+
+    turn = 0
+    while rounds is None or turn < rounds:
+        chosen = [F.min_by("id", F.xxhash64("id", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
+        turn += 1
+        size = sets.groupBy("region").agg(F.sum("n").alias("all"), F.array_distinct(F.array(*chosen)).alias("ids")).filter(F.col("all") > region_shingles)
+        large = c.checkpointed(size.select("region", "ids"))
         n_large = large.count()
         if not n_large:
             break
@@ -317,13 +327,17 @@ def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: in
         sets = c.materialize(sets)
         done.append(sets.join(hint(large), "region", "left_anti"))
         inside = sets.join(hint(large), "region")
-        at = c.materialize(inside.filter("id = pivot").select("region", F.col("shingles").alias("at")))
-        measured = c.materialize(inside.join(hint(at), "region").withColumn("d", far("shingles", "at")).drop("at"))
-        linked, beyond = measured.filter(F.col("d") <= tau + _EPS), measured.filter(F.col("d") > tau + _EPS)
-        links.append(linked.select(F.col("id").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
-        nearest = beyond.groupBy("region").agg(F.min("d").alias("reach"))
-        still = linked.join(nearest, "region").filter((F.col("d") >= F.col("reach") - tau - _EPS) & (F.col("d") > 0))
-        sets = beyond.select("region", "id", "n", "shingles").unionByName(still.select("region", "id", "n", "shingles"))
+        at = inside.filter(F.array_contains("ids", F.col("id"))).groupBy("region", "id").agg(F.min("shingles").alias("shingles"))
+        at = at.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("id", "shingles"))).alias("p"))  # PIVOTS sets at most
+        at = c.materialize(at.select("region", F.col("p.id").alias("at"), F.col("p.shingles").alias("sets")))
+        measured = c.materialize(inside.drop("ids").join(hint(at), "region").withColumn("d", far("shingles", "sets")).drop("sets"))
+        near = measured.select("id", F.explode(F.arrays_zip("at", "d")).alias("x")).filter(F.col("x.d") <= tau + _EPS)
+        links.append(near.select(F.col("id").alias("a"), F.col("x.at").alias("b")).filter("a <> b"))
+        beyond = [F.min(F.when(F.get("d", F.lit(k)) > tau + _EPS, F.get("d", F.lit(k)))) for k in range(PIVOTS)]
+        reach = measured.groupBy("region").agg(F.array(*beyond).alias("reach"))
+        inner = F.zip_with("d", "reach", lambda d, r: F.coalesce((d == 0) | (d <= tau + _EPS) & (r.isNull() | (d < r - tau - _EPS)), F.lit(False)))
+        still = measured.join(hint(reach), "region").filter(~F.exists(inner, lambda x: x))
+        sets = still.select("region", "id", "n", "shingles")
     for x in done:
         sets = sets.unionByName(x)
     return sets, links
@@ -360,7 +374,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(c.quoted(id_col).cast("long").alias("__gl_id"), c.quoted(text_col).alias("__gl_text"))
     _, n_bytes = c.text_bytes(base, "__gl_text")
-    n_blocks, n_buckets = c.blocks_for(n_bytes), max(64, n_bytes // 6 // BUCKET_SHINGLES)
+    n_blocks, n_buckets = c.blocks_for(n_bytes), c.buckets_for(n_bytes, BUCKET_SHINGLES)
     salt = F.xxhash64("__gl_id", F.when(F.col("__gl_id").isNull(), F.col("__gl_text")))
     blocked = base.select("__gl_id", "__gl_text", F.pmod(salt, F.lit(n_blocks)).cast("int").alias("__gl_block"))
     sent = blocked.groupBy("__gl_block").applyInArrow(_send(words, n_buckets), "bucket int, block int, keys binary, counts binary")
@@ -378,10 +392,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     region = region.union(region.select(F.col("component").alias("node"), "component").distinct().filter("node = component")).distinct()
     sets = features.filter("shingles is not null").select("id", "n", "shingles", "f1", "f2")
     sets = sets.join(region, sets.id == region.node).select(F.col("component").alias("region"), "id", "n", "shingles")
-    sets, links = _ball_rounds(sets, percent, region_shingles, ROUNDS[0])
+    sets, links = _ball_rounds(sets, percent, region_shingles, ROUNDS)
     apart = _by_pivot(sets, least, region_shingles)
     if apart is not None:
-        sets, more = _ball_rounds(apart, percent, region_shingles, ROUNDS[1])
+        sets, more = _ball_rounds(apart, percent, region_shingles)
         links += more
     found = sets.select("region", "id", "shingles").groupBy("region").applyInArrow(_joined(percent), "a long, b long").filter("a <> b")
     for x in links:
