@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 import zlib
@@ -23,23 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a folder of our own only where none is set (local tests)."""
+    """The folder every executor sees; a folder of our own only where none is set and all runs in one process (local tests)."""
     if set_by_cluster := spark.conf.get("spark.checkpoint.dir", None):
         return set_by_cluster.rstrip("/")
     own = spark.conf.get("gridloom.shared.dir", None)
     if not own:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("gridloom.shared.dir", own)
     return own
 
 
+#: Folders that this session has written and not deleted.
+_folders: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; the result has no lineage to recompute."""
-    path = f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
+    """Write ``df`` once to the shared folder and read it back; the result has no lineage to recompute.
+
+    The folder stays until ``discard``, as what is read from it may be used at any time.
+    """
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: int = 0, least: int = 0) -> None:
+    """Delete the folders written after the first ``least``, but for the last ``keep``: nothing may read them any more."""
+    end = len(_folders) - keep
+    for path in _folders[least:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _folders[least:end]
+
+
+def folders() -> int:
+    """How many folders there are, for ``discard``."""
+    return len(_folders)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for small tables that an iteration rereads."""
     sc = df.sparkSession.sparkContext

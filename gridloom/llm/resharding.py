@@ -10,7 +10,6 @@ and only shards that gain or lose rows are rewritten.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -267,7 +266,7 @@ def read_shards(placed: DataFrame, path: str, shards: list[int]) -> DataFrame:
 def op9_resharding(spark, sf_dir: str) -> DataFrame:
     """The corpus lies in six shards by id and goes to eight; what is rewritten is read from the rewritten files."""
     placed = reshard(c.table(spark, sf_dir, "documents").select("doc_id", "text"), keep_columns=True)
-    path = f"{c.shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    path = c.new_folder(spark)
     out = read_shards(placed, path, rewrite(placed, path))
     out = out.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("text_crc32", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

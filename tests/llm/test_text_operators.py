@@ -441,6 +441,13 @@ def test_chat_folds_events(spark):
     assert [x[:2] + x[3:] for x in got] == [(1, 0, "Hey"), (1, 1, "Good day"), (1, 3, "later"), (2, 0, "only")]
 
 
+def test_chat_clashing_names_and_long_conversation(spark):
+    log = [(1, k, k // 3, ("message", "delta", "delta")[k % 3], "assistant" if k % 2 else "user", f"t{k} " * 50) for k in range(9000)]
+    df = spark.createDataFrame([(a, b, c_, d, e, f, "x", 7, "y") for a, b, c_, d, e, f in log], "conv_id long, seq long, message long, kind string, role string, text string, turns string, parts int, formatted string")
+    got = chat.chat_format(df.repartition(6)).first()
+    assert got.n_turns == 3000 and got.formatted.startswith("### user:\n" + log[0][5] + log[1][5] + log[2][5] + "</turn>\n")
+
+
 # 6. Jaccard
 
 
@@ -802,6 +809,14 @@ def test_quality_figures(spark):
     assert kept == {1: True, 2: False, 3: False}
 
 
+def test_quality_empty_clashing_and_long(spark):
+    long = "der die das und " * 250_000 + "eins zwei drei"
+    docs = spark.createDataFrame([(1, long, 5, "k", True), (1, "", 5, "k", True), (None, None, 5, "k", True)], "doc_id long, text string, n_words int, h string, kept boolean")
+    got = sorted(tuple(r)[:7] for r in quality_rules.quality_rules(docs).collect() if r.doc_id)
+    assert got == [(1, 0, 0, 0, 0, 0, 0), (1, 1_000_003, 3 * 1_000_000 + 12, 0, 1, 0, 1_000_000)]
+    assert quality_rules.quality_rules(docs.filter("false")).count() == 0
+
+
 # the pipeline
 
 
@@ -839,6 +854,25 @@ def test_pipeline_brute_force(spark, tmp_path):
     assert sorted(map(tuple, p.run(spark, d).drop("sequence_id", "offset").collect())) == sorted(tuple(r)[:5] for r in current["best_fit_packing"])
 
 
+def test_pipeline_empty_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, labels = toxic_rows(60)
+    for name, docs in (("empty", []), ("odd", [*((i, t, "en", "s", 1) for i, t in rows), (None, rows[1][1], None, None, None), (None, None, None, None, None), (1, rows[1][1], "en", "s", 1), (2, "another text of the id", "en", "s", 1)])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(docs, DOCS).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels if docs else [], "doc_id long, toxic int, quality int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(0, "never there at all in any of these texts")] if docs else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        before = c.folders()
+        got = Counter(r.doc_id for r in p.run(spark, d).collect())
+        assert c.folders() <= before + 3  # what the stages leave is deleted
+        if docs:
+            toxic = {i for i, t, _ in labels if t}
+            assert set(got) == {i for i, *_ in docs} - toxic and got[None] == 2 and got[1] == 2 and got[2] == 2
+        else:
+            assert not got
+
+
 def test_hash_codec():
     x = np.array([0, 3, 3 + 255, 10_000, 10_001], np.int64)
     assert c.unpack_deltas(c.pack_deltas(x)).tolist() == x.tolist()
