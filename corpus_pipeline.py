@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = c.table(spark, sf_dir, "documents")
+    """The rows of the last stage.  What a stage has read and left in the shared folder is deleted when its rows are written."""
+    docs, before = c.table(spark, sf_dir, "documents"), c.folders()
     for _, stage in STAGES[:-1]:
         docs = c.materialize(stage(spark, docs, sf_dir))
+        c.discard(spark, keep=1, least=before)
     return STAGES[-1][1](spark, docs, sf_dir)
