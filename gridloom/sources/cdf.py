@@ -3,13 +3,16 @@
     spark.dataSource.register(CdfSource)
     spark.read.format("cdf").option("var", "temperature").load(path)
 
-A variable is read in slabs of its first dimension, one Spark partition each; the options ``start`` and ``count`` cut what is
-read.  (Filters are not pushed: Spark keeps a reader for all queries of a DataFrame, so one query's filter would cut the next.)
-Values are decoded by numpy and leave as Arrow.
+A variable is read in slabs, one Spark partition and one Arrow batch each: boxes of about ``SLAB`` cells, cut along the first
+dimension where that is enough and along later ones else; the options ``start`` and ``count`` cut what is read.  (Filters are
+not pushed: Spark keeps a reader for all queries of a DataFrame, so one query's filter would cut the next.)  A slab is a strided
+view of the mapped file, so only the pages it lies on are touched.  Writers take Arrow batches, order them by offset and write
+runs of neighbours at once.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import tempfile
@@ -17,7 +20,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.types import BY_CODE, UNLIMITED, ArrayError, Code, external
 from ..plans.catalog import Att, Catalog, Dim, Var
@@ -181,20 +184,33 @@ def schema_of(c: Catalog, v: Var) -> T.StructType:
 
 def arrow_values(raw: np.ndarray, xtype: str) -> pa.Array:
     if xtype == "char":
-        return pa.array([bytes([x]) for x in raw.view(np.uint8)], pa.binary())
+        data, at = np.ascontiguousarray(raw), np.arange(len(raw) + 1, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
     if xtype == "uint64":
         return pa.array(raw.astype(np.uint64)).cast(pa.decimal128(20, 0))
     to = {"byte": np.int8, "short": np.int16, "int": np.int32, "float": np.float32, "double": np.float64, "ubyte": np.int16, "ushort": np.int32, "uint": np.int64, "int64": np.int64}[xtype]
     return pa.array(raw.astype(to))
 
 
+def raw_values(values: pa.Array, xtype: str) -> np.ndarray:
+    """Values without nulls, as the file has them."""
+    t = external(xtype)
+    if xtype == "char":
+        return np.frombuffer(b"".join(x[:1] or b"\0" for x in values.to_pylist()), "S1")
+    if xtype == "uint64":
+        return values.cast(pa.decimal128(20, 0)).cast(pa.uint64()).to_numpy(zero_copy_only=False).astype(t.dtype)
+    return values.to_numpy(zero_copy_only=False).astype(t.dtype)
+
+
 class Slab(InputPartition):
-    def __init__(self, lo: int, hi: int):
+    """A box of cells: where it begins and ends in each dimension."""
+
+    def __init__(self, lo: tuple[int, ...], hi: tuple[int, ...]):
         self.lo, self.hi = lo, hi
 
 
 class CdfReader(DataSourceReader):
-    SLAB = 1 << 20  # elements of a partition, about
+    SLAB = 1 << 20  # cells of a partition, about
 
     def __init__(self, path: str, var: str, options: dict):
         self.path, self.catalog = path, read_header(path)
@@ -202,39 +218,54 @@ class CdfReader(DataSourceReader):
         shape = self.catalog.shape(self.var)
         numbers = lambda name: [int(x) for x in options[name].split(",")] if options.get(name) else None
         start, count = numbers("start") or [0] * len(shape), numbers("count")
-        self.low = start
-        self.high = [a + n for a, n in zip(start, count, strict=True)] if count else shape
+        self.low = [max(0, a) for a in start]
+        self.high = [min(n, a + k) for a, k, n in zip(start, count, shape, strict=True)] if count else shape
         self.shape = shape
 
     def partitions(self):
-        if not self.shape:
-            return [Slab(0, 1)]
-        lo, hi = max(0, self.low[0]), min(self.shape[0], self.high[0])
-        inner = max(1, int(np.prod([max(0, h - a) for a, h in zip(self.low[1:], self.high[1:], strict=True)], dtype=np.int64)))
+        size = [max(0, h - a) for a, h in zip(self.low, self.high, strict=True)]
+        if not all(size):
+            return [Slab((0,) * len(size), (0,) * len(size))]
+        inner, k = 1, len(size)
+        while k and inner * size[k - 1] <= self.SLAB:  # dimensions from k on lie in a slab whole
+            k -= 1
+            inner *= size[k]
+        if not k:
+            return [Slab(tuple(self.low), tuple(self.high))]
         step = max(1, self.SLAB // inner)
-        return [Slab(a, min(a + step, hi)) for a in range(lo, hi, step)] or [Slab(0, 0)]
+        cuts = [[(a, a + 1) for a in range(self.low[j], self.high[j])] for j in range(k - 1)]
+        cuts.append([(a, min(a + step, self.high[k - 1])) for a in range(self.low[k - 1], self.high[k - 1], step)])
+        rest = [(a, h) for a, h in zip(self.low[k:], self.high[k:], strict=True)]
+        return [Slab(*zip(*combination, *rest, strict=True)) for combination in itertools.product(*cuts)]
+
+    def _cells(self, lo: tuple, hi: tuple) -> np.ndarray:
+        """The values of a box; what the file is too short for was never written and reads as zeros."""
+        c, v, t = self.catalog, self.var, external(self.var.xtype)
+        strides = [t.size] * len(lo)
+        for k in range(len(lo) - 2, -1, -1):
+            strides[k] = strides[k + 1] * self.shape[k + 1]
+        if c.is_record(v):
+            strides[0] = c.recsize()
+        size = [b - a for a, b in zip(lo, hi, strict=True)]
+        first = v.begin + sum(a * s for a, s in zip(lo, strides, strict=True))
+        span = sum((n - 1) * s for n, s in zip(size, strides, strict=True)) + t.size
+        if first + span <= os.path.getsize(self.path):
+            return np.ndarray(size, t.dtype, np.memmap(self.path, np.uint8, "r"), first, strides)
+        if len(lo) and size[0] > 1:
+            half = lo[0] + size[0] // 2
+            return np.concatenate([self._cells(lo, (half, *hi[1:])), self._cells((half, *lo[1:]), hi)])
+        with open(self.path, "rb") as f:
+            f.seek(first)
+            return np.ndarray(size, t.dtype, f.read(span).ljust(span, b"\0"), 0, strides)
 
     def read(self, partition):
-        c, v = self.catalog, self.var
-        t, shape = external(v.xtype), self.shape
-        if not shape:
-            with open(self.path, "rb") as f:
-                f.seek(v.begin)
-                yield pa.RecordBatch.from_arrays([arrow_values(np.frombuffer(f.read(t.size), t.dtype), v.xtype)], names=["v"])
+        lo, hi = partition.lo, partition.hi
+        if any(a >= b for a, b in zip(lo, hi, strict=True)):
             return
-        inner = c.inner(v) if c.is_record(v) else int(np.prod(shape[1:], dtype=np.int64))
-        stride = c.recsize() if c.is_record(v) else inner * t.size
-        keep = tuple(slice(max(0, a), max(0, min(h, n))) for a, h, n in zip(self.low[1:], self.high[1:], shape[1:], strict=True))
-        with open(self.path, "rb") as f:
-            for i in range(partition.lo, partition.hi):
-                f.seek(v.begin + i * stride)
-                raw = f.read(inner * t.size)
-                if len(raw) < inner * t.size:  # never written
-                    raw = raw + b"\0" * (inner * t.size - len(raw))
-                part = np.frombuffer(raw, t.dtype).reshape(shape[1:])[keep]
-                index = np.indices(part.shape, dtype=np.int64).reshape(len(part.shape), part.size)
-                coords = [np.full(part.size, i, np.int64), *[x + s.start for x, s in zip(index, keep, strict=True)]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, coords), arrow_values(np.ascontiguousarray(part).ravel(), v.xtype)], names=[*[f"i{k}" for k in range(len(shape))], "v"])
+        part = self._cells(lo, hi)
+        index = np.indices(part.shape, dtype=np.int64).reshape(len(lo), part.size)
+        coords = [pa.array(x + a) for x, a in zip(index, lo, strict=True)]
+        yield pa.RecordBatch.from_arrays([*coords, arrow_values(np.ascontiguousarray(part).reshape(-1), self.var.xtype)], names=[*[f"i{k}" for k in range(len(lo))], "v"])
 
 
 class _Written(WriterCommitMessage):
@@ -242,49 +273,67 @@ class _Written(WriterCommitMessage):
         self.most = most
 
 
-class CdfWriter(DataSourceWriter):
+class CdfWriter(DataSourceArrowWriter):
     """Writes one variable of cells into a file that has its header (see ``create``); tasks write at their own offsets.
 
-    Works on folders all executors share.  The record count is raised when all tasks are done.
+    Works on folders all executors share.  Null values are left as they are in the file; where a task has a cell twice, the
+    later one stays.  The record count is raised when all tasks are done.
     """
 
+    HELD = 1 << 21  # cells that are ordered and written together
+
     def __init__(self, path: str, var: str):
         self.path, self.catalog = path, read_header(path)
         self.name = var
 
-    def write(self, rows):
+    def _flush(self, handle: int, offsets: list[np.ndarray], values: list[np.ndarray], size: int) -> None:
+        if not offsets:
+            return
+        at, raw = np.concatenate(offsets), np.concatenate(values)
+        order = np.argsort(at, kind="stable")
+        at, raw = at[order], raw[order]
+        last = np.append(at[1:] != at[:-1], True)
+        at, raw = at[last], raw[last]
+        starts = np.flatnonzero(np.append(True, np.diff(at) != size))
+        data = memoryview(raw.tobytes())
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            done, end = lo * size, hi * size
+            while done < end:
+                done += os.pwrite(handle, data[done:end], int(at[lo]) + done - lo * size)
+        offsets.clear()
+        values.clear()
+
+    def write(self, batches):
         c, v = self.catalog, self.catalog.var(self.name)
-        t, rank = external(v.xtype), len(v.dims)
-        sizes = [c.dims[d].size for d in v.dims]
-        record = c.is_record(v)
-        most, pending = 0, []
-
-        def flush(f):
-            pending.sort()
-            k = 0
-            while k < len(pending):
-                e = k + 1
-                while e < len(pending) and pending[e][0] == pending[e - 1][0] + t.size:
-                    e += 1
-                f.seek(pending[k][0])
-                values = [x for _, x in pending[k:e]]
-                f.write(b"".join(bytes(x) for x in values) if v.xtype == "char" else np.array([int(x) for x in values] if v.xtype not in ("float", "double") else values).astype(t.dtype).tobytes())
-                k = e
-            pending.clear()
-
-        # Unbuffered: a buffer would write back bytes between its own that another task has changed meanwhile.
-        with open(self.path, "r+b", buffering=0) as f:
-            for row in rows:
-                at = 0
-                for k in range(1 if record else 0, rank):
-                    at = at * sizes[k] + row[f"i{k}"]
-                at = v.begin + at * t.size + (row["i0"] * c.recsize() if record else 0)
-                most = max(most, row["i0"] + 1) if record else most
-                if row["v"] is not None:
-                    pending.append((at, row["v"]))
-                if len(pending) >= 200_000:
-                    flush(f)
-            flush(f)
+        t, rank, record = external(v.xtype), len(v.dims), c.is_record(v)
+        strides = [t.size] * rank
+        for k in range(rank - 2, -1, -1):
+            strides[k] = strides[k + 1] * c.dims[v.dims[k + 1]].size
+        if record:
+            strides[0] = c.recsize()
+        most, held, offsets, values = 0, 0, [], []
+        handle = os.open(self.path, os.O_WRONLY)
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                coords = [batch.column(f"i{k}").to_numpy(zero_copy_only=False) for k in range(rank)]
+                most = max(most, int(coords[0].max()) + 1) if record else most
+                v_column = batch.column("v")
+                known = v_column.is_valid().to_numpy(zero_copy_only=False)
+                at = np.full(batch.num_rows, v.begin, np.int64)
+                for x, s in zip(coords, strides, strict=True):
+                    at += x.astype(np.int64) * s
+                offsets.append(at[known])
+                values.append(raw_values(v_column.drop_null(), v.xtype).view(f"V{t.size}"))  # bytes, which no operation swaps
+                held += int(known.sum())
+                if held >= self.HELD:
+                    self._flush(handle, offsets, values, t.size)
+                    held = 0
+            self._flush(handle, offsets, values, t.size)
+            os.fsync(handle)
+        finally:
+            os.close(handle)
         return _Written(most)
 
     def commit(self, messages):
@@ -324,28 +373,91 @@ def set_numrecs(path: str, n: int) -> None:
         f.write(struct.pack(">q" if head[3] == 5 else ">I", n))
 
 
-def create(path: str, c: Catalog, clobber: bool = True) -> Catalog:
-    """Write a file with a header and all fixed variables filled; written beside the path and renamed."""
+def fill_bytes(v: Var) -> bytes:
+    """One fill value of a variable, as the file has it."""
+    t, own = external(v.xtype), v.att("_FillValue")
+    fill = own.values if own else t.fill
+    if t.name == "char":
+        return (fill.encode() if isinstance(fill, str) else bytes(fill))[:1] or b"\0"
+    return np.array(fill[0] if isinstance(fill, list) else fill).astype(t.dtype).tobytes()
+
+
+#: Bytes of fill that the driver writes itself, and bytes that one task fills, about.
+DRIVER_FILL, TASK_FILL = 8 << 20, 64 << 20
+
+
+def fills(c: Catalog, first_record: int = 0, fixed: bool = True) -> list[tuple[int, bytes, int]]:
+    """What fills a file: (offset, pattern, times).  All record variables share a pattern, that of one record."""
+    out = []
+    for v in c.vars if fixed else []:
+        if not c.is_record(v):
+            one, n = fill_bytes(v), c.inner(v)
+            each = max(1, min(n, (1 << 16) // len(one)))
+            whole, rest = divmod(n, each)
+            out.append((v.begin, one * each, whole))
+            out.append((v.begin + whole * each * len(one), one * rest + b"\0" * (c.vsize(v) - n * len(one)), 1))
+    own = [v for v in c.vars if c.is_record(v)]
+    if own and c.numrecs > first_record:
+        at, size = min(v.begin for v in own), c.recsize()
+        if size <= TASK_FILL:
+            record = b"".join((fill_bytes(v) * c.inner(v)).ljust(c.vsize(v) if len(own) > 1 else 0, b"\0") for v in sorted(own, key=lambda v: v.begin))
+            each = max(1, min(c.numrecs - first_record, (1 << 16) // max(1, size)))
+            whole, rest = divmod(c.numrecs - first_record, each)
+            out += [(at + first_record * size, record * each, whole), (at + (first_record + whole * each) * size, record * rest, 1)]
+        else:  # a record is more than a task fills: each variable of each record by itself
+            for v in own:
+                one = fill_bytes(v)
+                each = max(1, (1 << 16) // len(one))
+                whole, rest = divmod(c.inner(v), each)
+                for r in range(first_record, c.numrecs):
+                    out += [(v.begin + r * size, one * each, whole), (v.begin + r * size + whole * each * len(one), one * rest, 1)]
+    return [x for x in out if x[1] and x[2]]
+
+
+def _fill(path: str, at: int, pattern: bytes, times: int) -> None:
+    each = max(1, (4 << 20) // len(pattern))
+    block, handle = pattern * min(each, times), os.open(path, os.O_WRONLY)
+    try:
+        for k in range(0, times, each):
+            data, done = memoryview(block)[: min(each, times - k) * len(pattern)], 0
+            while done < len(data):
+                done += os.pwrite(handle, data[done:], at + k * len(pattern) + done)
+    finally:
+        os.close(handle)
+
+
+def write_fill(path: str, ranges: list[tuple[int, bytes, int]], spark=None) -> None:
+    """Write patterns into a file: few bytes here, many by Spark tasks (with ``spark``), each at its own offsets."""
+    if spark is None or sum(len(p) * n for _, p, n in ranges) <= DRIVER_FILL:
+        for at, pattern, n in ranges:
+            _fill(path, at, pattern, n)
+        return
+    parts = []
+    for at, pattern, n in ranges:
+        each = max(1, TASK_FILL // len(pattern))
+        parts += [(at + k * len(pattern), pattern, min(each, n - k)) for k in range(0, n, each)]
+
+    def run(batches):
+        for b in batches:
+            for at, pattern, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                _fill(path, at, pattern, n)
+            yield b.slice(0, 0)
+
+    rows = spark.createDataFrame(parts, "at long, pattern binary, n long").repartition(min(len(parts), 10_000))
+    rows.mapInArrow(run, rows.schema).count()
+
+
+def create(path: str, c: Catalog, clobber: bool = True, spark=None) -> Catalog:
+    """Write a file with a header and all cells filled; written beside the path and renamed.  With ``spark``, tasks fill it."""
     if not clobber and os.path.exists(path):
         raise ArrayError(Code.EXIST, path)
     c.lay_out()
     handle, beside = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
+    ranges = fills(c)
     with os.fdopen(handle, "wb") as f:
         f.write(encode_header(c))
-        for v in c.vars:
-            t = external(v.xtype)
-            own = v.att("_FillValue")
-            fill = own.values if own else t.fill
-            one = fill.encode()[:1] if isinstance(fill, str) else fill if t.name == "char" else np.array(fill[0] if isinstance(fill, list) else fill).astype(t.dtype).tobytes()
-            for r in range(c.numrecs if c.is_record(v) else 1):
-                f.seek(v.begin + r * c.recsize())
-                left = c.inner(v)
-                while left:
-                    n = min(left, 1 << 20)
-                    f.write(one * n)
-                    left -= n
-                if not c.is_record(v) or sum(map(c.is_record, c.vars)) > 1:
-                    f.write(b"\0" * (c.vsize(v) - c.inner(v) * t.size))
+        f.truncate(max([f.tell(), *(at + len(p) * n for at, p, n in ranges)]))
+    write_fill(beside, ranges, spark)
     os.replace(beside, path)
     return c
 

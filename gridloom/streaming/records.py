@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 
 from ..operators import update
-from ..sources.cdf import CdfReader, Slab, read_header, schema_of
+from ..sources.cdf import CdfReader, read_header, schema_of
 
 
 class RecordStream(DataSource):
@@ -28,8 +28,6 @@ class RecordStream(DataSource):
 class _Records(DataSourceStreamReader):
     """A batch is a range of records, read in slabs by the executors."""
 
-    SLAB = 1024
-
     def __init__(self, path: str, var: str):
         self.path, self.var = path, var
 
@@ -41,7 +39,9 @@ class _Records(DataSourceStreamReader):
 
     def partitions(self, start, end):
         lo, hi = start["numrecs"], end["numrecs"]
-        return [Slab(a, min(a + self.SLAB, hi)) for a in range(lo, hi, self.SLAB)]
+        reader = CdfReader(self.path, self.var, {})
+        reader.low[0], reader.high = lo, [hi, *reader.shape[1:]]
+        return reader.partitions() if hi > lo else []
 
     def read(self, partition):
         yield from CdfReader(self.path, self.var, {}).read(partition)
