@@ -136,7 +136,32 @@ def checked_name(name: str) -> str:
     return name
 
 
+#: What each status says to a user.
+TEXTS = {
+    Code.NOERR: "no error", Code.BADID: "not a dataset's number", Code.EXIST: "the file exists and was not to be overwritten", Code.INVAL: "an invalid argument",
+    Code.PERM: "writing to a dataset opened for reading", Code.NOTINDEFINE: "allowed in define mode only", Code.INDEFINE: "not allowed in define mode",
+    Code.INVALCOORDS: "an index is beyond its dimension", Code.NAMEINUSE: "the name is in use", Code.NOTATT: "no such attribute", Code.BADTYPE: "not a data type",
+    Code.BADDIM: "no such dimension", Code.UNLIMPOS: "the unlimited dimension has to be the first", Code.NOTVAR: "no such variable", Code.GLOBAL: "not allowed for the global variable",
+    Code.NOTNC: "not a file of a known format", Code.MAXNAME: "the name is too long", Code.UNLIMIT: "there is an unlimited dimension already", Code.CHAR: "text and numbers do not convert",
+    Code.EDGE: "start and count reach beyond a dimension", Code.STRIDE: "a stride is not positive", Code.BADNAME: "the name has characters that are not allowed",
+    Code.RANGE: "a value is out of the type's range", Code.VARSIZE: "a variable is too large for the format", Code.DIMSIZE: "a dimension is too long for the format",
+    Code.LATEFILL: "a fill value has to be set before data is written", Code.NULLPAD: "the header's padding is not null", Code.NOTINDEP: "allowed in independent mode only",
+    Code.INDEP: "not allowed in independent mode", Code.NEGATIVECNT: "a count is negative", Code.INVAL_REQUEST: "no such request", Code.NOTSUPPORT: "not supported",
+    Code.NULLBUF: "a buffer needs a positive size", Code.PREVATTACHBUF: "a buffer is attached already", Code.NULLABUF: "no buffer is attached", Code.PENDINGBPUT: "the buffer holds pending writes",
+    Code.INSUFFBUF: "the buffer is too small", Code.NOENT: "no such file", Code.INVAL_CMODE: "an invalid mode of creation", Code.STRICTCDF2: "the format lacks this type",
+    Code.NOTRECVAR: "not a record variable", Code.NOTFILL: "the variable is not filled", Code.PENDING: "requests were still pending", Code.FLUSHED: "the request has been flushed",
+}
+
+
 def message(code: int) -> str:
+    """The text of a status, and for other numbers that there is none."""
+    try:
+        return TEXTS[Code(code)]
+    except ValueError:
+        return f"unknown status {code}"
+
+
+def status_name(code: int) -> str:
     try:
         return Code(code).name
     except ValueError:

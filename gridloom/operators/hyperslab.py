@@ -83,6 +83,23 @@ def get_varm(df: DataFrame, start, count, stride, imap) -> DataFrame:
     return get_vars(df, start, count, stride).withColumn("address", place(len(start), start, stride, imap))
 
 
+def from_memory(memory: DataFrame, start, count, stride, imap) -> DataFrame:
+    """Cells of a hyperslab from the caller's memory (address, v): the inverse of ``get_varm``, for mapped writes.
+
+    The box's cells are generated and meet the memory by an equal join on the address, so any map will do, also one that
+    takes several cells from one address.
+    """
+    from .update import grid
+
+    rank, stride = len(start), stride or [1] * len(start)
+    address, cells = F.lit(0).cast("long"), []
+    for k in range(rank):
+        address = address + F.col(f"i{k}") * imap[k]
+        cells.append((F.col(f"i{k}") * stride[k] + start[k]).alias(f"i{k}"))
+    wanted = grid(memory.sparkSession, list(count)).select(*cells, address.alias("address"))
+    return wanted.join(memory.select("address", "v"), "address").drop("address")
+
+
 def boxes_frame(spark, boxes: Sequence[tuple]) -> DataFrame:
     """A list of (start, count) as a table: box, s0.., c0..; a count of None is all ones."""
     rank = len(boxes[0][0])

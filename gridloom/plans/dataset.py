@@ -6,6 +6,9 @@ Every access is one method with ``dtype`` for the memory type; ``collective`` on
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,18 @@ from ..functions.types import GLOBAL, UNLIMITED, ArrayError, Code, allowed, chec
 from ..operators import hyperslab, update
 from .catalog import Att, Catalog, Var
 
+if TYPE_CHECKING:
+    from ..streaming.records import WriteLog
+
 ALL, ALL_GETS, ALL_PUTS = -1, -2, -3
+#: Hints that a dataset knows, with their defaults; the first two name arguments of ``enddef``.
+HINTS = {"nc_var_align_size": "512", "nc_record_align_size": "4", "nc_burst_buf": "disable", "nc_burst_buf_dirname": "", "nc_burst_buf_flush_buffer_size": "0", "nc_num_subfiles": "0"}
+_ALIGN = {"nc_var_align_size": "v_align", "nc_record_align_size": "r_align"}
+#: Environment variable of hints, name=value separated by ";".
+HINTS_VARIABLE = "GRIDLOOM_HINTS"
+#: Back ends by what a file is; a reason where there is none.
+DRIVERS: dict[str, object] = {"HDF5": "HDF5 files need a library that is not here", "BP": "BP files need a library that is not here"}
+_open: list[Dataset] = []
 _default_version = 1
 
 
@@ -31,6 +45,21 @@ def inq_default_format() -> int:
     return _default_version
 
 
+def register_driver(kind: str, opener) -> None:
+    """``opener(spark, path, write)`` opens files of a kind, as ``sniff_path`` names it."""
+    DRIVERS[kind] = opener
+
+
+def inq_libvers() -> str:
+    from .. import __version__
+
+    return __version__
+
+
+def inq_files_opened() -> list[str | None]:
+    return [d.path for d in _open]
+
+
 def delete(path: str) -> None:
     if not os.path.exists(path):
         raise ArrayError(Code.NOENT, path)
@@ -40,7 +69,7 @@ def delete(path: str) -> None:
 class Dataset:
     """``create`` starts in define mode, ``open`` in data mode."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, path: str | None, writable: bool, defining: bool):
+    def __init__(self, spark: SparkSession, catalog: Catalog, path: str | None, writable: bool, defining: bool, hints: dict[str, str] | None = None):
         self.spark, self.catalog, self.path = spark, catalog, path
         self.writable, self.defining, self.independent = writable, defining, False
         self.cells: dict[str, DataFrame] = {}
@@ -52,50 +81,136 @@ class Dataset:
         self._buffer: int | None = None
         self.put_bytes = self.get_bytes = 0
         self._on_file: set[str] = set()  # variables whose cells are the file's: boxes are cut in the reader
+        self._in_place = False  # the file has this layout: writes go to their ranges
+        self._patches: list[tuple[str, DataFrame]] = []  # for the file, in order
+        self._records_on_file = 0
+        self.hints = dict(hints or {})
+        self._log: WriteLog | None = None
+        if self.hint("nc_burst_buf") == "enable" and writable:
+            from ..streaming.records import WriteLog
+
+            self._log = WriteLog(spark, self._beside("log", self.hint("nc_burst_buf_dirname")), int(self.hint("nc_burst_buf_flush_buffer_size")))
+        _open.append(self)
+
+    def hint(self, name: str) -> str:
+        """The environment's hint, else the caller's, else the default."""
+        told = dict(x.split("=", 1) for x in os.environ.get(HINTS_VARIABLE, "").split(";") if "=" in x)
+        return told.get(name, self.hints.get(name, HINTS.get(name, "")))
+
+    def inq_file_info(self) -> dict[str, str]:
+        """All hints in effect."""
+        return {name: self.hint(name) for name in sorted({*HINTS, *self.hints})}
+
+    def _beside(self, what: str, folder: str = "") -> str:
+        """A folder beside the file (or in ``folder``), which all executors see as they see the file."""
+        if not self.path and not folder:
+            raise ArrayError(Code.INVAL, "a dataset without a file needs a folder")
+        name = os.path.basename(self.path or "dataset")
+        return os.path.join(folder or os.path.dirname(os.path.abspath(self.path)), f".{name}.{what}-{uuid.uuid4().hex}")
 
     # files
 
     @classmethod
-    def create(cls, spark, path: str | None = None, version: int | None = None, clobber: bool = True) -> Dataset:
+    def create(cls, spark, path: str | None = None, version: int | None = None, clobber: bool = True, hints: dict[str, str] | None = None) -> Dataset:
         version = version or _default_version
         if version not in (1, 2, 5):
             raise ArrayError(Code.INVAL_CMODE, str(version))
         if path and not clobber and os.path.exists(path):
             raise ArrayError(Code.EXIST, path)
-        return cls(spark, Catalog(version), path, True, True)
+        return cls(spark, Catalog(version), path, True, True, hints)
 
     @classmethod
-    def open(cls, spark, path: str, write: bool = False) -> Dataset:
+    def open(cls, spark, path: str, write: bool = False, hints: dict[str, str] | None = None) -> Dataset:
         from ..sources.cdf import CdfSource, read_header, sniff_path
 
         if not os.path.exists(path):
             raise ArrayError(Code.NOENT, path)
         kind = sniff_path(path)
-        if kind == "HDF5":
-            raise ArrayError(Code.NOTSUPPORT, "HDF5 files need a library that is not here")
+        if kind in DRIVERS:
+            if isinstance(DRIVERS[kind], str):
+                raise ArrayError(Code.NOTSUPPORT, DRIVERS[kind])
+            return DRIVERS[kind](spark, path, write)
         if kind == "unknown":
             raise ArrayError(Code.NOTNC, path)
         spark.dataSource.register(CdfSource)
-        out = cls(spark, read_header(path), path, write, False)
-        for v in out.catalog.vars:
-            out.cells[v.name] = spark.read.format("cdf").option("path", path).option("var", v.name).load()
-            out._on_file.add(v.name)
+        out = cls(spark, read_header(path), path, write, False, hints)
+        out._from_file()
         return out
 
+    def _from_file(self) -> None:
+        """All cells are those of the file."""
+        for v in self.catalog.vars:
+            self.cells[v.name] = self.spark.read.format("cdf").option("path", self.path).option("var", v.name).load()
+            self._on_file.add(v.name)
+        self._in_place, self._records_on_file = True, self.catalog.numrecs
+        self._header = self._encoded()
+
+    def _encoded(self) -> bytes:
+        from ..sources.cdf import encode_header
+
+        return encode_header(self.catalog)
+
     def close(self) -> None:
-        """Writes a new or changed file.  Pending requests are dropped, and reported."""
+        """Writes a new file, or the changed ranges of an old one.  Pending requests are dropped, and reported."""
         if self.defining:
             self.enddef()
-        if self.path and self.writable:
-            self.save(self.path)
+        self._write()
+        if self._log:
+            shutil.rmtree(self._log.path, ignore_errors=True)
+        if self in _open:
+            _open.remove(self)
         if self._requests:
             self._requests.clear()
             raise ArrayError(Code.PENDING)
 
+    def _write(self) -> None:
+        self._flush_log()
+        if not (self.path and self.writable):
+            return
+        if not self._in_place:
+            self.save(self.path)
+            self._from_file()
+        elif self._patches or self._encoded() != self._header:
+            self._patch()
+
+    def _patch(self) -> None:
+        """Write what was put since the file was written, and nothing else, where it belongs.
+
+        The new cells are written to a folder beside the file first, as they may be computed from the file.  New records are filled
+        before; if the job fails half-way, the record count still is the old one.
+        """
+        from ..sources.cdf import fills, write_fill
+
+        folder, stored = self._beside("patch"), []
+        try:
+            for k, (name, cells) in enumerate(self._patches):
+                cells.write.parquet(f"{folder}/{k}")
+                stored.append((name, self.spark.read.schema(cells.schema).parquet(f"{folder}/{k}")))
+            before = self.catalog.numrecs
+            write_fill(self.path, fills(self.catalog, self._records_on_file, fixed=False), self.spark)
+            self.catalog.numrecs = self._records_on_file
+            with open(self.path, "r+b") as f:  # renames and attributes, in the room they have
+                f.write(self._encoded())
+            self.catalog.numrecs = before
+            for name, cells in stored:
+                cells.write.format("cdf").mode("append").option("path", self.path).option("var", name).save()
+            from ..sources.cdf import set_numrecs
+
+            set_numrecs(self.path, before)
+            with open(self.path, "rb+") as f:
+                os.fsync(f.fileno())
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+        self._patches = []
+        self._from_file()
+
     def abort(self) -> None:
         """A new file is gone; a redefinition is undone."""
         self._requests.clear()
-        if self._new and self.path and os.path.exists(self.path):
+        self._patches = []
+        if self in _open:
+            _open.remove(self)
+        if self._new and not self._in_place and self.path and os.path.exists(self.path):
             os.remove(self.path)
         elif self._saved:
             self.catalog, self._saved = self._saved, None
@@ -113,18 +228,27 @@ class Dataset:
 
         self.spark.dataSource.register(CdfSource)
         target = f"{path}.writing"
-        create(target, self.catalog)
+        create(target, self.catalog, spark=self.spark)
         for v in self.catalog.vars:
             self.cells[v.name].write.format("cdf").mode("append").option("path", target).option("var", v.name).save()
         os.replace(target, path)
 
-    def sync(self) -> int:
+    def sync_numrecs(self) -> int:
         """Agrees on the record count."""
-        counts = [self.cells[v.name].agg(F.max("i0")).first()[0] for v in self.catalog.vars if self.catalog.is_record(v)]
+        counts = [self.cells[v.name].agg(F.max("i0")).first()[0] for v in self.catalog.vars if self.catalog.is_record(v) and v.name not in self._on_file]
         self.catalog.numrecs = max([self.catalog.numrecs, *(x + 1 for x in counts if x is not None)])
         return self.catalog.numrecs
 
-    flush = sync_numrecs = sync
+    def sync(self) -> int:
+        """Agrees on the record count, and makes all that was put durable in the file, if there is one."""
+        if self.defining:
+            raise ArrayError(Code.INDEFINE)
+        self._flush_log()
+        self.sync_numrecs()
+        self._write()
+        return self.catalog.numrecs
+
+    flush = sync
 
     # definition
 
@@ -152,12 +276,24 @@ class Dataset:
             raise ArrayError(Code.PERM)
         if self.defining:
             raise ArrayError(Code.INDEFINE)
+        self._flush_log()
         self._saved, self.defining = self.catalog.copy(), True
 
     def enddef(self, **align) -> None:
-        """Lays the file out, and fills variables that are new and have filling on."""
+        """Lays the file out, and fills variables that are new and have filling on.
+
+        Alignment by the environment's hints, else the caller's hints, else the arguments, else the defaults.  A new layout of an
+        old file is written as a new file beside it when the dataset is closed or synchronised.
+        """
         self._define()
+        told = {x.split("=", 1)[0] for x in os.environ.get(HINTS_VARIABLE, "").split(";")} | set(self.hints)
+        align |= {argument: int(self.hint(name)) for name, argument in _ALIGN.items() if name in told}
         self.catalog.lay_out(**align)
+        if self._saved and (self._in_place or self._patches):
+            begins = lambda c: [(v.name, v.xtype, v.begin) for v in c.vars]
+            if begins(self._saved) != begins(self.catalog):  # the file's cells move
+                self._in_place, self._patches = False, []
+                self._on_file.clear()
         old = {v.name for v in self._saved.vars} if self._saved else set()
         self.defining, self._saved = False, None
         for v in self.catalog.vars:
@@ -183,6 +319,7 @@ class Dataset:
 
     def rename_var(self, old: str, new: str) -> None:
         self._on_file.discard(old)
+        self._patches = [(new if name == old else name, cells) for name, cells in self._patches]
         k = self.catalog.vars.index(self.catalog.var(old))
         self._rename(self.catalog.vars, k, new)
         self.cells[self.catalog.vars[k].name] = self.cells.pop(old)
@@ -301,7 +438,7 @@ class Dataset:
         if not self.independent:
             raise ArrayError(Code.NOTINDEP)
         self.independent = False
-        self.sync()
+        self.sync_numrecs()
 
     def _fill(self, v: Var):
         own = v.att("_FillValue")
@@ -326,6 +463,7 @@ class Dataset:
         if start is not None and count is None and stride is None and imap is None:
             count = [1] * len(start)
         v = self._checked(var, dtype, False, start, count, stride, collective)
+        self._flush_log()
         df = self.cells[v.name]
         if start is not None and v.dims:
             if v.name in self._on_file:
@@ -349,6 +487,7 @@ class Dataset:
         v = self.catalog.var(var)
         for start, count in boxes:
             self._checked(var, dtype, False, start, count or [1] * len(start), None, None)
+        self._flush_log()
         df = hyperslab.get_varn(self.cells[v.name], boxes)
         return df.withColumn("v", cv.convert(F.col("v"), v.xtype, dtype)) if dtype else df
 
@@ -362,24 +501,52 @@ class Dataset:
             value = cv.wrap_uchar(value) if dtype == "ubyte" and v.xtype == "byte" and self.catalog.version != 5 else cv.convert(value, dtype, v.xtype, cv.fill_of(v.xtype, cv.fill_literal(external(v.xtype)) if v.att("_FillValue") is None else self._fill(v)))
         return cells.select(*on, value.cast(external(v.xtype).spark).alias("v"))
 
-    def put(self, var, cells: DataFrame, start=None, count=None, stride=None, dtype: str | None = None, collective: bool | None = None) -> None:
-        """Writes cells (coordinates and v).  With a box, cells outside it are an error of the caller and left out."""
+    def put(self, var, cells: DataFrame, start=None, count=None, stride=None, imap=None, dtype: str | None = None, collective: bool | None = None) -> None:
+        """Writes cells (coordinates and v), or with ``imap`` the caller's memory (address and v) to the box's cells.
+
+        With a box, a cell outside it fails the job that computes the cells (EDGE).  Cells of the box that are not given stay.
+        """
         if start is not None and count is None and stride is None:
             count = [1] * len(start)
         v = self._checked(var, dtype, True, start, count, stride, collective)
+        rank = len(v.dims)
+        if imap is not None:
+            if start is None:
+                raise ArrayError(Code.INVALCOORDS, "a map needs a box")
+            cells = hyperslab.from_memory(cells, start, count, stride, imap) if rank else cells.select("v")
         new = self._written(v, cells, dtype)
         self.put_bytes += self._bytes(v, count)
-        if start is not None and v.dims:
-            new = new.filter(hyperslab.box(len(v.dims), start, count, stride))
+        boxed = start is not None and rank > 0
+        if boxed:
+            outside = F.raise_error(F.concat(F.lit("EDGE (-57): a cell outside the box: "), F.to_json(F.struct(*[f"i{k}" for k in range(rank)]))))
+            # an empty box asks for nothing, whatever the caller's memory holds
+            new = new.filter(F.when(hyperslab.box(rank, start, count, stride), True).otherwise(outside.cast("boolean")) if all(count) else F.lit(False))
         record = self.catalog.is_record(v)
         beyond = record and start is not None and start[0] >= self.catalog.numrecs  # no variable has a cell there yet
-        self.cells[v.name] = (update.append if beyond else update.put)(self.cells[v.name], new)
-        self._on_file.discard(v.name)
         if record and start is None:
             last = new.agg(F.max("i0")).first()[0]
             self.catalog.numrecs = max(self.catalog.numrecs, 0 if last is None else last + 1)
         elif record and all(count):  # an empty box adds no record
             self.catalog.numrecs = max(self.catalog.numrecs, start[0] + (count[0] - 1) * (stride[0] if stride else 1) + 1)
+        if self._log:
+            self._log.put(v.name, new, self._bytes(v, count), start=start, count=count, stride=stride)
+            return
+        self._merge(v.name, new, (start, count, stride) if boxed else None, beyond)
+
+    def _merge(self, name: str, new: DataFrame, box: tuple | None = None, beyond: bool = False) -> None:
+        """Cells over those a variable has; and for the file, if it has this layout."""
+        old = self.cells[name]
+        self.cells[name] = update.append(old, new) if beyond else update.put_box(old, new, *box) if box else update.put(old, new)
+        self._on_file.discard(name)
+        if self._in_place:
+            self._patches.append((name, new))
+
+    def _flush_log(self) -> None:
+        """Logged writes reach their variables, in rounds."""
+        if self._log:
+            for part in self._log.rounds():
+                for name, cells in part.items():
+                    self._merge(name, cells)
 
     def mput(self, requests: dict) -> None:
         """One box for each of several variables: name to the arguments of ``put``, in order."""
@@ -412,10 +579,12 @@ class Dataset:
     def filled(self, var) -> DataFrame:
         """All cells of a variable, the unwritten ones as fill."""
         v = self.catalog.var(var)
+        self._flush_log()
         return update.densify(self.cells[v.name], self.catalog.shape(v), v.xtype, self._own_fill(v)) if v.dims else self.cells[v.name]
 
     def with_nulls(self, var) -> DataFrame:
         v = self.catalog.var(var)
+        self._flush_log()
         return cv.with_nulls(self.cells[v.name], "v", v.xtype, self._own_fill(v))
 
     # deferred requests
@@ -484,6 +653,7 @@ class Dataset:
     def wait(self, ids=ALL) -> dict[int, DataFrame]:
         """Commits requests: all writes, in order of their ids, before all reads.  Returns the reads' cells."""
         chosen = self._chosen(ids)
+        self._flush_log()
         for r in (r for r in sorted(chosen) if r % 2 == 0):
             self._commit(r)
         return {r: self._commit(r) for r in sorted(chosen) if r % 2 == 1}

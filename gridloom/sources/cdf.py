@@ -29,7 +29,7 @@ _DIMENSION, _VARIABLE, _ATTRIBUTE = 10, 11, 12  # fixed values: tags of the head
 
 
 def sniff(head: bytes) -> str:
-    """What a file's first bytes say: CDF-1, CDF-2, CDF-5, HDF5 or unknown."""
+    """What a file's first bytes say: CDF-1, CDF-2, CDF-5, HDF5 or unknown (BP files tell by their last bytes: ``sniff_path``)."""
     if head[:3] == b"CDF" and len(head) > 3 and head[3] in (1, 2, 5):
         return f"CDF-{head[3]}"
     at = 0
@@ -41,8 +41,20 @@ def sniff(head: bytes) -> str:
 
 
 def sniff_path(path: str) -> str:
+    """What a file is, by its head and, for BP files, its foot: three ascending offsets of indexes, then byte order and version."""
+    size = os.path.getsize(path)
     with open(path, "rb") as f:
-        return sniff(f.read(1 << 16))
+        kind = sniff(f.read(1 << 16))
+        if kind != "unknown" or size < 28:
+            return kind
+        f.seek(size - 28)
+        foot = f.read(28)
+    for order in "<>":
+        groups, variables, attributes, tail = struct.unpack(order + "QQQI", foot)
+        big, version = tail >> 31, tail & 0xFF
+        if 0 < groups < variables < attributes < size - 28 and big == (order == ">") and version in (1, 2, 3):
+            return "BP"
+    return "unknown"
 
 
 def _pad(b: bytes) -> bytes:
@@ -290,10 +302,11 @@ class CdfWriter(DataSourceArrowWriter):
         if not offsets:
             return
         at, raw = np.concatenate(offsets), np.concatenate(values)
-        order = np.argsort(at, kind="stable")
-        at, raw = at[order], raw[order]
-        last = np.append(at[1:] != at[:-1], True)
-        at, raw = at[last], raw[last]
+        if (at[1:] <= at[:-1]).any():
+            order = np.argsort(at, kind="stable")
+            at, raw = at[order], raw[order]
+            last = np.append(at[1:] != at[:-1], True)
+            at, raw = at[last], raw[last]
         starts = np.flatnonzero(np.append(True, np.diff(at) != size))
         data = memoryview(raw.tobytes())
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):

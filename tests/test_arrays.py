@@ -502,3 +502,167 @@ def test_subfile_requests(spark):
         got = requests.subfile_requests(spark.createDataFrame(rows, "req long, start long, count long"), size, n).collect()
         want = sorted((k, i * n // size, i) for k, s, c in rows for i in range(s, s + c))
         assert sorted((x.req, x.file_id, i) for x in got for i in range(x.start, x.start + x["count"])) == want
+
+
+def test_put_beyond_the_box_and_mapped(spark):
+    d = dataset(spark)
+    cell = lambda i, j, v: spark.createDataFrame([(i, j, v)], "i0 long, i1 long, v int")
+    d.put("f_int", cell(0, 0, 1), [0, 0], [1, 1])
+    d.put("f_int", cell(5, 0, 1), [0, 0], [2, 3])
+    with pytest.raises(Exception, match="EDGE"):
+        d.get("f_int").collect()
+    d = dataset(spark)
+    d.put("f_int", spark.createDataFrame([(i, j, 10 * i + j) for i in range(2) for j in range(3)], "i0 long, i1 long, v int"))
+    memory = spark.createDataFrame([(k, 100 + k) for k in range(6)], "address long, v int")
+    d.put("f_int", memory, [0, 0], [2, 3], imap=[1, 2])  # column by column
+    assert sorted(map(tuple, d.get("f_int").collect())) == [(i, j, 100 + i + 2 * j) for i in range(2) for j in range(3)]
+    back = d.get("f_int", [0, 0], [2, 3], imap=[1, 2])
+    assert sorted((x.address, x.v) for x in back.collect()) == [(k, 100 + k) for k in range(6)]
+    d.put("f_int", memory.filter("address < 2"), [0, 0], [2, 2], [1, 2], imap=[0, 1], dtype="int")  # one address for two cells
+    assert sorted(map(tuple, d.get("f_int").collect())) == [(0, 0, 100), (0, 1, 102), (0, 2, 101), (1, 0, 100), (1, 1, 103), (1, 2, 101)]
+    assert code_of(d.put, "f_int", memory, imap=[1, 2]) == Code.INVALCOORDS
+
+
+def test_put_box_moves_only_the_box(spark, monkeypatch):
+    old = spark.range(4000).select((F.col("id") / 50).cast("long").alias("i0"), (F.col("id") % 50).alias("i1"), F.col("id").alias("v"))
+    new = spark.range(12).select((2 + F.col("id") / 4 * 3).cast("long").alias("a"), F.col("id")).select((2 + F.floor(F.col("id") / 4) * 3).alias("i0"), (1 + F.col("id") % 4).alias("i1"), (-F.col("id")).alias("v"))
+    for bound in (update.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(update, "BROADCAST_CELLS", bound)
+        got = update.put_box(old, new, [2, 1], [3, 4], [3, 1])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, update.put(old, new).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not bound or "Exchange hashpartitioning" not in plan
+
+
+def test_in_place_update(spark, tmp_path):
+    path = str(tmp_path / "a.nc")
+    d = dataset(spark, path, 5)
+    whole = lambda k: spark.createDataFrame([(i, j, k + 10 * i + j) for i in range(2) for j in range(3)], "i0 long, i1 long, v int")
+    d.put("f_int", whole(0))
+    d.put("r_int", whole(100))
+    d.close()
+    before, inode = open(path, "rb").read(), __import__("os").stat(path).st_ino
+    e = Dataset.open(spark, path, write=True)
+    own = e.get("f_int", [1, 1], [1, 2])
+    e.put("f_int", own.withColumn("v", F.col("v") + 1000), [1, 1], [1, 2])  # computed from the file itself
+    e.put("r_int", spark.createDataFrame([(3, 1, 7)], "i0 long, i1 long, v int"), [3, 1], [1, 1])
+    e.rename_var("f_int", "f_in")
+    e.put_att("title", "ab")
+    assert sorted(x.v for x in e.get("f_in").collect()) == [0, 1, 2, 10, 1011, 1012]
+    e.close()
+    after = open(path, "rb").read()
+    assert __import__("os").stat(path).st_ino == inode and cdf.validate(path) == []
+    c = cdf.read_header(path)
+    v = c.var("f_in")
+    changed = [k for k in range(v.begin, len(before)) if before[k] != after[k]]
+    assert changed and all(v.begin + 16 <= k < v.begin + 24 for k in changed)
+    f = Dataset.open(spark, path)
+    assert f.catalog.numrecs == 4 and f.get_att("title") == "ab" and sorted(x.v for x in f.get("f_in").collect()) == [0, 1, 2, 10, 1011, 1012]
+    records = {(x.i0, x.i1): x.v for x in f.get("r_int").collect()}
+    assert records[1, 2] == 112 and records[3, 1] == 7 and records[2, 0] == records[3, 2] == TYPES["int"].fill
+    assert {x.v for x in f.get("r_double", [2, 0], [2, 3]).collect()} == {TYPES["double"].fill}  # new records are filled
+    g = Dataset.open(spark, path, write=True)
+    g.put("f_in", whole(5))
+    assert g.sync() == 4 and sorted(x.v for x in Dataset.open(spark, path).get("f_in").collect()) == [5, 6, 7, 15, 16, 17]  # durable before it is closed
+    g.redef()
+    g.def_var("more", "short", ["x"])
+    g.enddef()
+    g.put("more", spark.createDataFrame([(k, k) for k in range(3)], "i0 long, v short"))
+    g.close()
+    h = Dataset.open(spark, path)
+    assert sorted(x.v for x in h.get("f_in").collect()) == [5, 6, 7, 15, 16, 17] and sorted(x.v for x in h.get("more").collect()) == [0, 1, 2]
+    assert {(x.i0, x.i1): x.v for x in h.get("r_int").collect()} == records and [p.name for p in tmp_path.iterdir()] == ["a.nc"]
+
+
+def test_burst_log(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a.nc")
+    d = Dataset.create(spark, path, hints={"nc_burst_buf": "enable", "nc_burst_buf_dirname": str(tmp_path), "nc_burst_buf_flush_buffer_size": "8"})
+    d.def_dim("t")
+    d.def_dim("x", 3)
+    d.def_var("a", "int", ["x"])
+    d.def_var("r", "int", ["t", "x"])
+    d.enddef()
+    one = lambda k, v: spark.createDataFrame([(k, v)], "i0 long, v int")
+    for k, v in ((0, 1), (1, 2), (0, 3)):
+        d.put("a", one(k, v), [k], [1])
+    d.put("r", spark.createDataFrame([(1, 2, 9)], "i0 long, i1 long, v int"), [1, 2], [1, 1])
+    assert d.cells["a"].count() == 0 and d._log.flushed == 0 and d.catalog.numrecs == 2  # nothing is applied yet
+    calls = [x.call for x in d._log.calls().orderBy("seq").collect()]
+    assert calls[0] == "put_vara(a, start [0], count [1], stride -): 1 cells" and calls[3].startswith("put_vara(r, start [1, 2], count [1, 1]")
+    rounds = []
+    own = d._log.rounds
+    monkeypatch.setattr(d._log, "rounds", lambda: (rounds.append(sorted(x)) or x for x in own()))
+    assert sorted(map(tuple, d.get("a").collect())) == [(0, 3), (1, 2)]
+    assert rounds == [["a"], ["a", "r"]]  # eight bytes a round
+    assert code_of(d._log.cancel, 0) == Code.FLUSHED
+    d.put("a", one(2, 4))
+    get = d.iget("a")
+    d.iput("a", one(1, 8))
+    assert sorted(map(tuple, d.wait()[get].collect())) == [(0, 3), (1, 8), (2, 4)]
+    d.put("a", one(0, 11))
+    d.close()
+    e = Dataset.open(spark, path)
+    assert sorted(map(tuple, e.get("a").collect())) == [(0, 11), (1, 8), (2, 4)] and e.get("r", [1, 2], [1, 1]).first().v == 9
+    assert [p.name for p in tmp_path.iterdir()] == ["a.nc"]
+
+
+def test_hints_texts_and_drivers(spark, tmp_path, monkeypatch):
+    from gridloom.functions.types import message
+    from gridloom.plans import dataset as ds
+
+    def begins(hints, **align):
+        d = Dataset.create(spark, hints=hints)
+        d.def_dim("t")
+        d.def_dim("x", 3)
+        d.def_var("a", "int", ["x"])
+        d.def_var("r", "int", ["t"])
+        d.enddef(**align)
+        return d.inq_var("a")["offset"], d.inq_var("r")["offset"], d
+
+    assert begins(None)[:2] == (512, 524) and begins(None, v_align=1024, r_align=64)[:2] == (1024, 1088)
+    assert begins({"nc_var_align_size": "2048"}, v_align=1024)[0] == 2048
+    monkeypatch.setenv(ds.HINTS_VARIABLE, "nc_var_align_size=4096;nc_record_align_size=8192")
+    a, r, d = begins({"nc_var_align_size": "2048", "own": "x"}, v_align=1024)
+    assert (a, r) == (4096, 8192) and d.inq_file_info()["nc_var_align_size"] == "4096" and d.inq_file_info()["own"] == "x" and d.inq_file_info()["nc_burst_buf"] == "disable"
+    assert all(message(k) not in ("", str(k)) for k in Code) and message(-9999) == "unknown status -9999" and ds.inq_libvers()
+    path = str(tmp_path / "bp")
+    open(path, "wb").write(b"x" * 100 + struct.pack("<QQQI", 10, 30, 60, 3))
+    assert cdf.sniff_path(path) == "BP" and code_of(Dataset.open, spark, path) == Code.NOTSUPPORT
+    monkeypatch.setitem(ds.DRIVERS, "BP", lambda spark, path, write: (path, write))
+    assert Dataset.open(spark, path) == (path, False)
+    before = len(ds.inq_files_opened())
+    with Dataset.create(spark, str(tmp_path / "b.nc")) as d:
+        d.def_dim("x", 1)
+        assert len(ds.inq_files_opened()) == before + 1 and ds.inq_files_opened()[-1].endswith("b.nc")
+    assert len(ds.inq_files_opened()) == before
+
+
+@pytest.mark.parametrize("shape", [(200_000,), (1, 300_000), (3, 7, 11), (40, 1, 900)])
+def test_slabs_of_any_shape(spark, tmp_path, monkeypatch, shape):
+    path = str(tmp_path / "s.nc")
+    c = Catalog(5)
+    for k, n in enumerate(shape):
+        c.def_dim(f"d{k}", n)
+    c.def_var("a", "int", [f"d{k}" for k in range(len(shape))])
+    cdf.create(path, c)
+    v = c.vars[0]
+    with open(path, "r+b") as f:
+        f.seek(v.begin)
+        f.write(np.arange(np.prod(shape), dtype=">i4").tobytes())
+    reader = cdf.CdfReader(path, "a", {})
+    reader.SLAB = 1000
+    parts = reader.partitions()
+    assert len(parts) >= min(np.prod(shape) / 1000, 2 if np.prod(shape) > 1000 else 1)
+    batches = [list(reader.read(p)) for p in parts]
+    assert all(len(b) == 1 and b[0].num_rows <= 1000 for b in batches)
+    got = np.zeros(shape, np.int32) - 1
+    for (b,) in batches:
+        got[tuple(b.column(f"i{k}").to_numpy() for k in range(len(shape)))] = b.column("v").to_numpy()
+    assert (got.ravel() == np.arange(np.prod(shape))).all()
+    low = [n // 3 for n in shape]
+    box = cdf.CdfReader(path, "a", {"start": ",".join(map(str, low)), "count": ",".join(str(max(1, n // 2)) for n in shape)})
+    cells = [x for p in box.partitions() for b in box.read(p) for x in b.column("v").to_pylist()]
+    assert sorted(cells) == sorted(got[tuple(slice(a, a + max(1, n // 2)) for a, n in zip(low, shape, strict=True))].ravel().tolist())
+    with open(path, "r+b") as f:  # cut off: the rest was never written
+        f.truncate(v.begin + 40)
+    assert sum(x for p in reader.partitions() for b in reader.read(p) for x in b.column("v").to_pylist()) == sum(range(10))
