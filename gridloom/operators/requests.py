@@ -117,6 +117,16 @@ def gaps(layout: DataFrame) -> DataFrame:
     return layout.select("name", "begin", (F.col("begin") + F.col("len")).alias("end"), F.coalesce(F.col("begin") - before, F.lit(0)).alias("gap"))
 
 
+def has_gap(layout: DataFrame) -> int:
+    """1 if any variable begins beyond the end of the one before it, else 0."""
+    return int(not gaps(layout).filter("gap > 0").isEmpty())
+
+
+def bounds(cells: DataFrame, offset: Column, size: int) -> DataFrame:
+    """The byte range that each request (req) spans: ``first``, and ``past`` its last byte."""
+    return cells.withColumn("off", offset).groupBy("req").agg(F.min("off").alias("first"), (F.max("off") + size).alias("past"))
+
+
 def record_offsets(layout: DataFrame, numrecs: int, recsize: int) -> DataFrame:
     """A row for each fixed variable (record -1) and for each record of a record variable; ``layout``: name, begin, len, is_rec."""
     records = layout.sparkSession.range(numrecs).withColumnRenamed("id", "record")

@@ -24,22 +24,25 @@ def put(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(b, on, "full_outer").select(*on, F.when(F.col("is_new"), F.col("new_v")).otherwise(F.col("v")).alias("v"))
 
 
-#: Cells of a box that are broadcast against the old cells of the same box.
+#: Cells of a box that are broadcast against the old cells.
 BROADCAST_CELLS = 1_000_000
 
 
 def put_box(old: DataFrame, new: DataFrame, start, count, stride=None) -> DataFrame:
-    """``put`` of cells that all lie in one box: cells outside it are not joined or moved, and a box of at most
-    ``BROADCAST_CELLS`` cells (its size says so) needs no shuffle at all."""
+    """``put`` of cells that all lie in one box.  Nothing of ``old`` is shuffled where the box has at most ``BROADCAST_CELLS`` cells
+    (its size says so), or where ``new`` has every cell of the box, which is counted.  ``old`` is read once, so many puts in
+    a row stay one pass."""
     on = coords(old)
     if not on:
         return new.select("v")
-    inside = box(len(on), start, count, stride)
     n = reduce(lambda a, b: a * b, count, 1)
-    written = new.select(*[F.col(k).alias(f"new_{k}") for k in on])
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"new_{k}") for k in on])
-    kept = old.filter(inside).join(F.broadcast(written) if n <= BROADCAST_CELLS else written, same, "left_anti")
-    return old.filter(~inside).select(*on, "v").unionByName(kept.select(*on, "v")).unionByName(new.select(*on, "v"))
+    if n > BROADCAST_CELLS and new.select(*on).distinct().count() == n:
+        kept = old.filter(~box(len(on), start, count, stride))
+    else:
+        written = new.select(*[F.col(k).alias(f"new_{k}") for k in on])
+        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"new_{k}") for k in on])
+        kept = old.join(F.broadcast(written) if n <= BROADCAST_CELLS else written, same, "left_anti")
+    return kept.select(*on, "v").unionByName(new.select(*on, "v"))
 
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -139,18 +139,18 @@ _PUT = "select coalesce(n.i0, o.i0) as i0, coalesce(n.i1, o.i1) as i1, coalesce(
 
 @_query("put_vara_overwrite", _PUT.format(old=_QTY, new=_new_sql(5, 4, 2, 1)))
 def put_vara_overwrite(spark, d):
-    return update.put(qty(spark, d), _new_box(spark, 5, 4, 2, 1))
+    return update.put_box(qty(spark, d), _new_box(spark, 5, 4, 2, 1), [2, 1], [5, 4])
 
 
 @_query("put_vars_strided", _PUT.format(old=_QTY, new=_new_sql(4, 3, 1, 0, 3, 2)))
 def put_vars_strided(spark, d):
-    return update.put(qty(spark, d), _new_box(spark, 4, 3, 1, 0, 3, 2))
+    return update.put_box(qty(spark, d), _new_box(spark, 4, 3, 1, 0, 3, 2), [1, 0], [4, 3], [3, 2])
 
 
 @_query("put_varm_transpose", _PUT.format(old=_QTY, new="(select c as i0, r as i1, (r * 1000 + c)::integer as v from (select unnest(range(3)) as r), (select unnest(range(5)) as c))"))
 def put_varm_transpose(spark, d):
-    turned = _new_box(spark, 3, 5, 0, 0).select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), "v")
-    return update.put(qty(spark, d), turned)
+    memory = update.grid(spark, [15]).select(F.col("i0").alias("address"), (F.floor(F.col("i0") / 5) * 1000 + F.col("i0") % 5).cast("int").alias("v"))
+    return update.put_box(qty(spark, d), hyperslab.from_memory(memory, [0, 0], [5, 3], None, [1, 5]), [0, 0], [5, 3])
 
 
 _OVERLAP = "(values (0, 2, 1, 3, 4), (1, 3, 0, 2, 5), (2, 2, 3, 2, 2), (3, 3, 0, 1, 5)) b(box, s0, s1, c0, c1)"
@@ -173,23 +173,6 @@ def put_record_growth(spark, d):
     return n.crossJoin(grown.agg((F.max("i0") + 1).alias("after")))
 
 
-_REQUESTS = [(0, 5, 3, 1), (2, 0, 4, 10), (4, 100, 0, 1), (6, 7, 2, 50)]
-_REQUESTS_SQL = "(values (0, 5, 3, 1), (2, 0, 4, 10), (4, 100, 0, 1), (6, 7, 2, 50)) q(req, start, count, stride)"
-
-
-def _requests(spark):
-    return spark.createDataFrame(_REQUESTS, "req long, start long, count long, stride long")
-
-
-@_query("wait_all_numrecs", f"select max(case when count > 0 then start + (count - 1) * stride + 1 else 0 end)::bigint as numrecs from {_REQUESTS_SQL}")
-def wait_all_numrecs(spark, d):
-    return _requests(spark).agg(F.max(F.when(F.col("count") > 0, F.col("start") + (F.col("count") - 1) * F.col("stride") + 1).otherwise(0)).alias("numrecs"))
-
-
-@_query("split_record_requests", f"select req::bigint as req, unnest(range(start, start + (count - 1) * stride + 1, stride))::bigint as record from {_REQUESTS_SQL} where count > 0")
-def split_record_requests(spark, d):
-    return update.split_records(_requests(spark))
-
 
 # --- conversion
 
@@ -430,14 +413,6 @@ def subfile_exchange(spark, d):
     return requests.subfile_requests(asked, n, 3)
 
 
-_BEGINS = "(values ('a', 512, 100), ('b', 612, 40), ('c', 700, 8), ('d', 708, 4)) t(name, begin, len)"
-
-
-@_query("offsets_with_gaps", f'select name, begin::bigint as begin, (begin + len)::bigint as "end", coalesce(begin - lag(begin + len) over (order by begin), 0)::bigint as gap from {_BEGINS}')
-def offsets_with_gaps(spark, d):
-    return requests.gaps(spark.createDataFrame([("a", 512, 100), ("b", 612, 40), ("c", 700, 8), ("d", 708, 4)], "name string, begin long, len long"))
-
-
 @_query("record_offsets", f"with l as ({ORACLES['layout_begins']}), v as (select name, is_rec, ((bytes + 3) // 4 * 4)::bigint as len from ({_VARS_SQL})) select name, -1::bigint as record, begin, begin + len as \"end\" from l join v using (name) where not is_rec union all select name, event_id, begin + event_id * 12, begin + event_id * 12 + len from l join v using (name), events where is_rec")
 def record_offsets(spark, d):
     x = _dataset(spark, d)
@@ -506,12 +481,6 @@ def dump_fill_marks(spark, d):
     return qty(spark, d).select("i0", "i1", F.when(cv.is_fill(F.col("v"), "int", 100), "_").otherwise(F.col("v").cast("string")).alias("shown"))
 
 
-@_query("dump_annotations", f"select i0, i1, '[' || i0 || ',' || i1 || ']' as c_index, '(' || (i1 + 1) || ',' || (i0 + 1) || ')' as fortran_index from {_QTY}")
-def dump_annotations(spark, d):
-    one = lambda k: (F.col(k) + 1).cast("string")
-    return qty(spark, d).select("i0", "i1", F.concat(F.lit("["), F.col("i0").cast("string"), F.lit(","), F.col("i1").cast("string"), F.lit("]")).alias("c_index"), F.concat(F.lit("("), one("i1"), F.lit(","), one("i0"), F.lit(")")).alias("fortran_index"))
-
-
 @_query("char_rows", "select doc_id as i0, rtrim(text, chr(0)) as line from documents where length(text) > 0")
 def char_rows(spark, d):
     chars = _read(spark, d, "documents").select(F.col("doc_id").alias("i0"), F.posexplode(F.split("text", "")).alias("i1", "v"))
@@ -531,12 +500,17 @@ def log_replay(spark, d):
 def _folder(spark) -> str:
     """A folder that driver and executors share; the classic format is one file on a mounted path."""
     import os
+    import re
     import tempfile
     from urllib.parse import urlparse
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = urlparse(shared).path if shared and urlparse(shared).scheme in ("", "file") else None
-    return tempfile.mkdtemp(prefix="gridloom-", dir=base if base and os.path.isdir(base) else None)
+    if base:
+        os.makedirs(base, exist_ok=True)
+    elif not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a mounted folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridloom-", dir=base)
 
 
 @_query("cdf_roundtrip", f"select i0, i1, v::double as v from {_EMB}")
@@ -553,62 +527,50 @@ def cdf_roundtrip(spark, d):
     c.def_var("EMB", "float", ["vec", "dim"])
     c.numrecs = n
     path = f"{_folder(spark)}/emb.nc"
-    create(path, c)
+    create(path, c, spark=spark)
     emb(spark, d).write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
     return _d(spark.read.format("cdf").option("path", path).option("var", "EMB").load())
 
 
-@_query("cdl_roundtrip", "select 0::bigint as i0, 1 as v union all select 1, 2 union all select 2, -2147483647")
-def cdl_roundtrip(spark, d):
-    from ..sources import cdl
+def _record_file(spark, d) -> str:
+    """A file of two record variables: the events' values, and their users."""
+    from .dataset import Dataset
 
-    c, data = cdl.parse("netcdf a { dimensions: x = 3 ; variables: int v(x) ; data: v = 1, 2, _ ; }")
-    text = cdl.dump(c, cdl.frames(spark, c, data), "a")
-    c, data = cdl.parse(text)
-    return cdl.frames(spark, c, data)["v"]
+    path = f"{_folder(spark)}/records.nc"
+    x = Dataset.create(spark, path, 2)
+    x.def_dim("time")
+    x.def_dim("pair", 2)
+    x.def_var("EVT", "double", ["time"])
+    x.def_var("WHO", "int", ["time", "pair"])
+    x.enddef()
+    x.put("EVT", evt(spark, d))
+    both = _read(spark, d, "events").select(F.col("event_id").alias("i0"), F.posexplode(F.array(F.col("user_id"), F.col("user_id") + 1)).alias("i1", "v"))
+    x.put("WHO", both.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("int").alias("v")))
+    x.close()
+    return path
 
 
-def _small_file(spark, n: int) -> str:
-    from ..sources.cdf import create
-    from .catalog import Catalog
+@_query("validate_ok", "select 0::bigint as problems, count(*)::bigint as records from events")
+def validate_ok(spark, d):
+    """A file of the events is sound, and has all its records."""
+    from ..sources.cdf import read_header, validate
 
-    c = Catalog(1)
-    c.def_dim("time", 0)
-    c.def_dim("x", 3)
-    c.def_var("w", "int", ["time", "x"])
-    c.def_var("f", "short", ["x"])
-    c.numrecs = n
-    path = f"{_folder(spark)}/small.nc"
-    create(path, c)
-    return path
+    path = _record_file(spark, d)
+    return spark.createDataFrame([(len(validate(path)), read_header(path).numrecs)], "problems long, records long")
 
 
-@_query("validate_ok", "select 0::bigint as problems, 1::bigint as broken_found")
-def validate_ok(spark, d):
-    """A sound file has no problems; one whose first variable begins within the header has one."""
-    from ..functions.types import ArrayError
-    from ..sources.cdf import decode_header, encode_header, read_header, validate
-
-    path = _small_file(spark, 4)
-    c = read_header(path)
-    c.vars[0].begin = 4
-    try:
-        decode_header(encode_header(c))
-        broken = 0
-    except ArrayError:
-        broken = 1
-    return spark.createDataFrame([(len(validate(path)), broken)], "problems long, broken_found long")
-
-
-@_query("stream_append", "select unnest(range(4))::bigint as i0, 3::bigint as cells, -2147483647 * 3::bigint as total")
+@_query("stream_append", "select event_id as i0, 2::bigint as cells, (2 * user_id + 1)::bigint as total from events")
 def stream_append(spark, d):
-    """The records of a file as a stream, summed by record."""
+    """The records of a file of the events as a stream, summed by record."""
     from ..streaming.records import RecordStream
 
     spark.dataSource.register(RecordStream)
-    path = _small_file(spark, 4)
+    path = _record_file(spark, d)
     name = "gridloom_stream_append"
-    stream = spark.readStream.format("cdf_records").option("path", path).option("var", "w").load()
+    stream = spark.readStream.format("cdf_records").option("path", path).option("var", "WHO").load()
     run = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).groupBy("i0").agg(F.count(F.lit(1)).alias("cells"), F.sum("v").alias("total"))
+
+
+from . import sessions  # noqa: E402, F401  its queries join these
