@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settled
+
 
 def element_offset(begin: int, shape: Sequence[int], size: int, recsize: int | None = None) -> Column:
     """Byte offset of a cell; with ``recsize`` i0 is the record."""
@@ -31,8 +33,10 @@ PART_RANGES, MOST_PARTS = 1_000_000, 1000
 def _parted(ranges: DataFrame, *key: str) -> DataFrame:
     """``ranges`` with ``part``, which rises with the offset; rows of a part (and ``key``) share a task.
 
-    Bounds are quantiles of the offset: at most ``MOST_PARTS`` numbers come to the driver.
+    The ranges are computed once, whatever they come from.  Bounds are quantiles of the offset: at most ``MOST_PARTS`` numbers
+    come to the driver.
     """
+    ranges = settled(ranges)
     n = min(MOST_PARTS, max(8, ranges.count() // PART_RANGES))
     bounds = ranges.agg(F.percentile_approx("off", [k / n for k in range(1, n)], 10 * n)).first()[0]
     bounds = F.lit(sorted(set(bounds or [])) or [0])
@@ -64,7 +68,7 @@ def coalesce_ranges(ranges: DataFrame, by: str | None = None) -> DataFrame:
     reached = _with_carried(r, _carried(ends, key, F.max("end")), key)
     here = Window.partitionBy(*key, "part").orderBy("off")
     so_far = F.greatest(F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)), "carried")
-    marked = reached.withColumn("fresh", F.coalesce((F.col("off") > so_far).cast("long"), F.lit(1))).drop("carried")
+    marked = settled(reached.withColumn("fresh", F.coalesce((F.col("off") > so_far).cast("long"), F.lit(1))).drop("carried"))
     begun = marked.groupBy(*key, "part").agg(F.sum("fresh").alias("fresh"))
     counted = _with_carried(marked.withColumn("island", F.sum("fresh").over(here)), _carried(begun, key, F.sum("fresh")), key)
     island = counted.withColumn("island", F.col("island") + F.coalesce("carried", F.lit(0)))

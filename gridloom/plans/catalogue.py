@@ -515,7 +515,7 @@ def _folder(spark) -> str:
 
 @_query("cdf_roundtrip", f"select i0, i1, v::double as v from {_EMB}")
 def cdf_roundtrip(spark, d):
-    """The whole array written to a CDF-2 file by Spark tasks and read back through the data source."""
+    """The whole array written to a CDF-2 file by Spark tasks, a run for each vector, and read back through the data source."""
     from ..sources.cdf import CdfSource, create
     from .catalog import Catalog
 
@@ -528,8 +528,10 @@ def cdf_roundtrip(spark, d):
     c.numrecs = n
     path = f"{_folder(spark)}/emb.nc"
     create(path, c, spark=spark)
-    emb(spark, d).write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
-    return _d(spark.read.format("cdf").option("path", path).option("var", "EMB").load())
+    runs = _read(spark, d, "embeddings").select(F.col("vec_id").alias("i0"), F.lit(0).cast("long").alias("i1"), F.col("embedding").alias("v"))
+    runs.write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
+    back = spark.read.format("cdf").option("path", path).option("var", "EMB").option("runs", "true").load()
+    return _d(back.select("i0", F.posexplode("v").alias("k", "v")).select("i0", F.col("k").cast("long").alias("i1"), "v"))
 
 
 def _record_file(spark, d) -> str:
@@ -550,6 +552,23 @@ def _record_file(spark, d) -> str:
     return path
 
 
+@_query("cdf_roundtrip_cells", f"select i0, i1, v::double as v from {_EMB}")
+def cdf_roundtrip_cells(spark, d):
+    """The same, cell by cell."""
+    from ..sources.cdf import CdfSource, create
+    from .catalog import Catalog
+
+    spark.dataSource.register(CdfSource)
+    c = Catalog(5)
+    c.def_dim("vec", _n(spark, d))
+    c.def_dim("dim", 64)
+    c.def_var("EMB", "float", ["vec", "dim"])
+    path = f"{_folder(spark)}/emb.nc"
+    create(path, c, spark=spark)
+    emb(spark, d).write.format("cdf").mode("append").option("path", path).option("var", "EMB").save()
+    return _d(spark.read.format("cdf").option("path", path).option("var", "EMB").load())
+
+
 @_query("validate_ok", "select 0::bigint as problems, count(*)::bigint as records from events")
 def validate_ok(spark, d):
     """A file of the events is sound, and has all its records."""

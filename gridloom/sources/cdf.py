@@ -8,6 +8,9 @@ dimension where that is enough and along later ones else; the options ``start``
 not pushed: Spark keeps a reader for all queries of a DataFrame, so one query's filter would cut the next.)  A slab is a strided
 view of the mapped file, so only the pages it lies on are touched.  Writers take Arrow batches, order them by offset and write
 runs of neighbours at once.
+
+With the option ``runs`` a row is a run of neighbours, not a cell: the coordinates of its first cell and ``v`` as an array, for reads
+that of a slab's last dimension.  Writers take runs wherever ``v`` is an array.  That spares Spark a row for each number.
 """
 
 from __future__ import annotations
@@ -189,9 +192,10 @@ def read_header(path: str, strict: bool = False) -> Catalog:
             n *= 4
 
 
-def schema_of(c: Catalog, v: Var) -> T.StructType:
+def schema_of(c: Catalog, v: Var, runs: bool = False) -> T.StructType:
+    """Coordinates and value of a cell, or of a run of cells (for a variable with dimensions)."""
     meta = {"xtype": v.xtype, "dims": [c.dims[d].name for d in v.dims]}
-    return T.StructType([*[T.StructField(f"i{k}", T.LongType(), False) for k in range(len(v.dims))], T.StructField("v", external(v.xtype).spark, True, meta)])
+    return T.StructType([*[T.StructField(f"i{k}", T.LongType(), False) for k in range(len(v.dims))], T.StructField("v", T.ArrayType(external(v.xtype).spark, False) if runs and v.dims else external(v.xtype).spark, True, meta)])
 
 
 def arrow_values(raw: np.ndarray, xtype: str) -> pa.Array:
@@ -227,6 +231,7 @@ class CdfReader(DataSourceReader):
     def __init__(self, path: str, var: str, options: dict):
         self.path, self.catalog = path, read_header(path)
         self.var = self.catalog.var(var)
+        self.runs = _flag(options.get("runs")) and bool(self.var.dims)
         shape = self.catalog.shape(self.var)
         numbers = lambda name: [int(x) for x in options[name].split(",")] if options.get(name) else None
         start, count = numbers("start") or [0] * len(shape), numbers("count")
@@ -275,11 +280,23 @@ class CdfReader(DataSourceReader):
         if any(a >= b for a, b in zip(lo, hi, strict=True)):
             return
         part = self._cells(lo, hi)
+        if self.runs:
+            wide = part.shape[-1]
+            index = np.indices(part.shape[:-1], dtype=np.int64).reshape(len(lo) - 1, part.size // wide)
+            coords = [*(pa.array(x + a) for x, a in zip(index, lo, strict=False)), pa.array(np.full(part.size // wide, lo[-1], np.int64))]
+            values = arrow_values(np.ascontiguousarray(part).reshape(-1), self.var.xtype)
+            ends = pa.array(np.arange(0, part.size + 1, wide, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*coords, pa.ListArray.from_arrays(ends, values)], names=[*[f"i{k}" for k in range(len(lo))], "v"])
+            return
         index = np.indices(part.shape, dtype=np.int64).reshape(len(lo), part.size)
         coords = [pa.array(x + a) for x, a in zip(index, lo, strict=True)]
         yield pa.RecordBatch.from_arrays([*coords, arrow_values(np.ascontiguousarray(part).reshape(-1), self.var.xtype)], names=[*[f"i{k}" for k in range(len(lo))], "v"])
 
 
+def _flag(x) -> bool:
+    return str(x or "").lower() in ("true", "1")
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, most: int):
         self.most = most
@@ -316,6 +333,22 @@ class CdfWriter(DataSourceArrowWriter):
         offsets.clear()
         values.clear()
 
+    def _runs(self, handle: int, coords: list[np.ndarray], strides: list[int], values: pa.Array, v: Var) -> None:
+        """Runs of cells: each is written at its first cell's offset, neighbours in the batch at once.  Runs and their values are not null."""
+        t = external(v.xtype)
+        n = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.full(len(n), v.begin, np.int64)
+        for x, s in zip(coords, strides, strict=True):
+            at += x.astype(np.int64) * s
+        data = memoryview(raw_values(values.flatten(), v.xtype).tobytes())
+        begin = np.cumsum(n * t.size) - n * t.size
+        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1] + n[:-1] * t.size))
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(n)], strict=True):
+            done, end = int(begin[lo]), int(begin[hi - 1] + n[hi - 1] * t.size)
+            first = int(at[lo]) - done
+            while done < end:
+                done += os.pwrite(handle, data[done:end], first + done)
+
     def write(self, batches):
         c, v = self.catalog, self.catalog.var(self.name)
         t, rank, record = external(v.xtype), len(v.dims), c.is_record(v)
@@ -333,6 +366,9 @@ class CdfWriter(DataSourceArrowWriter):
                 coords = [batch.column(f"i{k}").to_numpy(zero_copy_only=False) for k in range(rank)]
                 most = max(most, int(coords[0].max()) + 1) if record else most
                 v_column = batch.column("v")
+                if pa.types.is_list(v_column.type) or pa.types.is_large_list(v_column.type):
+                    self._runs(handle, coords, strides, v_column, v)
+                    continue
                 known = v_column.is_valid().to_numpy(zero_copy_only=False)
                 at = np.full(batch.num_rows, v.begin, np.int64)
                 for x, s in zip(coords, strides, strict=True):
@@ -359,7 +395,7 @@ class CdfWriter(DataSourceArrowWriter):
 
 
 class CdfSource(DataSource):
-    """Options: ``path``, ``var``, and for reads ``start`` and ``count`` (comma lists)."""
+    """Options: ``path``, ``var``, and for reads ``start`` and ``count`` (comma lists) and ``runs``."""
 
     @classmethod
     def name(cls):
@@ -367,7 +403,7 @@ class CdfSource(DataSource):
 
     def schema(self):
         c = read_header(self.options["path"])
-        return schema_of(c, c.var(self.options["var"]))
+        return schema_of(c, c.var(self.options["var"]), _flag(self.options.get("runs")))
 
     def reader(self, schema):
         return CdfReader(self.options["path"], self.options["var"], self.options)

@@ -666,3 +666,32 @@ def test_slabs_of_any_shape(spark, tmp_path, monkeypatch, shape):
     with open(path, "r+b") as f:  # cut off: the rest was never written
         f.truncate(v.begin + 40)
     assert sum(x for p in reader.partitions() for b in reader.read(p) for x in b.column("v").to_pylist()) == sum(range(10))
+
+
+def test_runs(spark, tmp_path):
+    """Runs of any length, over rows and records, are the cells they stand for."""
+    path = str(tmp_path / "r.nc")
+    c = Catalog(5)
+    c.def_dim("t", 0)
+    c.def_dim("y", 4)
+    c.def_dim("x", 5)
+    for name, kind in (("a", "short"), ("b", "double"), ("c", "char")):
+        c.def_var(name, kind, ["t", "y", "x"])
+    c.def_var("f", "uint64", ["y", "x"])
+    c.numrecs = 3
+    cdf.create(path, c)
+    spark.dataSource.register(cdf.CdfSource)
+    write = lambda df, var: df.write.format("cdf").mode("append").option("path", path).option("var", var).save()
+    read = lambda var, **how: spark.read.format("cdf").options(path=path, var=var, **how).load()
+    write(spark.createDataFrame([(0, 0, 0, [*range(20)]), (2, 1, 2, [7, 8, 9]), (2, 3, 0, [1]), (1, 0, 0, [])], "i0 long, i1 long, i2 long, v array<short>").repartition(2), "a")
+    got = {(x.i0, x.i1, x.i2): x.v for x in read("a").collect()}
+    fill = TYPES["short"].fill
+    assert [got[0, j, k] for j in range(4) for k in range(5)] == list(range(20)) and [got[2, 1, k] for k in range(5)] == [fill, fill, 7, 8, 9] and got[2, 3, 0] == 1 and got[1, 0, 0] == fill
+    rows = read("a", runs="true").collect()
+    assert len(rows) == 12 and all(list(x.v) == [got[x.i0, x.i1, k] for k in range(5)] and x.i2 == 0 for x in rows)
+    box = read("a", runs="true", start="2,1,2", count="1,1,3").collect()
+    assert [(x.i0, x.i1, x.i2, list(x.v)) for x in box] == [(2, 1, 2, [7, 8, 9])]
+    write(spark.createDataFrame([(0, 2, [Decimal(2**64 - 1), Decimal(5)])], "i0 long, i1 long, v array<decimal(20,0)>"), "f")
+    assert [int(x.v) for x in read("f", start="0,2", count="1,2").orderBy("i1").collect()] == [2**64 - 1, 5]
+    write(spark.createDataFrame([(1, 1, 0, [bytearray(b"h"), bytearray(b"i")])], "i0 long, i1 long, i2 long, v array<binary>"), "c")
+    assert b"".join(bytes(x) for x in read("c", runs="true", start="1,1,0", count="1,1,3").first().v) == b"hi\0"
