@@ -102,6 +102,27 @@ def chat_format(events: DataFrame, **names: str) -> DataFrame:
     return render(folded, names.get("conv_col", "conv_id"), names.get("message_col", "message"))
 
 
+def as_events(messages: DataFrame) -> DataFrame:
+    """A log as a client would stream it, from final messages (conv_id, message, role, text): seq, kind, role and text of each event.
+
+    Every text comes in two parts.  By turns a message is begun with the first and goes on with the second; is begun with a draft,
+    regenerated and then streamed; or is begun with a draft that is edited to the first part and goes on.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda k, kind, said, role=None: F.struct(
+        (F.col("message") * 4 + k).cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if role else F.lit(None).cast("string")).alias("role"), said.alias("text"),
+    )
+    draft = F.lit("draft of ### </turn> \\ ")
+    plain = F.array(event(0, "message", first, True), event(1, "delta", rest))
+    again = F.array(event(0, "message", draft, True), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", rest))
+    edited = F.array(event(0, "message", draft, True), event(1, "edit", first), event(2, "delta", rest))
+    by = F.col("message") % 3
+    told = messages.select("conv_id", "message", F.explode(F.when(by == 0, plain).when(by == 1, again).otherwise(edited)).alias("e"))
+    return told.select("conv_id", "message", "e.*")
+
+
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = c.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
@@ -109,7 +130,7 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     # Each row is a message of its own in the log; rows of one turn stay apart.
     place = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(place))
-    log = rows.select("conv_id", n.alias("message"), n.alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    log = as_events(rows.select("conv_id", n.alias("message"), "role", "text"))
     out = chat_format(log)
     turns, spoken = read_back(F.col("formatted")), F.col("__gl_loss")
     masked = F.transform("loss_mask", lambda m: unescape(F.substring(F.get("__gl_parts", m["turn"]), m["start"], m["length"])))
