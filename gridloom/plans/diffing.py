@@ -89,3 +89,12 @@ def _dense(d: Dataset, name: str) -> DataFrame:
 
 def _scalar(df: DataFrame) -> DataFrame:
     return df.select(F.lit(0).cast("long").alias("i0"), "v")
+
+
+def status(spark, report: Report, quiet: bool = False) -> tuple[int, list[str]]:
+    """The exit status of a comparison, 1 if anything differs, and what to print; nothing if ``quiet``."""
+    lines = [f"DIFFER: {' '.join(k)}: {x} <> {y}" for k, x, y in report.header]
+    lines += [f"LACKING: {name}" for name in report.lacking] + [f"SKIPPED: {name}: {why}" for name, why in report.skipped.items()]
+    if report.cells:
+        lines += [f"DIFFER: variable {r.name}: {r.n_differ} cells" for r in report.counts(spark).filter("n_differ > 0").orderBy("name").collect()]
+    return int(bool(lines)), [] if quiet else lines

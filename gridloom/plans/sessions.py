@@ -634,3 +634,42 @@ def diff_headers(spark, d):
     rows = [("differ", " ".join(k)) for k, *_ in report.header if k == ("dimension", "supp")]
     rows += [("lacking", n) for n in report.lacking] + [("skipped", f"{n}: {why}") for n, why in report.skipped.items()]
     return _rows(spark, rows, "state string, what string")
+
+
+@_query("diff_status", f"select 'same' as pair, 0 as status, 0 as lines union all select 'other', 1, 1 union all select 'quiet', 1, 0")
+def diff_status(spark, d):
+    from . import diffing
+
+    a, b = _filled(spark, d, put=False), _filled(spark, d, put=False)
+    same = diffing.status(spark, diffing.diff(a, a))
+    b.put("QTY", qty(spark, d).filter("i0 = 3").withColumn("v", F.col("v") + 1))
+    report = diffing.diff(a, b, ["QTY"])
+    other, quiet = diffing.status(spark, report), diffing.status(spark, report, quiet=True)
+    return _rows(spark, [("same", same[0], len(same[1])), ("other", other[0], len(other[1])), ("quiet", quiet[0], len(quiet[1]))], "pair string, status int, lines int")
+
+
+@_query("subfiles", f"select i0 * 3 // {_N} as file, i0, i1, v from {_QTY}")
+def subfiles(spark, d):
+    """The dataset in three files, each with its rows of suppliers, opened again as one."""
+    from . import subfiles as sub
+
+    folder = f"{_folder(spark)}/parts"
+    sub.save(_filled(spark, d, put=False), folder, 3)
+    cells = _written(sub.read(spark, folder, "QTY"))
+    return cells.select(hyperslab.subfile([_n_supp(spark, d), 8], 3).alias("file"), "i0", "i1", "v")
+
+
+@_query("subfile_stub", f"select k as file, ((k * {_N} + 2) // 3)::bigint as lo, (((k + 1) * {_N} + 2) // 3)::bigint as hi, 3 as n_files, 0 as rank from (select unnest(range(3)) as k)")
+def subfile_stub(spark, d):
+    """What the stub and the subfiles say of themselves."""
+    from . import subfiles as sub
+
+    folder = f"{_folder(spark)}/parts"
+    sub.save(_filled(spark, d, put=False), folder, 3)
+    stub = Dataset.open(spark, f"{folder}/{sub.STUB}")
+    n, rank = stub.get_att(sub.COUNT, "QTY")[0], stub.inq_var("QTY")["ndims"]
+    out = []
+    for k in range(n):
+        lo, hi = Dataset.open(spark, f"{folder}/{k}.nc").get_att(sub.RANGE, "QTY")
+        out.append((k, lo, hi, n, rank))
+    return _rows(spark, out, "file int, lo long, hi long, n_files int, rank int")
