@@ -115,6 +115,12 @@ def aggregate(ranges: DataFrame, n: int, size: int) -> DataFrame:
     return ranges.groupBy(F.floor(F.col("off") / each).cast("long").alias("aggregator")).agg(F.sum("len").alias("bytes"), F.count(F.lit(1)).alias("n_ranges"))
 
 
+def gather(cells: DataFrame, offset: Column, n: int) -> DataFrame:
+    """Cells sent to ``n`` aggregators by ranges of their offset, each with its own in order, so that it writes one stretch of a file."""
+    sent = cells.withColumn("__off", offset).repartitionByRange(n, "__off").sortWithinPartitions("__off")
+    return sent.drop("__off")
+
+
 def gaps(layout: DataFrame) -> DataFrame:
     """Variables (name, begin, len) with the gap before each; for a catalogue, which is small."""
     before = F.lag(F.col("begin") + F.col("len")).over(Window.orderBy("begin"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field, replace
 
 from ..functions.types import GLOBAL, UNLIMITED, ArrayError, Code, allowed, checked_name, external
@@ -42,16 +43,29 @@ class Catalog:
     vars: list[Var] = field(default_factory=list)
     atts: list[Att] = field(default_factory=list)
     numrecs: int = 0
+    _places: dict[str, dict[str, int]] = field(default_factory=dict, repr=False, compare=False)
+
+    def place(self, kind: str, name: str) -> int | None:
+        """Where a name is among ``dims`` or ``vars``, by a table that new items join; ``renamed`` makes it anew."""
+        name, items = unicodedata.normalize("NFC", name), getattr(self, kind)
+        table = self._places.setdefault(kind, {})
+        for k in range(len(table), len(items)):
+            table[items[k].name] = k
+        return table.get(name)
+
+    def renamed(self) -> None:
+        """To be told when a dimension or variable has another name."""
+        self._places.clear()
 
     def dim(self, name: str) -> int:
-        return _find(self.dims, name, Code.BADDIM)
+        return _found(self.place("dims", name), name, Code.BADDIM)
 
     def var(self, name: str | int) -> Var:
         if isinstance(name, int):
             if not 0 <= name < len(self.vars):
                 raise ArrayError(Code.GLOBAL if name == GLOBAL else Code.NOTVAR, str(name))
             return self.vars[name]
-        return self.vars[_find(self.vars, name, Code.NOTVAR)]
+        return self.vars[_found(self.place("vars", name), name, Code.NOTVAR)]
 
     def holder(self, var: str | int | None) -> list[Att]:
         return self.atts if var in (None, GLOBAL) else self.var(var).atts
@@ -85,7 +99,7 @@ class Catalog:
             raise ArrayError(Code.DIMSIZE, name)
         if size == UNLIMITED and any(d.size == UNLIMITED for d in self.dims):
             raise ArrayError(Code.UNLIMIT, name)
-        if any(d.name == name for d in self.dims):
+        if self.place("dims", name) is not None:
             raise ArrayError(Code.NAMEINUSE, name)
         self.dims.append(Dim(name, size))
         return len(self.dims) - 1
@@ -98,7 +112,7 @@ class Catalog:
             raise ArrayError(Code.BADDIM, name)
         if any(self.dims[d].size == UNLIMITED for d in ids[1:]):
             raise ArrayError(Code.UNLIMPOS, name)
-        if any(v.name == name for v in self.vars):
+        if self.place("vars", name) is not None:
             raise ArrayError(Code.NAMEINUSE, name)
         self.vars.append(Var(name, xtype, ids, no_fill=no_fill))
         return len(self.vars) - 1
@@ -145,11 +159,7 @@ class Catalog:
         return Catalog(self.version, [replace(d) for d in self.dims], [replace(v, dims=list(v.dims), atts=[replace(a) for a in v.atts]) for v in self.vars], [replace(a) for a in self.atts], self.numrecs)
 
 
-def _find(items: list, name: str, code: Code) -> int:
-    import unicodedata
-
-    name = unicodedata.normalize("NFC", name)
-    for k, x in enumerate(items):
-        if x.name == name:
-            return k
-    raise ArrayError(code, name)
+def _found(k: int | None, name: str, code: Code) -> int:
+    if k is None:
+        raise ArrayError(code, name)
+    return k

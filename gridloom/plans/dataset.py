@@ -335,6 +335,7 @@ class Dataset:
         if not self.defining and len(new.encode()) > len(items[k].name.encode()):
             raise ArrayError(Code.NOTINDEFINE, "a longer name")
         items[k].name = new
+        self.catalog.renamed()
 
     def _att(self, name: str, var=None) -> Att:
         for a in self.catalog.holder(var):

@@ -489,6 +489,29 @@ def validate_repair(spark, d):
     return _written(Dataset.open(spark, path).get("QTY")).agg(F.lit(found).alias("found"), F.lit(len(cdf.validate(path))).alias("after"), F.count(F.lit(1)).alias("cells"))
 
 
+@_query("file_aggregated", f"select i0, i1, v from {_QTY}")
+def file_aggregated(spark, d):
+    """Cells in any order gathered to three aggregators by offset, which write a stretch of the file each."""
+    path = f"{_folder(spark)}/gathered.nc"
+    x = _defined(spark, d, path)
+    x.enddef()
+    v = x.catalog.var("QTY")
+    mixed = qty(spark, d).repartition(5, F.xxhash64("i0", "i1"))
+    x.put("QTY", requests.gather(mixed, requests.element_offset(v.begin, x.catalog.shape(v), 4), 3))
+    x.close()
+    return _written(Dataset.open(spark, path).get("QTY"))
+
+
+_PADDED = "(length(n) + 3) // 4 * 4"
+
+
+@_query("inq_header", f"select (4 + 8 + 12 + (select sum(8 + {_PADDED} + 8) from (values ('time'), ('supp'), ('line')) t(n)) + 12 + 12 + (select sum(8 + {_PADDED} + 8 + 8 * r + 12 + 4 + 8 + 8) from (values ('QTY', 2), ('EVT', 1)) t(n, r)))::bigint as header_size, 512::bigint as header_extent, 8::bigint as recsize, count(*)::bigint as numrecs, (512 + {_N} * 32 + count(*) * 8)::bigint as file_size from events")
+def inq_header(spark, d):
+    path = _file(spark, d)
+    q = Dataset.open(spark, path).inq()
+    return _rows(spark, [(q["header_size"], q["header_extent"], q["recsize"], q["numrecs"], os.path.getsize(path))], "header_size long, header_extent long, recsize long, numrecs long, file_size long")
+
+
 # --- planning
 
 
