@@ -126,7 +126,8 @@ def as_events(messages: DataFrame) -> DataFrame:
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = c.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema))
+    own = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit(odd)}
+    rows = rows.unionByName(spark.range(2).select(*[x.cast(rows.schema[k].dataType).alias(k) for k, x in own.items()]))
     # Each row is a message of its own in the log; rows of one turn stay apart.
     place = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(place))
