@@ -696,3 +696,108 @@ def subfile_stub(spark, d):
         lo, hi = Dataset.open(spark, f"{folder}/{k}.nc").get_att(sub.RANGE, "QTY")
         out.append((k, lo, hi, n, rank))
     return _rows(spark, out, "file int, lo long, hi long, n_files int, rank int")
+
+
+# --- conversion, names and the rest
+
+
+@_query("cvt_put_own_fill", f"select i0, i1, (case when v * 3 between -128 and 127 then v * 3 else -9 end)::tinyint as v from {_QTY}")
+def cvt_put_own_fill(spark, d):
+    """Ints put into a byte variable: what does not fit is stored as the variable's own fill."""
+    x = Dataset.create(spark, None, 5)
+    x.def_dim("supp", _n_supp(spark, d))
+    x.def_dim("line", 8)
+    x.def_var("B", "byte", ["supp", "line"])
+    x.put_att("_FillValue", [-9], "B", "byte")
+    x.enddef()
+    x.put("B", qty(spark, d).withColumn("v", F.col("v") * 3), dtype="int")
+    return x.get("B")
+
+
+@_query("cvt_no_fill_on_erange", f"select i0, i1, case when v * 3 between -128 and 127 then (v * 3)::varchar else 'none' end as v from {_QTY}")
+def cvt_no_fill_on_erange(spark, d):
+    return qty(spark, d).withColumn("v", F.coalesce(cv.convert(F.col("v") * 3, "int", "byte", erange_fill=False).cast("string"), F.lit("none")))
+
+
+_INTEGERS = ("byte", "short", "int", "ubyte", "ushort", "uint", "int64")
+
+
+@_query("cvt_matrix", " union all ".join(f"select '{s}' as source, '{t}' as target, coalesce(sum(case when x between {TYPES[t].low} and {TYPES[t].high} then x else {TYPES[t].fill} end), 0)::double as total from (select case when v * 700 - 9000 between {TYPES[s].low} and {TYPES[s].high} then v * 700 - 9000 else {TYPES[s].fill} end as x from {_QTY})" for s in _INTEGERS for t in (*_INTEGERS, "double")))
+def cvt_matrix(spark, d):
+    """Every integer type read as every other and as double: sums of what comes out."""
+    cells = qty(spark, d).select((F.col("v") * 700 - 9000).alias("v"))
+    cells = cells.select(*[cv.convert(F.col("v"), "int", s).alias(s) for s in _INTEGERS])
+    sums = [F.coalesce(F.sum((F.col(s) if s == t else cv.convert(F.col(s), s, t)).cast("double")), F.lit(0.0)).alias(f"{s} {t}") for s in _INTEGERS for t in (*_INTEGERS, "double")]
+    row = cells.agg(*sums)
+    pairs = [F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.col(f"{s} {t}").alias("total")) for s in _INTEGERS for t in (*_INTEGERS, "double")]
+    return row.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+@_query("names_checked", f"select n_name as name, 0 as plain, {int(Code.BADNAME)} as slash, {int(Code.BADNAME)} as blank_end, {int(Code.NAMEINUSE)} as again from nation")
+def names_checked(spark, d):
+    """Names of nations as dimensions, decomposed accents included: normal form C, and what is not a name."""
+    x, out = Dataset.create(spark), []
+    for (name,) in _read(spark, d, "nation").select("n_name").collect():
+        own = name + "é"
+        plain = _status(x.def_dim, own, 3)
+        assert x.inq_dim(name + "é")[0] == name + "é"
+        out.append((name, plain, _status(x.def_dim, name + "/", 3), _status(x.def_dim, name + " ", 3), _status(x.def_dim, name + "é", 3)))
+    return _rows(spark, out, "name string, plain int, slash int, blank_end int, again int")
+
+
+@_query("never_written", f"select g.i0, g.i1, coalesce(q.v, -2147483647) as v from (select i0, i1 from (select unnest(range({_N})) as i0), (select unnest(range(8)) as i1)) g left join {_QTY} q on q.i0 = g.i0 and q.i1 = g.i1")
+def never_written(spark, d):
+    """Cells of a file that were never written read as fill, also with filling off."""
+    return Dataset.open(spark, _file(spark, d)).get("QTY")
+
+
+@_query("patch_numrecs", "select count(*)::bigint as before, (count(*) // 2)::bigint as after, sum(case when event_id < (select count(*) // 2 from events) then 1 else 0 end)::bigint as records from events")
+def patch_numrecs(spark, d):
+    """The record count overwritten in a file: readers see as many records."""
+    path = _file(spark, d)
+    before = cdf.read_header(path).numrecs
+    cdf.set_numrecs(path, before // 2)
+    y = Dataset.open(spark, path)
+    return y.get("EVT").agg(F.lit(before).cast("long").alias("before"), F.lit(y.catalog.numrecs).cast("long").alias("after"), F.count(F.lit(1)).alias("records"))
+
+
+@_query("dump_selected", f"select 'header' as what, 0::bigint as numbers union all select 'QTY', {_N} * 8 union all select 'EVT', count(*) from events")
+def dump_selected(spark, d):
+    """Dumps of the header alone and of one variable each, in lines of 60 characters: how many numbers they hold."""
+    x = _filled(spark, d)
+    out = []
+    for what, how in (("header", {"header": True}), ("QTY", {"only": ["QTY"]}), ("EVT", {"only": ["EVT"]})):
+        text = cdl.dump(x.catalog, {"QTY": x.filled("QTY"), "EVT": x.get("EVT")}, "tables", width=60, **how)
+        data = text.partition("data:")[2]
+        assert max(map(len, data.split("\n"))) <= 62 and "int QTY(supp, line)" in text
+        out.append((what, data.count(",") + (1 if "=" in data else 0)))
+    return _rows(spark, out, "what string, numbers long")
+
+
+@_query("inq_var_fill", f"select 'QTY' as name, 1 as no_fill, -2147483647::double as fill union all select 'EVT', 0, max(user_id)::double from events")
+def inq_var_fill(spark, d):
+    x = _defined(spark, d)
+    x.def_var_fill("EVT", False, float(_read(spark, d, "events").agg(F.max("user_id")).first()[0]))
+    return _rows(spark, [(n, int(x.inq_var(n)["no_fill"]), float(x.inq_var(n)["fill"])) for n in ("QTY", "EVT")], "name string, no_fill int, fill double")
+
+
+@_query("statuses", "select * from (values (-40, 'an index is beyond its dimension'), (-57, 'start and count reach beyond a dimension'), (-58, 'a stride is not positive'), (-210, 'a count is negative'), (-49, 'no such variable')) t(status, text)")
+def statuses(spark, d):
+    """Requests for cells that are not there, and what their statuses say."""
+    from ..functions.types import message
+
+    x, n = _filled(spark, d, put=False), _n_supp(spark, d)
+    asked = (([n, 0], [1, 1], None), ([n - 1, 0], [2, 1], None), ([0, 0], [1, 1], [0, 1]), ([0, 0], [-1, 1], None))
+    codes = [_status(x.get, "QTY", *a) for a in asked] + [_status(x.get, "NONE")]
+    return _rows(spark, [(k, message(k)) for k in codes], "status int, text string")
+
+
+@_query("files_opened", f"select 5 as version, 2 as opened, 0 as closed, {_N}::bigint as size")
+def files_opened(spark, d):
+    path, before = _file(spark, d), len(ds.inq_files_opened())
+    x, y = Dataset.open(spark, path), Dataset.open(spark, path)
+    opened, size = len(ds.inq_files_opened()) - before, x.inq_dim("supp")[1]
+    assert ds.inq_libvers() and x.inq()["path"] == path
+    x.close()
+    y.close()
+    return _rows(spark, [(x.inq()["version"], opened, len(ds.inq_files_opened()) - before, size)], "version int, opened int, closed int, size long")
