@@ -34,8 +34,8 @@ from . import _common as c
 #: Bytes of a shingle's key that are sent to find the shared ones.
 KEY_BYTES = 4
 BUCKET_SHINGLES = 1_000_000
-#: Shingles of a region that one task joins; larger ones are split by pivot rounds first.
-REGION_SHINGLES = 8_000_000
+#: Shingles of a region that one task joins: a share of all, within these bounds; larger regions are split by pivot rounds first.
+REGION_SHARE, LEAST_REGION, REGION_SHINGLES = 256, 250_000, 8_000_000
 #: Pivot rounds before a region falls apart into those of its single pivots; then there are as many as it takes.
 ROUNDS = 4
 #: Pivots of a region in a round.
@@ -361,7 +361,7 @@ def _by_pivot(sets: DataFrame, least: DataFrame, region_shingles: int) -> DataFr
     return sets.join(hint(large), "region", "left_anti").unionByName(cut)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_shingles: int | None = None) -> DataFrame:
     """Components of documents by n-gram Jaccard links: one row for each row of ``docs``.
 
     Returns ``id_col``, ``n_shingles`` and ``component_id``, the least id that links lead to.  Two documents link when
@@ -374,6 +374,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(c.quoted(id_col).cast("long").alias("__gl_id"), c.quoted(text_col).alias("__gl_text"))
     _, n_bytes = c.text_bytes(base, "__gl_text")
+    region_shingles = region_shingles or max(LEAST_REGION, min(REGION_SHINGLES, n_bytes // 6 // REGION_SHARE))
     n_blocks, n_buckets = c.blocks_for(n_bytes), c.buckets_for(n_bytes, BUCKET_SHINGLES)
     salt = F.xxhash64("__gl_id", F.when(F.col("__gl_id").isNull(), F.col("__gl_text")))
     blocked = base.select("__gl_id", "__gl_text", F.pmod(salt, F.lit(n_blocks)).cast("int").alias("__gl_block"))
