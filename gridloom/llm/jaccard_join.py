@@ -266,6 +266,21 @@ def _joined(percent: int):
 # --- regions over the cluster -------------------------------------------------------------------
 
 
+def _star(edges: DataFrame, n_edges: int, with_self: bool) -> DataFrame:
+    """Links (u, v) with ``m``, the least of the v of their u (and u itself ``with_self``).
+
+    Nodes with more than 1/500 of all links are hubs: there are fewer than 500, and their links meet them by a broadcast, so
+    none is a hot key of the join.
+    """
+    least = F.least(F.min("v"), F.col("u")) if with_self else F.min("v")
+    low = edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("w"), "m", "n")
+    hub = F.col("n") > max(500, n_edges // 500)
+    hubs = c.checkpointed(low.filter(hub).drop("n"))
+    on = F.col("u") == F.col("w")
+    out = edges.join(F.broadcast(hubs.select(F.col("w").alias("h"))), F.col("u") == F.col("h"), "left_anti").join(low.filter(~hub).drop("n"), on)
+    return out.unionByName(edges.join(F.broadcast(hubs), on)).drop("w")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a table of links: ``node`` and ``component``, its least node.
 
@@ -274,21 +289,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = c.checkpointed(e)
-    before = None
+    before, n_edges = None, e.count()
     while True:
         # large star: a node's larger neighbours point to its least neighbour
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("w"), "m")
-        large = both.join(low, both.u == low.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _star(both, 2 * n_edges, True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node's smaller neighbours point to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(low, large.u == low.w).select("v", "m", "u")
+        small = _star(large, n_edges, False)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         e = c.checkpointed(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n_edges = now, now[0]
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
