@@ -10,15 +10,15 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link w
    document in the region of one of its n - ceil(s * n) + 1 rarest: these are the boundary windows it is replicated to.
    Regions that share a document are merged (connected components of a table of ids and keys, without any shingle
    set), so each set travels once, to its region.
-3. *Within a region*, ``join_region`` recurses: documents as pivots, each document to its nearest pivot's cell and to every
-   cell whose hyperplane bound d(x, p') - d(x, p) <= 2 tau reaches it; |d(x, p) - d(y, p)| > tau rules a pair out and
-   d(x, p) + d(y, p) <= tau links it untested.  Links between documents that are already connected need no test, so
-   thousands of near copies around a pivot cost one pass, not a square.
-   A region beyond ``REGION_SHINGLES`` first goes through rounds that are spread over the cluster: all distances to a few
-   pivots are measured in parallel; documents within tau of a pivot are linked to it; of those only the ones whose distance
-   window reaches a document outside that ball go on.  A region that is still large falls apart into the regions of its single
-   pivots, which it was merged from: each document goes to those of its boundary windows.  The rounds then go on until every
-   region is within the bound; each takes at least its pivots out of a region.
+3. *Within a region*, ``join_region`` takes the middles of its groups of near copies as pivots: d(x, p) <= tau links x to p, and
+   |d(x, p) - d(y, p)| > tau rules a pair out.  The rest meet by single pivots again, now by frequency in the region: y looks
+   into the regions of its boundary windows, only at sizes and places that leave enough shared shingles, and only at documents
+   it is not connected to.  Large classes are looked into but do not look, so near copies around a pivot cost one pass.
+   A region beyond ``REGION_SHINGLES`` first goes through ``ROUNDS`` rounds that are spread over the cluster: all distances to a
+   few pivots are measured in parallel; documents within tau of a pivot are linked to it; of those only the ones whose distance
+   window reaches a document outside that ball go on.  A region that is still many times as large falls apart into the regions
+   of its single pivots, which it was merged from, if that copies less than blocks do.  What is beyond the bound then is cut
+   into blocks, and a task joins two of them: every pair meets, and the number of tasks is known beforehand.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -34,13 +34,15 @@ from . import _common as c
 #: Bytes of a shingle's key that are sent to find the shared ones.
 KEY_BYTES = 4
 BUCKET_SHINGLES = 1_000_000
-#: Shingles of a region that one task joins; larger ones are split by pivot rounds first.
+#: Shingles of a region that one task joins; larger ones go through pivot rounds, then two blocks at a time.
 REGION_SHINGLES = 8_000_000
-#: Pivot rounds before a region falls apart into those of its single pivots; then there are as many as it takes.
+#: Pivot rounds of a region beyond REGION_SHINGLES.
 ROUNDS = 4
+#: Regions beyond so many REGION_SHINGLES fall apart into those of their single pivots, where that copies less.
+WIDE = 4
 #: Pivots of a region in a round.
 PIVOTS = 8
-#: Documents of a cell that are compared without further pivots.
+#: Documents of a region that are compared without further pivots; a larger class waits for others to look into it.
 LEAF = 256
 
 
@@ -138,24 +140,37 @@ def _features(words: int, percent: int, n_buckets: int):
 
 
 class _Region:
-    """Sets of a region, as one array of shingles renumbered by rank, with a union-find over the documents."""
+    """Sets of a region as one array of shingles, numbered by their frequency in the region, and the documents' classes."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.n = np.array([len(x) for x in sets], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n)])
-        _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.mark = np.zeros(int(self.flat.max()) + 1, bool)
+        _, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        base = np.repeat(np.arange(len(sets)) * len(order), self.n)
+        self.flat = rank[flat]
+        del flat
+        self.flat += base
+        self.flat.sort()  # each document's rarest first
+        self.flat -= base
+        self.df = counts[order]
+        self.mark = np.zeros(len(order), bool)
         self.percent, self.tau = percent, 1 - percent / 100
-        self.parent = np.arange(len(sets))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+        self.label = np.arange(len(sets))
+        self.members = {}
 
     def union(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.parent[max(a, b)] = min(a, b)
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
+            return
+        mine, other = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(mine) < len(other):
+            a, mine, other = b, other, mine
+        self.label[other] = a
+        mine += other
+        self.members[a] = mine
 
     def shared(self, i: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of i with each of others."""
@@ -173,9 +188,14 @@ class _Region:
         return 1 - k / (self.n[i] + self.n[others] - k)
 
     def test(self, i: int, others: np.ndarray) -> None:
-        k = self.shared(i, others)
-        for j in others[100 * k >= self.percent * (self.n[i] + self.n[others] - k)]:
-            self.union(i, j)
+        """Link i with those of others within tau; ever larger portions, as a link can connect many of the rest."""
+        most = 64
+        while len(others := others[self.label[others] != self.label[i]]):
+            now, others = others[:most], others[most:]
+            most *= 2
+            k = self.shared(i, now)
+            for j in now[100 * k >= self.percent * (self.n[i] + self.n[now] - k)]:
+                self.union(i, j)
 
 
 _EPS = 1e-9
@@ -183,9 +203,13 @@ _EPS = 1e-9
 
 def join_region(sets: list[np.ndarray], percent: int = 80) -> np.ndarray:
     """For each set the number of the first set that links lead to; exact."""
-    r = _Region(sets, percent)
-    _split(r, np.arange(len(sets)), 0)
-    return np.array([r.root(i) for i in range(len(sets))])
+    r, members = _Region(sets, percent), np.arange(len(sets))
+    if len(sets) <= LEAF:
+        _leaf(r, members)
+    else:
+        _windows(r, _balls(r, members))
+    _, first, inverse = np.unique(r.label, return_index=True, return_inverse=True)
+    return first[inverse]
 
 
 def _leaf(r: _Region, members: np.ndarray) -> None:
@@ -193,64 +217,78 @@ def _leaf(r: _Region, members: np.ndarray) -> None:
     members = members[np.argsort(r.n[members], kind="stable")]
     for k, i in enumerate(members[:-1]):
         rest = members[k + 1 :]
-        rest = rest[100 * r.n[i] >= r.percent * r.n[rest]]  # sizes: |x & y| <= |x|
-        own = r.root(i)
-        rest = rest[[r.root(j) != own for j in rest]] if len(rest) else rest
-        if len(rest):
-            r.test(i, rest)
-
-
-def _split(r: _Region, members: np.ndarray, depth: int) -> None:
-    if len(members) <= LEAF or depth > 40:
-        return _leaf(r, members)
-    # Pivots: the first, then by turns the farthest from those chosen.
-    pivots, rows = [members[0]], [r.distance(members[0], members)]
-    while len(pivots) < 8:
-        near = np.min(rows, axis=0)
-        if near.max() <= r.tau:
-            break
-        pivots.append(members[int(near.argmax())])
-        rows.append(r.distance(pivots[-1], members))
-    d = np.array(rows)
-    for k, p in enumerate(pivots):  # within tau of a pivot: linked to it
-        for j in members[d[k] <= r.tau + _EPS]:
-            if r.root(p) != r.root(j):
-                r.test(p, np.array([j]))
-    own = d.argmin(axis=0)
-    least = d.min(axis=0)
-    for k in range(len(pivots)):
-        inner = own == k
-        if not inner.any():
-            continue
-        window = d[k] - least <= 2 * r.tau + _EPS
-        reach = d[k][inner].max() + r.tau + _EPS
-        cell = members[window & (d[k] <= reach)]
-        done = _connected(r, cell)
-        if done:
-            continue
-        if len(cell) >= 0.9 * len(members):
-            _sweep(r, cell, d[k][window & (d[k] <= reach)], depth)
-        else:
-            _split(r, cell, depth + 1)
-
-
-def _connected(r: _Region, cell: np.ndarray) -> bool:
-    own = r.root(cell[0])
-    return all(r.root(j) == own for j in cell[1:])
-
-
-def _sweep(r: _Region, cell: np.ndarray, to_pivot: np.ndarray, depth: int) -> None:
-    """A cell that its pivots do not divide: in order of distance to the pivot, only pairs within tau of each other."""
-    order = np.argsort(to_pivot, kind="stable")
-    cell, at = cell[order], to_pivot[order]
-    ends = np.searchsorted(at, at + r.tau + _EPS, side="right")
-    for k, i in enumerate(cell):
-        rest = cell[k + 1 : ends[k]]
-        rest = rest[(100 * r.n[i] >= r.percent * r.n[rest]) & (100 * r.n[rest] >= r.percent * r.n[i])]
-        own = r.root(i)
-        rest = rest[[r.root(j) != own for j in rest]] if len(rest) else rest
-        if len(rest):
-            r.test(i, rest)
+        r.test(i, rest[100 * r.n[i] >= r.percent * r.n[rest]])  # sizes: |x & y| <= |x|
+
+
+def _balls(r: _Region, members: np.ndarray) -> np.ndarray:
+    """Distances to document pivots, a row each; what lies within tau of a pivot is linked to it.
+
+    A pivot is the document of the most frequent shingles (the middle of a group of near copies) among those far from all
+    pivots before it.
+    """
+    middle = np.add.reduceat(r.df[r.flat], r.starts[:-1]) / r.n
+    least, rows = np.full(len(members), np.inf), []
+    while len(rows) < PIVOTS * 2 and (free := least > 3 * r.tau).any():
+        pivot = int(np.where(free, middle, -1).argmax())
+        d = r.distance(pivot, members)
+        r.test(pivot, members[d <= r.tau + _EPS])
+        rows.append(d)
+        least = np.minimum(least, d)
+    return np.array(rows)
+
+
+def _windows(r: _Region, d: np.ndarray) -> None:
+    """Links between different classes, by the region's single pivots and the windows of its document pivots.
+
+    Two documents that link meet in the region of one of their boundary windows, the n - ceil(s * n) + 1 rarest shingles.  At
+    the first that they share, in places p of x and q of y, they share |x| - p and |y| - q shingles at most: so y looks only
+    at the |x| which that leaves.  Classes of more than LEAF documents do not look but are found; such classes meet each other
+    after the rest.
+    """
+    need = -(-r.n * r.percent // 100)
+    length = r.n - need + 1
+    ends = np.cumsum(length)
+    place = np.arange(ends[-1]) - np.repeat(ends - length, length)
+    doc = np.repeat(np.arange(len(r.n)), length)
+    token = r.flat[r.starts[doc] + place]
+    kept = r.df[token] > 1
+    place, doc, token = place[kept], doc[kept], token[kept]
+    wide = int(r.n.max()) + 1
+
+    def meet(lookers: np.ndarray, found: np.ndarray) -> None:
+        f = np.flatnonzero(found[doc])
+        key = token[f] * wide + r.n[doc[f]]
+        order = np.argsort(key, kind="stable")
+        key, f = key[order], f[order]
+        of, at = doc[f], place[f]
+        edge = np.searchsorted(doc, [lookers, lookers + 1])
+        for y, lo, hi in zip(lookers, *edge, strict=True):
+            n, q, t = int(r.n[y]), place[lo:hi], token[lo:hi]
+            # 100 k >= s (|x| + |y| - k) and k <= |y| - q
+            most = np.minimum(((100 + r.percent) * (n - q)) // r.percent - n, wide - 1)
+            low, up = np.searchsorted(key, t * wide - (-n * r.percent // 100)), np.searchsorted(key, t * wide + np.maximum(most, 0), side="right")
+            size = np.maximum(up - low, 0)
+            if not size.any():
+                continue
+            e = np.cumsum(size)
+            i = np.arange(e[-1]) + np.repeat(low - (e - size), size)
+            x = of[i]
+            i = i[r.label[x] != r.label[y]]
+            x = of[i]
+            i = i[(100 + r.percent) * (r.n[x] - at[i]) >= r.percent * (r.n[x] + n)]
+            x, times = np.unique(of[i], return_counts=True)
+            x = x[np.argsort(-times, kind="stable")]
+            if len(x):
+                r.test(y, x[(np.abs(d[:, x] - d[:, [y]]) <= r.tau + _EPS).all(axis=0)])
+
+    label, inverse, counts = np.unique(r.label, return_inverse=True, return_counts=True)
+    large = counts[inverse] > LEAF
+    meet(np.flatnonzero(~large), np.ones(len(large), bool))
+    before = np.zeros(len(large), bool)
+    for k in np.flatnonzero(counts > LEAF):
+        if before.any():
+            meet(np.flatnonzero(inverse == k), before)
+        before |= inverse == k
 
 
 def _joined(percent: int):
@@ -292,13 +330,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
-def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
     """Take documents out of regions beyond ``region_shingles`` by rounds of PIVOTS pivots each, spread over the cluster.
 
-    ``sets``: region, id, n, shingles.  Returns what is left, and links found; without ``rounds`` no region is left that is
-    larger.  A document within tau of a pivot is linked to it.  It is done if that is its own set, or if its window
-    [d - tau, d + tau] reaches no document beyond tau of the pivot: all its partners are linked to the pivot then.  Nothing
-    comes to the driver; a table with a row for each large region is broadcast only while it is small.
+    ``sets``: region, id, n, shingles.  Returns what is left, and links found.  A document within tau of a pivot is linked to
+    it.  It is done if that is its own set, or if its window [d - tau, d + tau] reaches no document beyond tau of the pivot:
+    all its partners are linked to the pivot then.  Nothing comes to the driver; a table with a row for each large region is
+    broadcast only while it is small.
     """
     tau, links, done = 1 - percent / 100, [], []
 
@@ -314,10 +352,8 @@ def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: in
             out.append(row)
         return pd.Series(out)
 
-    turn = 0
-    while rounds is None or turn < rounds:
+    for turn in range(rounds):
         chosen = [F.min_by("id", F.xxhash64("id", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
-        turn += 1
         size = sets.groupBy("region").agg(F.sum("n").alias("all"), F.array_distinct(F.array(*chosen)).alias("ids")).filter(F.col("all") > region_shingles)
         large = c.checkpointed(size.select("region", "ids"))
         n_large = large.count()
@@ -343,22 +379,48 @@ def _ball_rounds(sets: DataFrame, percent: int, region_shingles: int, rounds: in
     return sets, links
 
 
+def _parts(n: Column, region_shingles: int) -> Column:
+    """Blocks of a region of ``n`` shingles, of which any two fit ``region_shingles``; 1 for a region that fits."""
+    return F.when(n > region_shingles, F.ceil(2 * n / F.lit(region_shingles))).otherwise(1)
+
+
 def _by_pivot(sets: DataFrame, least: DataFrame, region_shingles: int) -> DataFrame | None:
-    """Regions beyond ``region_shingles`` by their single pivots: each document in the region of each of its boundary windows that
-    another document has.  None where no region is that large.  Two documents that link share one of these pivots.
+    """Regions beyond WIDE times ``region_shingles`` by their single pivots: each document in the region of each of its boundary
+    windows that another document has.  None where no region is that large.  Two documents that link share one of these pivots.
+
+    A region where this would copy more shingles than its pairs of blocks do stays whole: a wide group of near copies has the
+    same pivots throughout.
     """
-    size = sets.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > region_shingles)
-    large = c.checkpointed(size.select("region"))
+    size = sets.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > WIDE * region_shingles)
+    large = c.checkpointed(size)
     n_large = large.count()
     if not n_large:
         return None
     hint = F.broadcast if n_large <= 1000 else lambda x: x
     sets = c.materialize(sets)
-    inside = sets.join(hint(large), "region", "left_semi")
-    keys = least.select(F.col("rep").alias("id"), F.explode("pivots").alias("key")).join(inside.select("id"), "id", "left_semi").distinct()
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    cut = inside.join(keys.join(shared, "key"), "id").select(F.col("key").alias("region"), "id", "n", "shingles")
-    return sets.join(hint(large), "region", "left_anti").unionByName(cut)
+    inside = sets.join(hint(large.select("region")), "region", "left_semi")
+    keys = least.select(F.col("rep").alias("id"), F.explode("pivots").alias("key")).join(inside.select("region", "id", "n"), "id").distinct()
+    shared = keys.groupBy("region", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).filter("m > 1")
+    copied = lambda n: n * F.greatest(_parts(n, region_shingles) - 1, F.lit(1))
+    costs = shared.groupBy("region").agg(F.sum(copied(F.col("all"))).alias("cost"))
+    apart = c.checkpointed(large.join(costs, "region", "left").filter(F.coalesce("cost", F.lit(0)) < copied(F.col("all"))).select("region"))
+    keys = keys.join(shared.select("region", "key"), ["region", "key"]).join(hint(apart), "region", "left_semi").select("id", "key")
+    cut = inside.join(hint(apart), "region", "left_semi").join(keys, "id").select(F.col("key").alias("region"), "id", "n", "shingles")
+    return sets.join(hint(apart), "region", "left_anti").unionByName(cut)
+
+
+def _block_pairs(sets: DataFrame, region_shingles: int) -> DataFrame:
+    """``sets`` with a column ``part``: a region beyond ``region_shingles`` is cut into blocks by id, and each part holds two of
+    them, so that every two documents meet in a part and no part is much larger than ``region_shingles``."""
+    size = sets.groupBy("region").agg(F.sum("n").alias("all")).filter(F.col("all") > region_shingles)
+    large = c.checkpointed(size.select("region", _parts(F.col("all"), region_shingles).cast("int").alias("blocks")))
+    n_large = large.count()
+    if not n_large:
+        return sets.withColumn("part", F.lit(0).cast("long"))
+    hint = F.broadcast if n_large <= 1000 else lambda x: x
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    parts = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own")), lambda b: F.least(b, "own").cast("long") * F.col("blocks") + F.greatest(b, "own"))
+    return sets.join(hint(large), "region", "left").withColumn("own", own).select("region", "id", "n", "shingles", F.explode(F.coalesce(parts, F.array(F.lit(0).cast("long")))).alias("part"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
@@ -394,10 +456,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = sets.join(region, sets.id == region.node).select(F.col("component").alias("region"), "id", "n", "shingles")
     sets, links = _ball_rounds(sets, percent, region_shingles, ROUNDS)
     apart = _by_pivot(sets, least, region_shingles)
-    if apart is not None:
-        sets, more = _ball_rounds(apart, percent, region_shingles)
-        links += more
-    found = sets.select("region", "id", "shingles").groupBy("region").applyInArrow(_joined(percent), "a long, b long").filter("a <> b")
+    sets = _block_pairs(sets if apart is None else apart, region_shingles)
+    found = sets.select("region", "part", "id", "shingles").groupBy("region", "part").applyInArrow(_joined(percent), "a long, b long").filter("a <> b")
     for x in links:
         found = found.union(x)
     # Rows that share an id, and equal sets, tie their classes together.

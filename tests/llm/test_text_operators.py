@@ -519,6 +519,49 @@ def test_region_recursion_is_exact():
     assert got.tolist() == [root(i) for i in range(len(sets))]
 
 
+def test_near_copies_cost_no_square(monkeypatch):
+    """Copies of one text with 0 to 20 of 100 shingles changed, many of them beyond 0.8 of all others: before, a square of tests."""
+    r = random.Random(9)
+    sets = []
+    for _ in range(3000):
+        x = list(range(100))
+        for at in r.sample(x, r.randrange(21)):
+            x[at] = 100 + 40 * at + r.randrange(40)
+        sets.append(np.array(sorted(x), np.uint64))
+    read, shared = [0], jaccard_join._Region.shared
+
+    def counted(region, i, others):
+        read[0] += len(others)
+        return shared(region, i, others)
+
+    monkeypatch.setattr(jaccard_join._Region, "shared", counted)
+    got = jaccard_join.join_region(sets)
+    assert read[0] < 100 * len(sets)
+    one = np.zeros((len(sets), 4100), np.float32)
+    for k, x in enumerate(sets):
+        one[k, x.astype(int)] = 1
+    both = one @ one.T
+    links = 100 * both >= 80 * (200 - both)
+    want = np.arange(len(sets))
+    while True:
+        new = np.where(links, want, len(sets)).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    assert got.tolist() == want.tolist() and len(set(got.tolist())) > 100
+
+
+def test_blocks_of_a_region_meet_in_bounded_parts(spark):
+    rows = [(7, k, 50, b"") for k in range(400)] + [(8, 1000 + k, 50, b"") for k in range(20)]
+    sets = spark.createDataFrame(rows, "region long, id long, n long, shingles binary")
+    parts = {}
+    for x in jaccard_join._block_pairs(sets, 4000).collect():
+        parts.setdefault((x.region, x.part), set()).add(x.id)
+    assert parts.pop((8, 0)) == {1000 + k for k in range(20)}
+    assert all(50 * len(x) < 1.5 * 4000 for x in parts.values())
+    assert {(a, b) for x in parts.values() for a in x for b in x} == {(a, b) for a in range(400) for b in range(400)}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
     df = frame(spark, [(1, "a b c d e f", 0), (2, "a b c d e f", 0), (None, "a b c d e f", 0)], "doc_id long, text string, component_id int")
