@@ -80,6 +80,8 @@ class Dataset:
         self._ids = {"put": 0, "get": 1}
         self._buffer: int | None = None
         self.put_bytes = self.get_bytes = 0
+        self._unwritten: set[str] = set()  # variables without a cell
+        self._slabs: dict[str, DataFrame] = {}  # the file's cells as they were read: in its order, a part of it each task
         self._on_file: set[str] = set()  # variables whose cells are the file's: boxes are cut in the reader
         self._in_place = False  # the file has this layout: writes go to their ranges
         self._patches: list[tuple[str, DataFrame]] = []  # for the file, in order
@@ -141,7 +143,9 @@ class Dataset:
         """All cells are those of the file."""
         for v in self.catalog.vars:
             self.cells[v.name] = self.spark.read.format("cdf").option("path", self.path).option("var", v.name).load()
+            self._slabs[v.name] = self.cells[v.name]
             self._on_file.add(v.name)
+        self._unwritten.clear()
         self._in_place, self._records_on_file = True, self.catalog.numrecs
         self._header = self._encoded()
 
@@ -179,7 +183,7 @@ class Dataset:
         The new cells are written to a folder beside the file first, as they may be computed from the file.  New records are filled
         before; if the job fails half-way, the record count still is the old one.
         """
-        from ..sources.cdf import fills, write_fill
+        from ..sources.cdf import dealt, fills, write_fill
 
         folder, stored = self._beside("patch"), []
         try:
@@ -193,7 +197,7 @@ class Dataset:
                 f.write(self._encoded())
             self.catalog.numrecs = before
             for name, cells in stored:
-                cells.write.format("cdf").mode("append").option("path", self.path).option("var", name).save()
+                dealt(cells, self.catalog, self.catalog.var(name)).write.format("cdf").mode("append").option("path", self.path).option("var", name).option("blocks", "true").save()
             from ..sources.cdf import set_numrecs
 
             set_numrecs(self.path, before)
@@ -224,13 +228,16 @@ class Dataset:
 
     def save(self, path: str) -> None:
         """Header and cells to a classic file; every variable in one job, each task at its own offsets."""
-        from ..sources.cdf import CdfSource, create
+        from ..sources.cdf import CdfSource, create, dealt
 
         self.spark.dataSource.register(CdfSource)
         target = f"{path}.writing"
         create(target, self.catalog, spark=self.spark)
         for v in self.catalog.vars:
-            self.cells[v.name].write.format("cdf").mode("append").option("path", target).option("var", v.name).save()
+            cells = self.cells[v.name]
+            if all(cells is not x for x in self._slabs.values()):
+                cells = dealt(cells, self.catalog, v)
+            cells.write.format("cdf").mode("append").option("path", target).option("var", v.name).option("blocks", "true").save()
         os.replace(target, path)
 
     def sync_numrecs(self) -> int:
@@ -269,6 +276,7 @@ class Dataset:
         out = self.catalog.def_var(name, xtype, dims, no_fill=not self.fill_mode)
         v = self.catalog.vars[out]
         self.cells[v.name] = self.spark.createDataFrame([], schema_of(self.catalog, v))
+        self._unwritten.add(v.name)
         return out
 
     def redef(self) -> None:
@@ -299,6 +307,7 @@ class Dataset:
         for v in self.catalog.vars:
             if v.name not in old and not v.no_fill and (not self.catalog.is_record(v) or self.catalog.numrecs):
                 self.cells[v.name] = self.filled(v.name)
+                self._unwritten.discard(v.name)
 
     def set_fill(self, on: bool) -> bool:
         self._define()
@@ -323,6 +332,7 @@ class Dataset:
         k = self.catalog.vars.index(self.catalog.var(old))
         self._rename(self.catalog.vars, k, new)
         self.cells[self.catalog.vars[k].name] = self.cells.pop(old)
+        self._unwritten.discard(old)
 
     def rename_att(self, old: str, new: str, var=None) -> None:
         atts = self.catalog.holder(var)
@@ -537,8 +547,9 @@ class Dataset:
     def _merge(self, name: str, new: DataFrame, box: tuple | None = None, beyond: bool = False) -> None:
         """Cells over those a variable has; and for the file, if it has this layout."""
         old = self.cells[name]
-        self.cells[name] = update.append(old, new) if beyond else update.put_box(old, new, *box) if box else update.put(old, new)
+        self.cells[name] = update.append(old, new) if beyond or name in self._unwritten else update.put_box(old, new, *box) if box else update.put(old, new)
         self._on_file.discard(name)
+        self._unwritten.discard(name)
         if self._in_place:
             self._patches.append((name, new))
 

@@ -11,6 +11,9 @@ runs of neighbours at once.
 
 With the option ``runs`` a row is a run of neighbours, not a cell: the coordinates of its first cell and ``v`` as an array, for reads
 that of a slab's last dimension.  Writers take runs wherever ``v`` is an array.  That spares Spark a row for each number.
+
+Where cells of other variables lie between (records), a write for each cell would be most of the time.  Cells that are ``dealt`` by
+blocks of the file can be written with the option ``blocks``: what lies between near cells of a block is read and written with them.
 """
 
 from __future__ import annotations
@@ -302,36 +305,83 @@ class _Written(WriterCommitMessage):
         self.most = most
 
 
+#: Bytes of the file that go to one task and are written at once; the largest gap between cells that is read and written with them.
+BLOCK, GAP = 1 << 18, 4 << 10
+
+
+def _strides(c: Catalog, v: Var) -> list[int]:
+    """Bytes from an index to the next, by dimension."""
+    out = [external(v.xtype).size] * len(v.dims)
+    for k in range(len(out) - 2, -1, -1):
+        out[k] = out[k + 1] * c.dims[v.dims[k + 1]].size
+    if c.is_record(v):
+        out[0] = c.recsize()
+    return out
+
+
+def dealt(cells, c: Catalog, v: Var):
+    """A DataFrame of cells for the option ``blocks``: those of a block of the file in one task, in the file's order."""
+    if not v.dims:
+        return cells
+    from pyspark.sql import functions as F
+
+    at = sum((F.col(f"i{k}").cast("long") * F.lit(s).cast("long") for k, s in enumerate(_strides(c, v))), F.lit(v.begin).cast("long"))
+    return cells.repartition(F.floor(at / F.lit(BLOCK))).sortWithinPartitions(at)
+
+
 class CdfWriter(DataSourceArrowWriter):
     """Writes one variable of cells into a file that has its header (see ``create``); tasks write at their own offsets.
 
     Works on folders all executors share.  Null values are left as they are in the file; where a task has a cell twice, the
     later one stays.  The record count is raised when all tasks are done.
+
+    ``blocks``: no other task or process writes between two near cells of one task in the same block, as ``dealt`` sees to it.
+    A block is written at once, so an attempt that is repeated writes the same bytes.
     """
 
     HELD = 1 << 21  # cells that are ordered and written together
 
-    def __init__(self, path: str, var: str):
+    def __init__(self, path: str, var: str, blocks: bool = False):
         self.path, self.catalog = path, read_header(path)
-        self.name = var
+        self.name, self.blocks = var, blocks
 
-    def _flush(self, handle: int, offsets: list[np.ndarray], values: list[np.ndarray], size: int) -> None:
+    def _flush(self, handle: int, offsets: list[np.ndarray], values: list[np.ndarray], size: int, last: bool = True) -> int:
+        """Writes what is held, but for a block that may go on (with ``blocks``, before the ``last``); how many cells stay."""
         if not offsets:
-            return
+            return 0
         at, raw = np.concatenate(offsets), np.concatenate(values)
+        offsets.clear()
+        values.clear()
         if (at[1:] <= at[:-1]).any():
             order = np.argsort(at, kind="stable")
             at, raw = at[order], raw[order]
-            last = np.append(at[1:] != at[:-1], True)
-            at, raw = at[last], raw[last]
-        starts = np.flatnonzero(np.append(True, np.diff(at) != size))
+            kept = np.append(at[1:] != at[:-1], True)
+            at, raw = at[kept], raw[kept]
+        if self.blocks and not last and len(at) and at[0] // BLOCK < at[-1] // BLOCK:
+            cut = np.searchsorted(at, at[-1] // BLOCK * BLOCK)
+            offsets.append(at[cut:])
+            values.append(raw[cut:])
+            at, raw = at[:cut], raw[:cut]
+        gap = np.diff(at) - size
+        starts = np.flatnonzero(np.append(len(at) > 0, (gap > GAP) | (np.diff(at // BLOCK) != 0) if self.blocks else gap != 0))
         data = memoryview(raw.tobytes())
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-            done, end = lo * size, hi * size
-            while done < end:
-                done += os.pwrite(handle, data[done:end], int(at[lo]) + done - lo * size)
-        offsets.clear()
-        values.clear()
+            first, part = int(at[lo]), data[lo * size : hi * size]
+            if (span := int(at[hi - 1]) + size - first) > len(part):
+                part = memoryview(self._between(handle, first, span, at[lo:hi] - first, part, size))
+            done = 0
+            while done < span:
+                done += os.pwrite(handle, part[done:], first + done)
+        return len(offsets[0]) if offsets else 0
+
+    def _between(self, handle: int, first: int, span: int, at: np.ndarray, part: memoryview, size: int) -> bytes:
+        """Cells and what the file has between them."""
+        old = b""
+        while len(old) < span and (more := os.pread(handle, span - len(old), first + len(old))):
+            old += more
+        out = np.frombuffer(bytearray(old.ljust(span, b"\0")), np.uint8)
+        out[at[:, None] + np.arange(size)] = np.frombuffer(part, np.uint8).reshape(-1, size)
+        return out.tobytes()
 
     def _runs(self, handle: int, coords: list[np.ndarray], strides: list[int], values: pa.Array, v: Var) -> None:
         """Runs of cells: each is written at its first cell's offset, neighbours in the batch at once.  Runs and their values are not null."""
@@ -352,13 +402,9 @@ class CdfWriter(DataSourceArrowWriter):
     def write(self, batches):
         c, v = self.catalog, self.catalog.var(self.name)
         t, rank, record = external(v.xtype), len(v.dims), c.is_record(v)
-        strides = [t.size] * rank
-        for k in range(rank - 2, -1, -1):
-            strides[k] = strides[k + 1] * c.dims[v.dims[k + 1]].size
-        if record:
-            strides[0] = c.recsize()
+        strides = _strides(c, v)
         most, held, offsets, values = 0, 0, [], []
-        handle = os.open(self.path, os.O_WRONLY)
+        handle = os.open(self.path, os.O_RDWR if self.blocks else os.O_WRONLY)
         try:
             for batch in batches:
                 if not batch.num_rows:
@@ -377,8 +423,7 @@ class CdfWriter(DataSourceArrowWriter):
                 values.append(raw_values(v_column.drop_null(), v.xtype).view(f"V{t.size}"))  # bytes, which no operation swaps
                 held += int(known.sum())
                 if held >= self.HELD:
-                    self._flush(handle, offsets, values, t.size)
-                    held = 0
+                    held = self._flush(handle, offsets, values, t.size, last=False)
             self._flush(handle, offsets, values, t.size)
             os.fsync(handle)
         finally:
@@ -395,7 +440,7 @@ class CdfWriter(DataSourceArrowWriter):
 
 
 class CdfSource(DataSource):
-    """Options: ``path``, ``var``, and for reads ``start`` and ``count`` (comma lists) and ``runs``."""
+    """Options: ``path``, ``var``, and for reads ``start`` and ``count`` (comma lists) and ``runs``; for writes ``blocks``."""
 
     @classmethod
     def name(cls):
@@ -409,7 +454,7 @@ class CdfSource(DataSource):
         return CdfReader(self.options["path"], self.options["var"], self.options)
 
     def writer(self, schema, overwrite):
-        return CdfWriter(self.options["path"], self.options["var"])
+        return CdfWriter(self.options["path"], self.options["var"], _flag(self.options.get("blocks")))
 
 
 def set_numrecs(path: str, n: int) -> None:

@@ -695,3 +695,82 @@ def test_runs(spark, tmp_path):
     assert [int(x.v) for x in read("f", start="0,2", count="1,2").orderBy("i1").collect()] == [2**64 - 1, 5]
     write(spark.createDataFrame([(1, 1, 0, [bytearray(b"h"), bytearray(b"i")])], "i0 long, i1 long, i2 long, v array<binary>"), "c")
     assert b"".join(bytes(x) for x in read("c", runs="true", start="1,1,0", count="1,1,3").first().v) == b"hi\0"
+
+
+def interleaved(path, records, wide=3):
+    c = Catalog(5)
+    c.def_dim("t", 0)
+    c.def_dim("x", wide)
+    for name, kind, dims in (("a", "double", ["t"]), ("b", "int", ["t", "x"]), ("c", "byte", ["t"])):
+        c.def_var(name, kind, dims)
+    c.numrecs = records
+    return cdf.create(path, c)
+
+
+def arrow(rows, names, kinds):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def test_records_are_written_block_by_block(tmp_path, monkeypatch):
+    """Cells of a record variable are no neighbours in the file; each was a write of its own."""
+    import pyarrow as pa
+
+    path, n, calls, pwrite = str(tmp_path / "a.nc"), 40_000, [], cdf.os.pwrite
+    c = interleaved(path, n)
+    monkeypatch.setattr(cdf.os, "pwrite", lambda *a: calls.append(1) or pwrite(*a))
+    batches = [arrow([(k, float(k)) for k in range(lo, lo + 8000)], ["i0", "v"], [pa.int64(), pa.float64()]) for lo in range(0, n, 8000)]
+    cdf.CdfSource({"path": path, "var": "a", "blocks": "true"}).writer(None, False).write(iter(batches))
+    assert len(calls) <= n * c.recsize() // cdf.BLOCK + 2
+    assert cdf.CdfReader(path, "a", {})._cells((0,), (n,)).tolist() == [float(k) for k in range(n)]
+    assert (cdf.CdfReader(path, "b", {})._cells((0, 0), (n, 3)) == TYPES["int"].fill).all()
+    assert (cdf.CdfReader(path, "c", {})._cells((0,), (n,)) == TYPES["byte"].fill).all()
+
+
+@pytest.mark.parametrize(("held", "wide"), [(50, 3), (1 << 21, 3), (50, 2000), (7, 1)])
+def test_blocks_leave_what_lies_between(tmp_path, monkeypatch, held, wide):
+    """Shuffled cells with nulls, repeats and holes in several blocks; gaps below and (wide 2000) above those that are read."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(cdf.CdfWriter, "HELD", held)
+    monkeypatch.setattr(cdf, "BLOCK", 1 << 10)
+    path, rng, n = str(tmp_path / "a.nc"), random.Random(held + wide), 300
+    interleaved(path, n, wide)
+    want = {"a": np.full(n, TYPES["double"].fill), "b": np.full((n, wide), TYPES["int"].fill), "c": np.full(n, TYPES["byte"].fill)}
+    for name in "bacba":
+        rank = want[name].ndim
+        cells = [(rng.randrange(n), *([rng.randrange(wide)] if rank == 2 else []), rng.choice([None, rng.randrange(100)])) for _ in range(400)]
+        cells.sort(key=lambda x: x[:-1]) if rng.random() < 0.7 else None
+        for *at, v in cells:
+            if v is not None:
+                want[name][tuple(at)] = v
+        kinds = [pa.int64()] * rank + [{"a": pa.float64(), "b": pa.int32(), "c": pa.int8()}[name]]
+        cdf.CdfWriter(path, name, True).write(iter([arrow(cells[k : k + 30], [*["i0", "i1"][:rank], "v"], kinds) for k in range(0, 400, 30)]))
+    for name, x in want.items():
+        assert (cdf.CdfReader(path, name, {})._cells((0,) * x.ndim, x.shape) == x).all(), name
+
+
+def test_first_put_joins_nothing_and_a_file_is_dealt_by_blocks(spark, tmp_path):
+    path, n = str(tmp_path / "a.nc"), 70_000
+    d = Dataset.create(spark, path, 5)
+    d.def_dim("t")
+    d.def_dim("x", 2)
+    d.def_var("a", "double", ["t"])
+    d.def_var("b", "int", ["t", "x"])
+    d.enddef()
+    apart = spark.range(n).repartition(7)  # records in no order
+    d.put("a", apart.select(F.col("id").alias("i0"), (F.col("id") / 2).alias("v")))
+    d.put("b", apart.select(F.col("id").alias("i0"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i1")).select("i0", F.col("i1").cast("long").alias("i1"), (F.col("i0") + F.col("i1")).cast("int").alias("v")))
+    assert all("Join" not in d.cells[name]._jdf.queryExecution().optimizedPlan().toString() for name in "ab")
+    tasks = cdf.dealt(d.cells["a"], d.catalog, d.catalog.var("a")).groupBy(F.floor(F.col("i0") * 16 / cdf.BLOCK), F.spark_partition_id().alias("p")).count()
+    assert tasks.count() <= n * 16 // cdf.BLOCK + 2
+    d.put("a", spark.createDataFrame([(5, -1.0), (n, -2.0)], "i0 long, v double"))  # a later put still meets the old cells
+    d.close()
+    e = Dataset.open(spark, path, write=True)
+    assert e.get("a").agg(F.count("v"), F.sum("v")).first() == (n + 1, sum(k / 2 for k in range(n)) - 2.5 - 1 - 2)
+    e.put("a", spark.createDataFrame([(7, -7.0)], "i0 long, v double"))
+    e.close()
+    f = Dataset.open(spark, path)
+    assert f.get("a", [7], [1]).first().v == -7.0
+    assert f.get("b").filter("v <> i0 + i1").filter(f"i0 < {n}").count() == 0 and f.get("b").count() == 2 * (n + 1)
